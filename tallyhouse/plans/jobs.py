@@ -9,6 +9,7 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tallyhouse.operators import current_state as state
 from tallyhouse.operators.activity import events_per_day
@@ -18,22 +19,21 @@ from tallyhouse.operators.revenue import settled_revenue_by_merchant
 from tallyhouse.schemas import EVENT_DAY
 from tallyhouse.session import require_utc
 from tallyhouse.sizing import sized_for
-from tallyhouse.sources.bronze import bronze_bytes, bronze_files, land_bronze, read_bronze
-from tallyhouse.sources.catalog import (
-    TABLES,
-    Lake,
-    PartitionChange,
-    create_table,
-    location,
-    publish,
-    register_days,
-    sync_partitions,
-)
+from tallyhouse.sources.bronze import bronze_bytes, land_bronze, read_bronze
+from tallyhouse.sources.catalog import Lake, PartitionChange, publish
 
 # Marts are independent of each other; two are built at a time.
 MART_THREADS = 2
 
 
+def has_rows(frame: DataFrame) -> bool:
+    """Whether there is any row; tries one split, and more only while none has a row.
+
+    ``DataFrame.isEmpty`` would ask every split for its first row.
+    """
+    return bool(frame.select(F.lit(1)).head(1))
+
+
 def ingest(lake: Lake, events: DataFrame) -> None:
     land_bronze(events, lake.bronze)
 
@@ -47,7 +47,7 @@ def promote_silver(lake: Lake, compact: bool = True) -> PartitionChange | None:
     """
     require_utc(lake.spark)
     bronze = read_bronze(lake.spark, lake.bronze)
-    if bronze.isEmpty():
+    if not has_rows(bronze):
         return None
     with sized_for(lake.spark, bronze_bytes(lake.spark, lake.bronze)):
         silver = flatten(bronze)
@@ -61,21 +61,6 @@ def silver_report(lake: Lake) -> DataFrame:
     return events_per_day(lake.table("payments_events"))
 
 
-def register_silver(lake: Lake) -> DataFrame:
-    """Register silver's folder day by day under a table of its own.
-
-    For silver that another job wrote: create the table over its folder, add the
-    days bronze has, and let a repair settle the difference.
-    """
-    folder = location(lake, "payments_events")
-    table = "payments_events_registered"
-    create_table(lake, table, folder, TABLES["payments_events"])
-    days = bronze_files(lake.spark, lake.bronze).select("dt").distinct().collect()
-    register_days(lake, table, [row["dt"] for row in days])
-    sync_partitions(lake, table)
-    return events_per_day(lake.table(table))
-
-
 def build_current(lake: Lake) -> None:
     """Rebuild the current state of every transaction from silver."""
     with sized_for(lake.spark, bronze_bytes(lake.spark, lake.bronze)):

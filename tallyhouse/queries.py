@@ -16,8 +16,15 @@ from tallyhouse.plans import checks, jobs
 from tallyhouse.schemas import EVENT, REVENUE
 from tallyhouse.session import configure
 from tallyhouse.sources import export, tables
-from tallyhouse.sources.bronze import read_bronze
-from tallyhouse.sources.catalog import Lake
+from tallyhouse.sources.bronze import bronze_files, read_bronze
+from tallyhouse.sources.catalog import (
+    TABLES,
+    Lake,
+    create_table,
+    location,
+    register_days,
+    sync_partitions,
+)
 from tallyhouse.streaming import arrivals
 from tallyhouse.workspace import fresh_folder
 
@@ -138,7 +145,15 @@ def silver_one_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registered_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.register_silver(promoted_lake(spark, sf_dir))
+    """Silver's folder under a new table whose days are registered one by one."""
+    lake = promoted_lake(spark, sf_dir)
+    table = "payments_events_registered"
+    spark.sql(f"DROP TABLE IF EXISTS {lake.name(table)}")
+    create_table(lake, table, location(lake, "payments_events"), TABLES["payments_events"])
+    landed = activity.event_days(bronze_files(spark, lake.bronze)).collect()
+    register_days(lake, table, [row["dt"] for row in landed])
+    sync_partitions(lake, table)
+    return activity.events_per_day(lake.table(table))
 
 
 def stored_payments_current(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,8 @@
 A rebuild must not harm the table it replaces: overwriting in place empties the
 folder before the new rows exist, so a failed job would leave nothing. Each
 table therefore has two folders. A rebuild overwrites the one the catalog does
-not point at, and only a finished rebuild is put in the table's place. Readers
-that already planned their query keep the folder they planned with.
+not point at, and only a finished rebuild is put in the table's place. A query
+that is already running keeps the files it started with.
 """
 
 from __future__ import annotations
