@@ -34,7 +34,7 @@ def iso_day(iso: Column) -> Column:
 
 
 def plus_seconds(ts: Column, seconds: Column) -> Column:
-    return ts + F.make_dt_interval(secs=seconds)
+    return ts + F.expr("interval 1 second") * seconds
 
 
 def clamp(ts: Column, as_of: Column) -> Column:

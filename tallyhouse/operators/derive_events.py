@@ -32,7 +32,7 @@ PAYMENT_METHODS = ["card"] * 7 + ["bank_transfer"] * 2 + ["wallet"]
 EMAIL_DOMAIN = "@example.com"
 
 AS_OF = "2001-08-01 00:00:00"
-MINUTE, HOUR, DAY = 60, 3600, 86400
+HOUR, DAY = 3600, 86400
 CREATED_WINDOW = 7 * DAY
 
 
@@ -102,56 +102,55 @@ def transactions(
     )
 
 
-def lifecycle(key: Column, created_at: Column) -> Column:
-    """The events of a transaction as an array of (type, time).
+def lifecycle(key: Column) -> Column:
+    """The events of a transaction as an array of (type, seconds after creation).
 
     One in twenty fails; of the settled ones, one in twenty is refunded.
     """
-    as_of = F.lit(AS_OF).cast("timestamp_ntz")
     fails = key % 20 == 7
     refunds = ~fails & (F.floor(key / 20) % 20 == 3)
-    authorized_at = plus_seconds(created_at, 5 + key % 116)
-    failed_at = plus_seconds(authorized_at, 1 + key % 30)
-    settled_at = plus_seconds(authorized_at, (1 + key % 72) * HOUR)
-    refunded_at = plus_seconds(settled_at, (1 + key % 14) * DAY)
+    authorized = 5 + key % 116
+    failed = authorized + 1 + key % 30
+    settled = authorized + (1 + key % 72) * HOUR
+    refunded = settled + (1 + key % 14) * DAY
 
-    def step(event_type: str, ts: Column, happens: Column | None = None) -> Column:
-        event = F.struct(F.lit(event_type).alias("type"), clamp(ts, as_of).alias("at"))
-        return event if happens is None else F.when(happens, event)
+    def step(event_type: str, delay: Column) -> Column:
+        return F.struct(F.lit(event_type).alias("type"), delay.alias("delay"))
 
     return F.array(
-        step("created", created_at),
-        step("authorized", authorized_at),
-        step("failed", failed_at, fails),
-        step("settled", settled_at, ~fails),
-        step("refunded", refunded_at, refunds),
+        step("created", F.lit(0).cast("bigint")),
+        step("authorized", authorized),
+        F.when(fails, step("failed", failed)).otherwise(step("settled", settled)),
+        F.when(refunds, step("refunded", refunded)),
     )
 
 
 def _events(paid: DataFrame) -> DataFrame:
-    steps = lifecycle(F.col("key"), F.col("created_at"))
-    return paid.withColumn("step", F.explode(steps)).where("step is not null")
+    """One row per event, with its type and time in ``step``.
+
+    Times are added up as seconds and turned into a timestamp once per event.
+    """
+    steps = paid.withColumn("step", F.explode(lifecycle(F.col("key")))).where("step is not null")
+    happened = plus_seconds(F.col("created_at"), F.col("step.delay"))
+    as_of = F.lit(AS_OF).cast("timestamp_ntz")
+    return steps.withColumn("event_type", F.col("step.type")).withColumn(
+        "happened_at", clamp(happened, as_of)
+    )
 
 
 def bronze_events(
     orders: DataFrame, customer: DataFrame, supplier: DataFrame, created: str = "window"
 ) -> DataFrame:
     """The event log as it lands in bronze: nested, with ISO-8601 times."""
-    events = (
-        _events(transactions(orders, customer, supplier, created))
-        .withColumn("event_type", F.col("step.type"))
-        .withColumn("event_timestamp", iso_utc(F.col("step.at")))
-    )
-    return events.select(*BRONZE_EVENT.fieldNames())
+    events = _events(transactions(orders, customer, supplier, created))
+    stamped = events.withColumn("event_timestamp", iso_utc(F.col("happened_at")))
+    return stamped.select(*BRONZE_EVENT.fieldNames())
 
 
 def payment_events(
     orders: DataFrame, customer: DataFrame, supplier: DataFrame, created: str = "window"
 ) -> DataFrame:
     """The same log in silver's shape, without the way through stored JSON."""
-    events = (
-        _events(transactions(orders, customer, supplier, created))
-        .withColumn("event_type", F.col("step.type"))
-        .withColumn("event_timestamp", F.col("step.at"))
-    )
-    return events.select(*[F.col(c.path).alias(c.name) for c in FLAT_COLUMNS])
+    events = _events(transactions(orders, customer, supplier, created))
+    stamped = events.withColumnRenamed("happened_at", "event_timestamp")
+    return stamped.select(*[F.col(c.path).alias(c.name) for c in FLAT_COLUMNS])

@@ -22,6 +22,10 @@ PLANNING = {
     "spark.sql.parquet.compression.codec": "snappy",
 }
 
+# Static settings for a session of our own: expressions are built without
+# recording the Python line each one comes from.
+STARTUP = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session somebody else built."""
@@ -35,7 +39,7 @@ def build_session(app_name: str, master: str | None = None, **extra: str) -> Spa
     builder = SparkSession.builder.appName(app_name)
     if master is not None:
         builder = builder.master(master)
-    for key, value in {**SEMANTICS, **PLANNING, **extra}.items():
+    for key, value in {**STARTUP, **SEMANTICS, **PLANNING, **extra}.items():
         builder = builder.config(key, value)
     return configure(builder.getOrCreate())
 

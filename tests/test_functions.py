@@ -1,0 +1,151 @@
+"""Expressions, schemas, session settings and sizes."""
+
+import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from tallyhouse import functions, schemas, sizing, workspace
+from tallyhouse.operators import derive_events
+from tallyhouse.session import require_utc
+
+TS = datetime.datetime(2026, 8, 6, 23, 59, 58)
+
+
+def value(spark, column):
+    return spark.range(1).select(column.alias("v")).first()["v"]
+
+
+def ntz(ts):
+    return F.lit(str(ts)).cast("timestamp_ntz")
+
+
+def test_iso_round_trip(spark):
+    assert value(spark, functions.iso_utc(ntz(TS))) == "2026-08-06T23:59:58Z"
+    assert value(spark, functions.parse_event_time(F.lit("2026-08-06T23:59:58Z"))) == TS
+    assert value(spark, functions.parse_event_time(F.lit(None).cast("string"))) is None
+
+
+def test_days(spark):
+    assert value(spark, functions.event_day(ntz(TS))) == "2026-08-06"
+    assert value(spark, functions.iso_day(F.lit("2026-08-06T23:59:58Z"))) == "2026-08-06"
+
+
+@pytest.mark.parametrize("seconds", [0, 1, -1, 3 * 86400 + 61, -604800])
+def test_plus_seconds(spark, seconds):
+    moved = value(spark, functions.plus_seconds(ntz(TS), F.lit(seconds)))
+    assert moved == TS + datetime.timedelta(seconds=seconds)
+
+
+def test_clamp(spark):
+    later = TS + datetime.timedelta(days=1)
+    assert value(spark, functions.clamp(ntz(later), ntz(TS))) == TS
+    assert value(spark, functions.clamp(ntz(TS), ntz(later))) == TS
+
+
+def test_ranks(spark):
+    for name, rank in functions.LIFECYCLE_RANK.items():
+        assert value(spark, functions.lifecycle_rank(F.lit(name))) == rank
+    assert value(spark, functions.lifecycle_rank(F.lit("chargeback"))) is None
+    assert value(spark, functions.lifecycle_rank(F.lit(None).cast("string"))) is None
+
+
+def test_identifiers(spark):
+    assert value(spark, functions.padded_id("mrc_", F.lit(7), 4)) == "mrc_0007"
+    assert value(spark, functions.padded_id("mrc_", F.lit(123456), 4)) == "mrc_123456"
+    assert [value(spark, functions.pick(["a", "b"], F.lit(i))) for i in range(3)] == ["a", "b", "a"]
+
+
+def test_tokens(spark):
+    assert value(spark, functions.short_token(F.lit(17))) == "tok_70efdf2ec9b08607"
+    tokens = {r[0] for r in spark.range(50).select(functions.random_token()).collect()}
+    assert len(tokens) == 50 and all(len(t) == 20 and t.startswith("tok_") for t in tokens)
+
+
+def test_payment_methods(spark):
+    methods = spark.range(1000).select(derive_events.payment_method(F.col("id")).alias("m"))
+    counts = {r["type"]: r["count"] for r in methods.groupBy("m.type").count().collect()}
+    assert counts == {"card": 700, "bank_transfer": 200, "wallet": 100}
+    assert methods.where("m.type <> 'card' and (m.brand is not null or m.last4 is not null)").isEmpty()
+    assert methods.where("m.type = 'card' and (m.brand is null or length(m.last4) <> 4)").isEmpty()
+
+
+def test_flat_columns():
+    assert schemas.EVENT.fieldNames() == [
+        "transaction_id", "event_type", "event_timestamp", "amount", "currency",
+        "merchant_id", "merchant_name", "merchant_category",
+        "customer_id", "customer_name", "customer_email",
+        "payment_method_type", "payment_method_brand", "payment_method_last4",
+        "payment_method_token",
+    ]
+    assert schemas.FACT.fieldNames() == [
+        "transaction_id", "status", "last_event_at", "amount", "currency", "merchant_id",
+        "customer_id", "payment_method_type", "payment_method_brand", "payment_method_last4",
+        "payment_method_token",
+    ]
+    assert schemas.MERCHANT_COLUMNS == ["merchant_id", "merchant_name", "merchant_category"]
+    assert schemas.CUSTOMER_COLUMNS == ["customer_id", "customer_name", "customer_email"]
+
+
+def test_tiebreaks_start_with_what_revenue_needs():
+    from tallyhouse.functions.lifecycle import TIEBREAKS
+
+    assert TIEBREAKS[:2] == ["amount", "merchant_id"]
+    rest = {"transaction_id", "event_timestamp", "event_type"}
+    assert set(TIEBREAKS) == set(schemas.EVENT.fieldNames()) - rest
+    facts = [c for c in schemas.FACT_COLUMNS if c not in rest]
+    assert set(TIEBREAKS[: len(facts)]) == set(facts)
+
+
+TB = 1 << 40
+
+
+def test_splits_and_reducers_follow_the_input():
+    assert sizing.split_bytes(0) == 128 * sizing.MB
+    assert sizing.split_bytes(100 * TB) == pytest.approx(524 * sizing.MB, rel=0.01)
+    assert sizing.split_bytes(10_000 * TB) == 1024 * sizing.MB
+    assert sizing.reducers(0, at_least=8) == 8
+    assert sizing.reducers(1 * TB, at_least=200) == 2048
+    assert sizing.reducers(100 * TB, at_least=200) == sizing.MAX_REDUCERS
+
+
+def test_sizes_hold_for_one_job_only(spark):
+    reducers = spark.conf.get("spark.sql.shuffle.partitions")
+    splits = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    with pytest.raises(RuntimeError), sizing.sized_for(spark, 1 * TB):
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "2048"
+        raise RuntimeError
+    assert spark.conf.get("spark.sql.shuffle.partitions") == reducers
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == splits
+
+
+class NamedFolder:
+    """Stands in for a session on a cluster."""
+
+    def __init__(self, folder, master="spark://cluster:7077"):
+        self.conf = {"spark.checkpoint.dir": folder} if folder else {}
+        self.sparkContext = self
+        self.master = master
+
+    def getConf(self):
+        return self.conf
+
+
+def test_shared_folder_is_the_one_the_session_names():
+    spark = NamedFolder("/shared/work/")
+    assert workspace.shared_root(spark) == "/shared/work"
+    assert workspace.fresh_folder(spark, "lake").startswith("/shared/work/lake-")
+    assert workspace.fresh_folder(spark, "lake") != workspace.fresh_folder(spark, "lake")
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        workspace.shared_root(NamedFolder(None))
+    assert workspace.shared_root(NamedFolder(None, "local[2]")).startswith("/tmp/")
+
+
+def test_utc_is_required(spark, conf):
+    require_utc(spark)
+    conf("spark.sql.session.timeZone", "Europe/Paris")
+    with pytest.raises(ValueError, match="Europe/Paris"):
+        require_utc(spark)

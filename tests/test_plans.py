@@ -1,0 +1,89 @@
+"""What the plans must look like to hold at scale."""
+
+import re
+
+import pytest
+
+import __spark_entry__ as contract
+from tallyhouse import queries
+from tallyhouse.operators import activity, current_state, dimensions, flatten
+from tallyhouse.plans import jobs
+from tallyhouse.sources import tables
+from tallyhouse.sources.bronze import read_bronze
+from tests.conftest import SF, plan_of
+
+
+@pytest.fixture(scope="module")
+def built(spark):
+    return queries.built_lake(spark, SF)
+
+
+@pytest.mark.parametrize("name", [n for n in contract.queries() if n != "end_to_end"])
+def test_no_python_and_no_cross_join(spark, name):
+    plan = plan_of(contract.queries()[name](spark, SF))
+    assert not re.search(r"Python|Pandas|CartesianProduct|BroadcastNestedLoopJoin", plan)
+
+
+def test_day_predicate_prunes_partitions(spark):
+    plan = plan_of(queries.silver_one_day(spark, SF))
+    assert re.search(r"PartitionFilters: \[.*dt#\d+ = 2001-07-31", plan)
+    assert plan.count("dt=2001-") == 1
+
+
+def test_latest_event_is_limited_before_the_shuffle(spark, built):
+    plan = plan_of(current_state.current_state(built.table("payments_events")))
+    tree = plan.split("\n\n")[0]
+    assert tree.count("WindowGroupLimit") == 2
+    assert tree.count("Exchange") == 1
+    assert tree.rindex("WindowGroupLimit") > tree.index("Exchange") > tree.index("WindowGroupLimit")
+
+
+def test_revenue_reads_three_fact_columns_and_pushes_the_status(built):
+    plan = plan_of(jobs.serve(built))
+    assert "ReadSchema: struct<status:string,amount:double,merchant_id:string>" in plan
+    assert "EqualTo(status,settled)" in plan
+
+
+def test_revenue_aggregates_before_it_joins(built):
+    tree = plan_of(jobs.serve(built)).split("\n\n")[0]
+    assert tree.index("Join") < tree.index("HashAggregate", tree.index("Join"))
+
+
+def test_small_dimension_is_broadcast_and_a_large_one_is_not(built, conf):
+    assert "BroadcastHashJoin" in plan_of(jobs.serve(built))
+    conf("spark.sql.autoBroadcastJoinThreshold", "1")
+    assert "SortMergeJoin" in plan_of(jobs.serve(built))
+
+
+def test_narrow_fact_shuffles_five_columns(spark):
+    events = tables.payment_events(spark, SF)
+    plan = plan_of(current_state.fact_measures(events))
+    exchange = re.search(r"Exchange\nInput \[(\d+)\]: \[([^\]]*transaction_id[^\]]*)\]", plan)
+    assert exchange.group(1) == "5"
+
+
+def test_fact_does_not_shuffle_descriptions(spark, built):
+    plan = plan_of(current_state.fct_transactions(built.table("payments_events")))
+    assert "merchant_name" not in plan and "customer_email" not in plan
+
+
+def test_dimensions_scan_three_columns(built):
+    plan = plan_of(dimensions.dim_merchants(built.table("payments_events")))
+    assert (
+        "ReadSchema: struct<merchant_id:string,merchant_name:string,merchant_category:string>" in plan
+    )
+
+
+def test_day_counts_read_no_columns(built):
+    plan = plan_of(activity.events_per_day(built.table("payments_events")))
+    assert "ReadSchema: struct<>" in plan
+
+
+def test_flatten_is_one_projection_without_a_shuffle(spark, built):
+    plan = plan_of(flatten.flatten(read_bronze(spark, built.bronze)))
+    assert "Exchange" not in plan
+
+
+def test_orders_are_scanned_for_needed_columns_only(spark):
+    plan = plan_of(tables.payment_events(spark, SF))
+    assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint,o_totalprice:double>" in plan
