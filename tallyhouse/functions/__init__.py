@@ -11,6 +11,7 @@ from tallyhouse.functions.event_time import (
 from tallyhouse.functions.identifiers import padded_id, pick, random_token, short_token
 from tallyhouse.functions.lifecycle import (
     LIFECYCLE_RANK,
+    TIEBREAKS,
     lifecycle_rank,
     newest_first,
     precedence,
@@ -18,6 +19,7 @@ from tallyhouse.functions.lifecycle import (
 
 __all__ = [
     "LIFECYCLE_RANK",
+    "TIEBREAKS",
     "clamp",
     "event_day",
     "iso_day",

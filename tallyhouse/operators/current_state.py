@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyhouse.functions import newest_first, precedence
+from tallyhouse.functions import TIEBREAKS, newest_first, precedence
 from tallyhouse.schemas import EVENT, FACT_COLUMNS
 
 
@@ -52,12 +52,15 @@ def fct_transactions(events: DataFrame) -> DataFrame:
     return fact(current_state(events.select(*FACT_COLUMNS)))
 
 
-def fact_measures(events: DataFrame) -> DataFrame:
-    """The part of the fact that revenue needs: status, amount and merchant.
+def narrow_fact(events: DataFrame, *measures: str) -> DataFrame:
+    """The fact's key, status and time with the first few of the other columns.
 
-    For a query that goes straight from the event log: the other columns are
-    then neither read nor shuffled.
+    For a query that goes straight from the event log: columns it does not ask
+    for are neither read nor shuffled. ``measures`` are leading tiebreaks, so
+    that the same events win as in the full fact.
     """
-    measures = ["transaction_id", "event_type", "event_timestamp", "amount", "merchant_id"]
-    current = current_state(events.select(*measures))
-    return current.select(*[F.col(c).alias(FACT_COLUMNS[c]) for c in measures])
+    if list(measures) != TIEBREAKS[: len(measures)]:
+        raise ValueError(f"measures must lead {TIEBREAKS}, not {measures}")
+    columns = ["transaction_id", "event_type", "event_timestamp", *measures]
+    current = current_state(events.select(*columns))
+    return current.select(*[F.col(c).alias(FACT_COLUMNS[c]) for c in columns])

@@ -111,12 +111,12 @@ def dim_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def settled_revenue_by_merchant(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _events(spark, sf_dir)
     return revenue.settled_revenue_by_merchant(
-        current_state.fact_measures(events), dimensions.dim_merchants(events)
+        current_state.narrow_fact(events, "amount", "merchant_id"), dimensions.dim_merchants(events)
     )
 
 
 def status_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return activity.status_distribution(current_state.fact_measures(_events(spark, sf_dir)))
+    return activity.status_distribution(current_state.narrow_fact(_events(spark, sf_dir)))
 
 
 def distinct_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -133,3 +133,14 @@ def test_uncompacted_silver_has_the_same_rows(lake):
     compacted = rows_of(lake.table("payments_events"))
     jobs.promote_silver(lake, compact=False)
     assert rows_of(lake.table("payments_events")) == compacted
+
+
+def test_submitted_steps(spark, lake):
+    import job
+    from tallyhouse.schemas import REVENUE
+    from tallyhouse.sources.export import read_tsv
+
+    write_bronze(lake, history())
+    job.run(lake, ["silver", "current", "marts", "quality", "serve"])
+    result = read_tsv(spark, f"{lake.root}/results/settled_revenue_by_merchant", REVENUE)
+    assert rows_of(result) == rows_of(jobs.serve(lake)) == [("Shop", "retail", 1, 10.5)]

@@ -57,7 +57,7 @@ def test_small_dimension_is_broadcast_and_a_large_one_is_not(built, conf):
 
 def test_narrow_fact_shuffles_five_columns(spark):
     events = tables.payment_events(spark, SF)
-    plan = plan_of(current_state.fact_measures(events))
+    plan = plan_of(current_state.narrow_fact(events, "amount", "merchant_id"))
     exchange = re.search(r"Exchange\nInput \[(\d+)\]: \[([^\]]*transaction_id[^\]]*)\]", plan)
     assert exchange.group(1) == "5"
 

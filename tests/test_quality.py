@@ -1,0 +1,76 @@
+"""Rules on the star schema, and how far a layer is behind."""
+
+import datetime
+
+import pytest
+
+from tallyhouse.operators import quality
+from tallyhouse.operators.current_state import fct_transactions
+from tallyhouse.operators.dimensions import dim_customers, dim_merchants
+from tallyhouse.operators.flatten import flatten
+from tallyhouse.plans import checks, jobs
+from tests.conftest import bronze_frame, event, write_bronze
+
+
+def violations(spark, *events, fact=None):
+    flat = flatten(bronze_frame(spark, events))
+    report = quality.quality_violations(
+        fact or fct_transactions(flat), dim_merchants(flat), dim_customers(flat)
+    )
+    return report, {r["rule"]: r["violations"] for r in report.collect() if r["violations"]}
+
+
+def test_clean_data_breaks_nothing(spark):
+    report, broken = violations(spark, event("t1"), event("t2", "refunded"))
+    assert broken == {} and report.count() == 11
+    quality.require_quality(report)
+
+
+def test_missing_values_and_unknown_status(spark):
+    _, broken = violations(
+        spark,
+        event("t1", amount=None),
+        event("t2", "chargeback"),
+        event("t3", None),
+        event("t4", at=None),
+        event(None),
+    )
+    assert broken == {
+        "fct_transactions: amount is present": 1,
+        "fct_transactions: status is known": 2,
+        "fct_transactions: last_event_at is present": 1,
+        "fct_transactions: transaction_id is present": 1,
+    }
+
+
+def test_renamed_merchant_breaks_uniqueness(spark):
+    report, broken = violations(spark, event("t1"), event("t2", merchant={"name": "Shop & Co"}))
+    assert broken == {"dim_merchants: merchant_id is unique": 1}
+    with pytest.raises(quality.QualityError, match="merchant_id is unique: 1"):
+        quality.require_quality(report)
+
+
+def test_repeated_and_dangling_keys(spark):
+    other = flatten(bronze_frame(spark, [event("t1", merchant={"merchant_id": "m9"})]))
+    facts = fct_transactions(other)
+    _, broken = violations(spark, event("t1"), fact=facts.unionByName(facts))
+    assert broken == {
+        "fct_transactions: transaction_id is unique": 1,
+        "fct_transactions: merchant_id resolves": 1,
+    }
+
+
+def test_freshness(lake):
+    write_bronze(lake, [event("t1", at="2026-08-01T10:00:00Z")])
+    jobs.promote_silver_and_current(lake)
+    assert checks.unpromoted_days(lake).count() == 0
+    write_bronze(lake, [event("t2", at="2026-08-03T11:00:00Z")])
+    write_bronze(lake, [event("t3", at="2026-08-02T11:00:00Z")])
+    assert [r["dt"] for r in checks.unpromoted_days(lake).collect()] == ["2026-08-02", "2026-08-03"]
+    newest = {r["layer"]: r["newest_event"] for r in checks.layer_freshness(lake).collect()}
+    before, after = datetime.datetime(2026, 8, 1, 10), datetime.datetime(2026, 8, 3, 11)
+    assert newest == {"bronze": after, "silver": before, "gold": before}
+    jobs.promote_silver_and_current(lake)
+    assert checks.unpromoted_days(lake).count() == 0
+    newest = {r["layer"]: r["newest_event"] for r in checks.layer_freshness(lake).collect()}
+    assert newest == {"bronze": after, "silver": after, "gold": after}

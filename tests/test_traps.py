@@ -10,8 +10,8 @@ from pyspark.errors import PySparkException
 from tallyhouse.operators.current_state import (
     current_state,
     current_state_by_max,
-    fact_measures,
     fct_transactions,
+    narrow_fact,
 )
 from tallyhouse.operators.dimensions import dim_merchants
 from tallyhouse.operators.flatten import flatten
@@ -30,7 +30,7 @@ def status(spark, *events):
     flat = flatten(bronze_frame(spark, events))
     by_window = current_state(flat).select("event_type").collect()
     by_max = current_state_by_max(flat).select("event_type").collect()
-    narrow = fact_measures(flat).select("status").collect()
+    narrow = narrow_fact(flat).select("status").collect()
     assert len(by_window) == 1
     assert [tuple(r) for r in by_window] == [tuple(r) for r in by_max] == [tuple(r) for r in narrow]
     return by_window[0][0]
@@ -76,10 +76,16 @@ def test_narrow_and_wide_fact_pick_the_same_event(spark):
     flat = flatten(bronze_frame(spark, events))
     columns = ["transaction_id", "status", "last_event_at", "amount", "merchant_id"]
     assert rows_of(fct_transactions(flat).select(*columns)) == rows_of(
-        fact_measures(flat).select(*columns)
+        narrow_fact(flat, "amount", "merchant_id").select(*columns)
     )
 
 
+def test_narrow_fact_takes_leading_tiebreaks_only(spark):
+    flat = flatten(bronze_frame(spark, [event()]))
+    with pytest.raises(ValueError, match="lead"):
+        narrow_fact(flat, "currency")
+
+
 def test_null_transaction_is_one_group(spark):
     flat = flatten(
         bronze_frame(spark, [event(None, "created"), event(None, "settled"), event("t2")])
