@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions import parse_event_time
 from tallyhouse.operators import quality
+from tallyhouse.schemas import NO_DAY
 from tallyhouse.session import require_utc
 from tallyhouse.sources.bronze import bronze_files, read_bronze
 from tallyhouse.sources.catalog import Lake, registered_days
@@ -33,9 +34,9 @@ def unpromoted_days(lake: Lake) -> DataFrame:
 def layer_freshness(lake: Lake) -> DataFrame:
     """The newest event of each layer; bronze and silver read their newest day only."""
     require_utc(lake.spark)
-    landed = bronze_files(lake.spark, lake.bronze).agg(F.max("dt").alias("dt"))
-    newest_landed = landed.first()["dt"]
-    newest_stored = max(registered_days(lake, "payments_events"), default=None)
+    landed = bronze_files(lake.spark, lake.bronze).where(F.col("dt") != NO_DAY)
+    newest_landed = landed.agg(F.max("dt").alias("dt")).first()["dt"]
+    newest_stored = max(registered_days(lake, "payments_events") - {NO_DAY}, default=None)
     bronze = read_bronze(lake.spark, lake.bronze).where(F.col("dt") == newest_landed)
     silver = lake.table("payments_events").where(F.col("dt") == newest_stored)
     layers = [

@@ -38,6 +38,8 @@ BRONZE_EVENT = StructType(
 )
 
 EVENT_DAY = StructField("dt", StringType())
+# The folder Spark puts rows without a day in; they read back with a null day.
+NO_DAY = "__HIVE_DEFAULT_PARTITION__"
 
 # Columns that change type between bronze and silver.
 _SILVER_TYPES: dict[str, DataType] = {"event_timestamp": TimestampNTZType()}

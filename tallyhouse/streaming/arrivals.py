@@ -17,7 +17,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from tallyhouse.operators.activity import event_days
 from tallyhouse.operators.current_state import current_state
 from tallyhouse.operators.flatten import flatten
-from tallyhouse.schemas import BRONZE_STORED, EVENT, EVENT_DAY, SILVER_STORED
+from tallyhouse.schemas import BRONZE_STORED, EVENT, EVENT_DAY, NO_DAY, SILVER_STORED
 from tallyhouse.session import require_utc
 from tallyhouse.sources.bronze import JSON_FILES
 from tallyhouse.sources.catalog import (
@@ -51,7 +51,7 @@ def _append_batch(lake: Lake, batch: DataFrame, batch_id: int) -> None:
     )
     create_table(lake, ARRIVED, folder, ARRIVED_SPEC)
     written = lake.spark.read.schema(SILVER_STORED).parquet(f"{folder}/{BATCH.name}={batch_id}")
-    days = [row[EVENT_DAY.name] for row in event_days(written).collect()]
+    days = [row[EVENT_DAY.name] or NO_DAY for row in event_days(written).collect()]
     add_partitions(
         lake, ARRIVED, [{BATCH.name: str(batch_id), EVENT_DAY.name: day} for day in days]
     )

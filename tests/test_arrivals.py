@@ -1,9 +1,12 @@
 """Promotion that follows arrivals gives what a rebuild gives."""
 
+import json
+
 from tallyhouse.plans import jobs
+from tallyhouse.schemas import NO_DAY
 from tallyhouse.sources import tables
 from tallyhouse.streaming import arrivals
-from tests.conftest import SF, event, rows_of, write_bronze
+from tests.conftest import SF, event, rows_of, write_bronze, write_text
 
 
 def promoted(lake):
@@ -20,16 +23,17 @@ def rebuilt(lake):
 
 def test_arrivals_equal_a_rebuild(spark, lake):
     jobs.ingest(lake, tables.bronze_events(spark, SF))
-    arrivals.promote_arrivals(lake, files_per_batch=3)
+    arrivals.promote_arrivals(lake, files_per_batch=5)
     assert lake.table(arrivals.ARRIVED).select("batch").distinct().count() > 1
     assert promoted(lake) == rebuilt(lake)
 
 
 def test_only_new_files_are_promoted(lake):
     write_bronze(lake, [event("t1", "settled", "2026-08-02T10:00:00Z"), event("t2", "created")])
+    write_text(f"{lake.bronze}/dt={NO_DAY}/x.json", json.dumps(event("t2", "refunded", at=None)))
     arrivals.promote_arrivals(lake)
     arrivals.promote_arrivals(lake)
-    assert lake.table(arrivals.ARRIVED).count() == 2
+    assert lake.table(arrivals.ARRIVED).count() == 3
     # One event arrives late, one supersedes, one is of a new transaction.
     write_bronze(
         lake,

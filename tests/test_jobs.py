@@ -72,6 +72,17 @@ def test_late_events_join_their_own_day(lake):
     assert lake.table("fct_transactions").count() == 3
 
 
+def test_events_without_a_time_are_kept(spark, lake):
+    from tests.conftest import bronze_frame
+
+    jobs.ingest(lake, bronze_frame(spark, [event("t1"), event("t2", at=None)]).drop("dt"))
+    assert jobs.promote_silver_and_current(lake) == PartitionChange(2, 0, 0)
+    assert {r["dt"]: r["n_events"] for r in jobs.silver_report(lake).collect()} == {
+        "2026-08-06": 1, None: 1,
+    }
+    assert lake.table("payments_current").count() == 2
+
+
 def test_vanished_day_is_gone_after_a_rebuild(lake, tmp_path):
     write_bronze(lake, history())
     build(lake)

@@ -1,6 +1,7 @@
 """Rules on the star schema, and how far a layer is behind."""
 
 import datetime
+import json
 
 import pytest
 
@@ -9,7 +10,8 @@ from tallyhouse.operators.current_state import fct_transactions
 from tallyhouse.operators.dimensions import dim_customers, dim_merchants
 from tallyhouse.operators.flatten import flatten
 from tallyhouse.plans import checks, jobs
-from tests.conftest import bronze_frame, event, write_bronze
+from tallyhouse.schemas import NO_DAY
+from tests.conftest import bronze_frame, event, write_bronze, write_text
 
 
 def violations(spark, *events, fact=None):
@@ -62,6 +64,7 @@ def test_repeated_and_dangling_keys(spark):
 
 def test_freshness(lake):
     write_bronze(lake, [event("t1", at="2026-08-01T10:00:00Z")])
+    write_text(f"{lake.bronze}/dt={NO_DAY}/x.json", json.dumps(event("t0", at=None)))
     jobs.promote_silver_and_current(lake)
     assert checks.unpromoted_days(lake).count() == 0
     write_bronze(lake, [event("t2", at="2026-08-03T11:00:00Z")])
