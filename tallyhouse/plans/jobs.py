@@ -18,14 +18,19 @@ from tallyhouse.operators.flatten import flatten
 from tallyhouse.operators.revenue import settled_revenue_by_merchant
 from tallyhouse.schemas import EVENT_DAY
 from tallyhouse.session import require_utc
-from tallyhouse.sizing import sized_for
-from tallyhouse.sources.bronze import bronze_bytes, land_bronze, read_bronze
+from tallyhouse.sizing import compaction_pays, sized_for
+from tallyhouse.sources.bronze import bronze_files, land_bronze, read_bronze, total_bytes
 from tallyhouse.sources.catalog import Lake, PartitionChange, publish
 
 # Marts are independent of each other; two are built at a time.
 MART_THREADS = 2
 
 
+def bronze_size(lake: Lake) -> int:
+    """Bytes in bronze: every later layer is smaller, so its jobs are sized by them too."""
+    return total_bytes(bronze_files(lake.spark, lake.bronze))
+
+
 def has_rows(frame: DataFrame) -> bool:
     """Whether there is any row; tries one split, and more only while none has a row.
 
@@ -38,18 +43,22 @@ def ingest(lake: Lake, events: DataFrame) -> None:
     land_bronze(events, lake.bronze)
 
 
-def promote_silver(lake: Lake, compact: bool = True) -> PartitionChange | None:
+def promote_silver(lake: Lake, compact: bool | None = None) -> PartitionChange | None:
     """Rebuild the silver event log from all of bronze; None if there is none.
 
     ``compact`` shuffles events to their day so that a day's many bronze objects
-    become few files. Where bronze objects are already larger than the target
-    file size, leave it out and the job has no shuffle.
+    become few files. Unless told, the job does so where the listing of bronze
+    says it pays; where bronze objects are large it has no shuffle at all.
     """
     require_utc(lake.spark)
     bronze = read_bronze(lake.spark, lake.bronze)
     if not has_rows(bronze):
         return None
-    with sized_for(lake.spark, bronze_bytes(lake.spark, lake.bronze)):
+    files = bronze_files(lake.spark, lake.bronze)
+    size = total_bytes(files)
+    if compact is None:
+        compact = compaction_pays(files, size, lake.spark.sparkContext.defaultParallelism)
+    with sized_for(lake.spark, size):
         silver = flatten(bronze)
         if compact:
             silver = silver.hint("rebalance", EVENT_DAY.name)
@@ -63,11 +72,11 @@ def silver_report(lake: Lake) -> DataFrame:
 
 def build_current(lake: Lake) -> None:
     """Rebuild the current state of every transaction from silver."""
-    with sized_for(lake.spark, bronze_bytes(lake.spark, lake.bronze)):
+    with sized_for(lake.spark, bronze_size(lake)):
         publish(lake, "payments_current", state.current_state(lake.table("payments_events")))
 
 
-def promote_silver_and_current(lake: Lake, compact: bool = True) -> PartitionChange | None:
+def promote_silver_and_current(lake: Lake, compact: bool | None = None) -> PartitionChange | None:
     """Both in one go; current state reads the silver just written, not bronze again."""
     change = promote_silver(lake, compact)
     if change is not None:
@@ -88,7 +97,7 @@ def build_marts(lake: Lake, current: DataFrame | None = None) -> None:
         "dim_customers": dim_customers(events),
     }
     with (
-        sized_for(lake.spark, bronze_bytes(lake.spark, lake.bronze)),
+        sized_for(lake.spark, bronze_size(lake)),
         ThreadPoolExecutor(MART_THREADS) as pool,
     ):
         builds = [pool.submit(publish, lake, name, rows) for name, rows in marts.items()]

@@ -6,7 +6,8 @@ import math
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 MB = 1 << 20
 SPLIT_BYTES = (128 * MB, 1024 * MB)
@@ -14,6 +15,12 @@ MAX_SCAN_TASKS = 200_000
 REDUCER_BYTES = 512 * MB
 MAX_REDUCERS = 50_000
 
+# Compaction: JSON that makes one Parquet file of a good size, the smallest split
+# Spark cuts, and how many times fewer files make the shuffle worth it.
+FILE_BYTES = 1024 * MB
+OPEN_COST = 4 * MB
+WORTH_IT = 4
+
 _SPLITS = "spark.sql.files.maxPartitionBytes"
 _REDUCERS = "spark.sql.shuffle.partitions"
 
@@ -33,6 +40,23 @@ def reducers(input_bytes: int, at_least: int) -> int:
     return max(at_least, min(math.ceil(input_bytes / REDUCER_BYTES), MAX_REDUCERS))
 
 
+def compaction_pays(files: DataFrame, input_bytes: int, parallelism: int) -> bool:
+    """Whether gathering events by day leaves far fewer files than scan tasks would.
+
+    ``files`` has the ``dt`` and ``length`` of each input. Without a shuffle each
+    split of an input becomes a file of its own, so many small inputs, or few
+    inputs cut up for many cores, are worth gathering; large ones are not.
+    """
+    split = min(split_bytes(input_bytes), max(OPEN_COST, input_bytes // parallelism))
+    per_day = files.groupBy("dt").agg(
+        F.sum(F.ceil(F.col("length") / split)).alias("scattered"),
+        F.ceil(F.sum("length") / FILE_BYTES).alias("gathered"),
+    )
+    total = per_day.agg(F.sum("scattered").alias("scattered"), F.sum("gathered").alias("gathered"))
+    row = total.first()
+    return (row["scattered"] or 0) > WORTH_IT * (row["gathered"] or 0)
+
+
 @contextmanager
 def sized_for(spark: SparkSession, input_bytes: int) -> Iterator[None]:
     """Run a job with both settings fit to its input; never below the session's."""

@@ -65,6 +65,5 @@ def bronze_files(spark: SparkSession, path: str) -> DataFrame:
     return listing.select(day.alias(EVENT_DAY.name), "length")
 
 
-def bronze_bytes(spark: SparkSession, path: str) -> int:
-    total = F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")
-    return bronze_files(spark, path).agg(total).first()["bytes"]
+def total_bytes(files: DataFrame) -> int:
+    return files.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).first()["bytes"]

@@ -107,6 +107,20 @@ def test_splits_and_reducers_follow_the_input():
     assert sizing.reducers(100 * TB, at_least=200) == sizing.MAX_REDUCERS
 
 
+def test_compaction_is_for_scattered_inputs(spark):
+    def pays(days, objects, size, parallelism):
+        files = spark.range(days * objects).select(
+            (F.col("id") % days).cast("string").alias("dt"), F.lit(size).alias("length")
+        )
+        return sizing.compaction_pays(files, days * objects * size, parallelism)
+
+    assert pays(30, 400, 300_000, 8)  # a year of small daily runs
+    assert not pays(30, 1, 300_000, 8)
+    assert pays(10, 1, 1024 * sizing.MB, 4000)  # cut up for many cores
+    assert not pays(500, 100, 2 * 1024 * sizing.MB, 4000)  # 100 TB in large objects
+    assert not sizing.compaction_pays(spark.createDataFrame([], "dt string, length bigint"), 0, 8)
+
+
 def test_sizes_hold_for_one_job_only(spark):
     reducers = spark.conf.get("spark.sql.shuffle.partitions")
     splits = spark.conf.get("spark.sql.files.maxPartitionBytes")

@@ -1,11 +1,13 @@
 """The jobs end to end: rerun, rebuild, late events, and what each one touches."""
 
+from pathlib import Path
+
 import pytest
 
 from tallyhouse.plans import checks, jobs
 from tallyhouse.schemas import EVENT, FACT, SILVER_STORED, types_of
 from tallyhouse.sources import tables
-from tallyhouse.sources.catalog import PartitionChange, registered_days
+from tallyhouse.sources.catalog import PartitionChange, location, registered_days
 from tests.conftest import SF, event, rows_of, write_bronze
 
 LAYERS = [
@@ -138,12 +140,25 @@ def test_counts_agree_across_layers(spark, lake):
     assert checks.quality_violations(lake).where("violations > 0").count() == 0
 
 
-def test_uncompacted_silver_has_the_same_rows(lake):
-    write_bronze(lake, history())
-    jobs.promote_silver(lake)
-    compacted = rows_of(lake.table("payments_events"))
+def files_per_day(lake):
+    folder = Path(location(lake, "payments_events").removeprefix("file:"))
+    return {d.name: len(list(d.glob("*.parquet"))) for d in folder.glob("dt=*")}
+
+
+def test_many_objects_of_a_day_become_one_file(lake, conf):
+    """Eight runs land two days each; packed as one object per task they stay apart."""
+    conf("spark.sql.files.openCostInBytes", "1m")
+    for run in range(8):
+        write_bronze(
+            lake,
+            [event(f"t{run}", at=at) for at in ("2026-08-01T10:00:00Z", "2026-08-02T10:00:00Z")],
+        )
     jobs.promote_silver(lake, compact=False)
-    assert rows_of(lake.table("payments_events")) == compacted
+    scattered, rows = files_per_day(lake), rows_of(lake.table("payments_events"))
+    jobs.promote_silver(lake)
+    assert files_per_day(lake) == {"dt=2026-08-01": 1, "dt=2026-08-02": 1}
+    assert sum(scattered.values()) > 2
+    assert rows_of(lake.table("payments_events")) == rows and len(rows) == 16
 
 
 def test_submitted_steps(spark, lake):
