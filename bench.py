@@ -90,7 +90,7 @@ def main() -> None:
                 "value": round(sum(times.values()), 3),
                 "unit": "sec",
                 "queries": times,
-                "sf": Path(SF_DIR).name.removeprefix("sf"),
+                "sf": float(Path(SF_DIR).name.removeprefix("sf")),
                 "stages": stages,
                 "variants": variants,
                 "warm_up": warm_up,

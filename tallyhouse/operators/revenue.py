@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Doubles added in another order give another sum, and every retry is another
+# order. Amounts are added as decimals: exactly, to a millionth, up to 10^28.
+EXACT = "decimal(24,6)"
+
 
 def settled_revenue_by_merchant(fact: DataFrame, merchants: DataFrame) -> DataFrame:
     """Settled transactions and amount per merchant name and category.
@@ -21,14 +25,14 @@ def settled_revenue_by_merchant(fact: DataFrame, merchants: DataFrame) -> DataFr
     settled = (
         fact.where(F.col("status") == "settled")
         .groupBy("merchant_id")
-        .agg(F.count(F.lit(1)).alias("settled"), F.sum("amount").alias("amount"))
+        .agg(F.count(F.lit(1)).alias("settled"), F.sum(F.col("amount").cast(EXACT)).alias("amount"))
     )
     return (
         settled.join(merchants, "merchant_id")
         .groupBy("merchant_name", "merchant_category")
         .agg(
             F.sum("settled").alias("settled_transactions"),
-            F.round(F.sum("amount"), 2).alias("total_settled_amount"),
+            F.round(F.sum("amount"), 2).cast("double").alias("total_settled_amount"),
         )
         .orderBy(F.desc("total_settled_amount"))
     )

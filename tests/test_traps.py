@@ -223,3 +223,17 @@ def test_currencies_are_summed_as_they_are(spark):
 def test_unknown_merchant_is_not_joined(spark):
     rows = settled(spark, event("t1"), event("t2", merchant={"merchant_id": None}))
     assert rows == [("Shop", "retail", 1, 10.5)]
+
+
+def test_sums_do_not_depend_on_order(spark):
+    from pyspark.sql import functions as F
+
+    from tallyhouse.operators.current_state import fact
+
+    base = flatten(bronze_frame(spark, [event()]))
+    cents = F.when(F.col("id") == 0, 9e15).when(F.col("id") == 50_000, -9e15).otherwise(0.01)
+    rows = spark.range(100_000).crossJoin(base.drop("amount")).withColumn("amount", cents)
+    facts, merchants = fact(rows.select(*base.columns)), dim_merchants(base)
+    for parts in (1, 7, 13):
+        (row,) = settled_revenue_by_merchant(facts.repartition(parts), merchants).collect()
+        assert row["total_settled_amount"] == 999.98
