@@ -4,7 +4,9 @@ A rebuild must not harm the table it replaces: overwriting in place empties the
 folder before the new rows exist, so a failed job would leave nothing. Each
 table therefore has two folders. A rebuild overwrites the one the catalog does
 not point at, and only a finished rebuild is put in the table's place. A query
-that is already running keeps the files it started with.
+that is already running keeps the files it started with. The swap is two catalog
+statements, between which the name is free; if a job dies there, the next
+rebuild finishes it.
 """
 
 from __future__ import annotations
@@ -97,7 +99,7 @@ def registered_days(lake: Lake, table: str) -> set[str]:
     return {row["partition"].removeprefix("dt=") for row in partitions}
 
 
-def add_partitions(lake: Lake, table: str, values: Iterable[dict[str, str]]) -> None:
+def add_partitions(lake: Lake, table: str, values: Iterable[dict[str, object]]) -> None:
     """Add partitions by their column values; one that is there already is not an error."""
     clauses = [
         f"PARTITION ({', '.join(f"{column} = '{value}'" for column, value in each.items())})"

@@ -1,11 +1,11 @@
 """Arrival-driven promotion, beside the full rebuild.
 
 Each run takes the bronze files that arrived since the last one and stops. A
-batch of them goes to the event log under its own ``batch`` partition and is
+batch of them goes to the event log under a ``batch`` folder of its own and is
 merged into the current state, which is the latest event of what was current
 and what arrived. Both steps give the same result when a batch is run again
-after a failure: the partition is overwritten, and merging an event twice
-changes nothing.
+after a failure: the folder is overwritten, and merging an event twice changes
+nothing.
 """
 
 from __future__ import annotations
@@ -39,21 +39,21 @@ CURRENT_SPEC = TableSpec(EVENT, "gold/arrived_current")
 
 
 def _append_batch(lake: Lake, batch: DataFrame, batch_id: int) -> None:
-    rows = batch.withColumn(BATCH.name, F.lit(batch_id).cast(BATCH.dataType))
     folder = f"{lake.root}/{ARRIVED_SPEC.folder}"
+    own = f"{folder}/{BATCH.name}={batch_id}"
     (
-        rows.hint("rebalance", EVENT_DAY.name)
+        batch.hint("rebalance", EVENT_DAY.name)
         .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
         .option("compression", "snappy")
-        .partitionBy(*ARRIVED_SPEC.partition_by)
-        .parquet(folder)
+        .partitionBy(EVENT_DAY.name)
+        .parquet(own)
     )
     create_table(lake, ARRIVED, folder, ARRIVED_SPEC)
-    written = lake.spark.read.schema(SILVER_STORED).parquet(f"{folder}/{BATCH.name}={batch_id}")
-    days = [row[EVENT_DAY.name] or NO_DAY for row in event_days(written).collect()]
+    written = event_days(lake.spark.read.schema(SILVER_STORED).parquet(own)).collect()
     add_partitions(
-        lake, ARRIVED, [{BATCH.name: str(batch_id), EVENT_DAY.name: day} for day in days]
+        lake,
+        ARRIVED,
+        [{BATCH.name: batch_id, EVENT_DAY.name: row[EVENT_DAY.name] or NO_DAY} for row in written],
     )
 
 

@@ -44,7 +44,8 @@ def test_only_new_files_are_promoted(lake):
         ],
     )
     arrivals.promote_arrivals(lake)
-    status = {r["transaction_id"]: r["event_type"] for r in lake.table(arrivals.ARRIVED_CURRENT).collect()}
+    current = lake.table(arrivals.ARRIVED_CURRENT).collect()
+    status = {r["transaction_id"]: r["event_type"] for r in current}
     assert status == {"t1": "settled", "t2": "authorized", "t3": "created"}
     assert promoted(lake) == rebuilt(lake)
 
