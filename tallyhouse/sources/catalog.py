@@ -4,9 +4,10 @@ A rebuild must not harm the table it replaces: overwriting in place empties the
 folder before the new rows exist, so a failed job would leave nothing. Each
 table therefore has two folders. A rebuild overwrites the one the catalog does
 not point at, and only a finished rebuild is put in the table's place. A query
-that is already running keeps the files it started with. The swap is two catalog
-statements, between which the name is free; if a job dies there, the next
-rebuild finishes it.
+that is already running keeps the files it started with. A table without
+partitions is pointed at its new folder in one statement. Partitions know their
+own folders, so a partitioned table is swapped for a new one in two; the name is
+free between them, and if a job dies there the next rebuild finishes the swap.
 """
 
 from __future__ import annotations
@@ -101,10 +102,10 @@ def registered_days(lake: Lake, table: str) -> set[str]:
 
 def add_partitions(lake: Lake, table: str, values: Iterable[dict[str, object]]) -> None:
     """Add partitions by their column values; one that is there already is not an error."""
-    clauses = [
-        f"PARTITION ({', '.join(f"{column} = '{value}'" for column, value in each.items())})"
-        for each in values
-    ]
+    clauses = []
+    for each in values:
+        pairs = ", ".join(f"{column} = '{value}'" for column, value in each.items())
+        clauses.append(f"PARTITION ({pairs})")
     if clauses:
         lake.spark.sql(f"ALTER TABLE {lake.name(table)} ADD IF NOT EXISTS {' '.join(clauses)}")
 
@@ -134,7 +135,11 @@ def _check_schema(rows: DataFrame, table: str, spec: TableSpec) -> None:
 
 
 def publish(lake: Lake, table: str, rows: DataFrame, spec: TableSpec | None = None) -> PartitionChange:
-    """Rebuild ``table`` from ``rows``; the old table stays until this is done."""
+    """Rebuild ``table`` from ``rows``; the old table stays until this is done.
+
+    ``rows`` may read the table itself, as the catalog names it now: a frame kept
+    from before the last rebuild may still read the folder written here.
+    """
     spec = spec or TABLES[table]
     _check_schema(rows, table, spec)
     create_database(lake)
@@ -149,6 +154,10 @@ def publish(lake: Lake, table: str, rows: DataFrame, spec: TableSpec | None = No
         writer = writer.partitionBy(*spec.partition_by)
     writer.parquet(target)
 
+    if live and not spec.partition_by and _has_schema(lake, table, spec):
+        lake.spark.sql(f"ALTER TABLE {lake.name(table)} SET LOCATION '{target}'")
+        return PartitionChange(0, 0)
+
     lake.spark.sql(f"DROP TABLE IF EXISTS {lake.name(building)}")
     create_table(lake, building, target, spec)
     change = PartitionChange(0, 0)
@@ -160,6 +169,10 @@ def publish(lake: Lake, table: str, rows: DataFrame, spec: TableSpec | None = No
     return change
 
 
+def _has_schema(lake: Lake, table: str, spec: TableSpec) -> bool:
+    return schemas.types_of(lake.table(table).schema) == schemas.types_of(spec.schema)
+
+
 def _swap(lake: Lake, table: str, building: str) -> None:
     # Both are external tables: dropping one leaves its files alone.
     lake.spark.sql(f"DROP TABLE IF EXISTS {lake.name(table)}")

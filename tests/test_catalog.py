@@ -84,6 +84,23 @@ def test_publish_alternates_between_two_folders(spark, lake):
     assert seen == ["blue", "green", "blue"]
 
 
+def test_table_without_partitions_is_pointed_at_its_new_folder(spark, lake):
+    events = silver(spark).drop("dt")
+    seen = []
+    for rows in (events, events.limit(1), events):
+        catalog.publish(lake, "payments_current", rows)
+        folder = catalog.location(lake, "payments_current").rsplit("/", 1)[1]
+        seen.append((folder, lake.table("payments_current").count()))
+    assert seen == [("blue", 3), ("green", 1), ("blue", 3)]
+
+
+def test_table_with_other_columns_is_replaced(spark, lake):
+    catalog.create_database(lake)
+    spark.sql(f"CREATE TABLE {lake.name('payments_current')} (a INT) USING parquet")
+    catalog.publish(lake, "payments_current", silver(spark).drop("dt"))
+    assert types_of(lake.table("payments_current").schema) == types_of(EVENT)
+
+
 def test_publish_may_read_the_table_it_replaces(spark, lake):
     catalog.publish(lake, "payments_events", silver(spark))
     doubled = lake.table("payments_events").unionByName(lake.table("payments_events"))
