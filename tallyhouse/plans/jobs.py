@@ -20,17 +20,18 @@ from tallyhouse.schemas import EVENT_DAY
 from tallyhouse.session import require_utc
 from tallyhouse.sizing import compaction_pays, sized_for
 from tallyhouse.sources.bronze import bronze_files, land_bronze, read_bronze, total_bytes
-from tallyhouse.sources.catalog import Lake, PartitionChange, publish
+from tallyhouse.sources.catalog import (
+    Lake,
+    PartitionChange,
+    publish,
+    set_source_bytes,
+    source_bytes,
+)
 
 # Marts are independent of each other; two are built at a time.
 MART_THREADS = 2
 
 
-def bronze_size(lake: Lake) -> int:
-    """Bytes in bronze: every later layer is smaller, so its jobs are sized by them too."""
-    return total_bytes(bronze_files(lake.spark, lake.bronze))
-
-
 def has_rows(frame: DataFrame) -> bool:
     """Whether there is any row; tries one split, and more only while none has a row.
 
@@ -62,7 +63,9 @@ def promote_silver(lake: Lake, compact: bool | None = None) -> PartitionChange |
         silver = flatten(bronze)
         if compact:
             silver = silver.hint("rebalance", EVENT_DAY.name)
-        return publish(lake, "payments_events", silver)
+        change = publish(lake, "payments_events", silver)
+    set_source_bytes(lake, "payments_events", size)
+    return change
 
 
 def silver_report(lake: Lake) -> DataFrame:
@@ -71,8 +74,12 @@ def silver_report(lake: Lake) -> DataFrame:
 
 
 def build_current(lake: Lake) -> None:
-    """Rebuild the current state of every transaction from silver."""
-    with sized_for(lake.spark, bronze_size(lake)):
+    """Rebuild the current state of every transaction from silver.
+
+    This job and the marts are sized by the bronze that silver was built from,
+    which is larger than anything they shuffle.
+    """
+    with sized_for(lake.spark, source_bytes(lake, "payments_events")):
         publish(lake, "payments_current", state.current_state(lake.table("payments_events")))
 
 
@@ -97,7 +104,7 @@ def build_marts(lake: Lake, current: DataFrame | None = None) -> None:
         "dim_customers": dim_customers(events),
     }
     with (
-        sized_for(lake.spark, bronze_size(lake)),
+        sized_for(lake.spark, source_bytes(lake, "payments_events")),
         ThreadPoolExecutor(MART_THREADS) as pool,
     ):
         builds = [pool.submit(publish, lake, name, rows) for name, rows in marts.items()]

@@ -156,6 +156,22 @@ def registered_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return activity.events_per_day(lake.table(table))
 
 
+def stored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return promoted_lake(spark, sf_dir).table("payments_events")
+
+
+def stored_fct_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return built_lake(spark, sf_dir).table("fct_transactions")
+
+
+def stored_dim_merchants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return built_lake(spark, sf_dir).table("dim_merchants")
+
+
+def stored_dim_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return built_lake(spark, sf_dir).table("dim_customers")
+
+
 def stored_payments_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     return built_lake(spark, sf_dir).table("payments_current")
 
@@ -206,7 +222,11 @@ REGISTERED = [
     silver_partition_counts,
     silver_one_day,
     registered_partitions,
+    stored_events,
     stored_payments_current,
+    stored_fct_transactions,
+    stored_dim_merchants,
+    stored_dim_customers,
     stored_revenue_by_merchant,
     serving_export,
     end_to_end,

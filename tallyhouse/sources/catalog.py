@@ -37,6 +37,7 @@ TABLES = {
 }
 
 FOLDERS = ("blue", "green")
+SOURCE_BYTES = "lake.source.bytes"
 
 
 @dataclass(frozen=True)
@@ -84,6 +85,20 @@ def create_table(lake: Lake, table: str, location: str, spec: TableSpec | None =
     )
 
 
+def set_source_bytes(lake: Lake, table: str, size: int) -> None:
+    """Note with a table how many bytes it was built from."""
+    lake.spark.sql(
+        f"ALTER TABLE {lake.name(table)} SET TBLPROPERTIES ('{SOURCE_BYTES}' = '{size}')"
+    )
+
+
+def source_bytes(lake: Lake, table: str) -> int:
+    """What was noted, or 0."""
+    properties = lake.spark.sql(f"SHOW TBLPROPERTIES {lake.name(table)}")
+    noted = properties.where(f"key = '{SOURCE_BYTES}'").first()
+    return int(noted["value"]) if noted else 0
+
+
 def location(lake: Lake, table: str) -> str | None:
     """The folder the catalog points at, if the table exists."""
     if not lake.exists(table):

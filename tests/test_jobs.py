@@ -7,7 +7,12 @@ import pytest
 from tallyhouse.plans import checks, jobs
 from tallyhouse.schemas import EVENT, FACT, SILVER_STORED, types_of
 from tallyhouse.sources import tables
-from tallyhouse.sources.catalog import PartitionChange, location, registered_days
+from tallyhouse.sources.catalog import (
+    PartitionChange,
+    location,
+    registered_days,
+    source_bytes,
+)
 from tests.conftest import SF, event, rows_of, write_bronze
 
 LAYERS = [
@@ -47,6 +52,16 @@ def test_build_and_rerun(lake):
     assert contents(lake) == first
 
 
+def test_silver_notes_the_size_of_its_bronze(spark, lake):
+    write_bronze(lake, history())
+    jobs.promote_silver(lake)
+    size = sum(f.stat().st_size for f in Path(lake.bronze).glob("dt=*/*.json"))
+    assert source_bytes(lake, "payments_events") == size > 0
+    build(lake)
+    assert source_bytes(lake, "payments_events") == size
+    assert source_bytes(lake, "payments_current") == 0
+
+
 def test_declared_schemas_are_stored(lake):
     write_bronze(lake, history())
     build(lake)
