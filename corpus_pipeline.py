@@ -12,7 +12,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyhouse.llm import decontaminate, mixing, token_store
+from tallyhouse.llm import decontaminate, mixing, ngram_join, token_store, toxicity
 from tallyhouse.llm.common import ship, stored, table
 from tallyhouse.llm.queries import TOKENIZER
 
@@ -20,6 +20,16 @@ from tallyhouse.llm.queries import TOKENIZER
 ORACLE_SQL = None
 
 
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.without_toxic(docs, model)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return ngram_join.one_of_each(docs)
+
+
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
@@ -36,8 +46,10 @@ def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", without_toxic),
+    ("n-gram Jaccard join", one_of_each_group),
     ("benchmark decontamination", without_benchmark),
-    ("mixing", to_target_weights),
+    ("mixing to target weights", to_target_weights),
     ("token output", as_tokens),
 ]
 

@@ -6,10 +6,44 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import decontaminate, mixing, token_store
-from tallyhouse.llm.common import table
+from tallyhouse.llm import (
+    decontaminate,
+    language,
+    mixing,
+    neighbours,
+    ngram_join,
+    passages,
+    token_store,
+    toxicity,
+)
+from tallyhouse.llm.common import held_out, table
 
 TOKENIZER = "word_bpe_49k.json"
+#: Queries of the neighbour search are the vectors whose id this divides: fixed by the contract.
+ASKED = 50
+
+
+def op1_vantage_point_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    queries = vectors.where(F.col("vec_id") % ASKED == 0)
+    return neighbours.nearest_neighbours(vectors, queries)
+
+
+def op3_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    profiles = language.profiles_of(docs.where(~held_out(F.col("doc_id"))))
+    return language.identify(docs, profiles).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score"
+    )
+
+
+def op4_score_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +52,16 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similarity_join(table(spark, sf_dir, "documents")).select(
+        "doc_id", "class_id", "n_links"
+    )
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = decontaminate.contamination(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -35,7 +79,16 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-REGISTERED = (op5_mix_sources, op9_decontaminate, op10_token_store)
+REGISTERED = (
+    op1_vantage_point_neighbours,
+    op3_identify_language,
+    op4_score_toxicity,
+    op5_mix_sources,
+    op6_ngram_jaccard_join,
+    op8_line_dedup,
+    op9_decontaminate,
+    op10_token_store,
+)
 
 ORACLE_SQL: dict[str, str] = {
     "op5_mix_sources": r"""
