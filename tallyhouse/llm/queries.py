@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 from tallyhouse.llm import (
     decontaminate,
+    html_text,
     language,
     mixing,
     neighbours,
     ngram_join,
     passages,
+    pii,
     token_store,
     toxicity,
 )
@@ -29,6 +31,10 @@ def op1_vantage_point_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest_neighbours(vectors, queries)
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     profiles = language.profiles_of(docs.where(~held_out(F.col("doc_id"))))
@@ -58,6 +64,14 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone",
+        F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans",
+    )
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.without_repeats(table(spark, sf_dir, "documents"))
 
@@ -81,10 +95,12 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTERED = (
     op1_vantage_point_neighbours,
+    op2_main_text,
     op3_identify_language,
     op4_score_toxicity,
     op5_mix_sources,
     op6_ngram_jaccard_join,
+    op7_personal_data,
     op8_line_dedup,
     op9_decontaminate,
     op10_token_store,
