@@ -11,7 +11,9 @@ often a task is tried, in any store Spark can write.
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -27,7 +29,9 @@ END_ID = 2
 LEVEL = 3
 #: Pieces between spaces whose ids are remembered, and the longest one that is; a full
 #: memory is emptied. Neither changes a result.
-REMEMBERED, LONGEST = 400_000, 48
+REMEMBERED, LONGEST = 700_000, 48
+#: Texts that are looked up together.
+TOGETHER = 100
 
 BIT_PLANES = 16  # of the low half of an id; the high half goes by bytes
 
@@ -70,39 +74,55 @@ class Encoder:
     The tokenizer's rules look at no more than what lies between two spaces or line
     ends: its pattern matches within them, white space makes no ids and composition of
     characters does not cross it. So the ids of a text are those of its pieces in turn,
-    and a piece that was seen before need not be encoded again.
+    and a piece that was seen before need not be encoded again. Nor does the pattern
+    cross from a letter or digit to a full stop or comma, and capitals are lowered, so
+    pieces that differ in these share what is encoded.
     """
 
     def __init__(self, path: str) -> None:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         known = self.known
-        for text in texts:
-            pieces = text.replace("\n", " ").split(" ")
-            try:
-                yield b"".join([known[piece] for piece in pieces])
-                continue
-            except KeyError:
-                pass
+        for at in range(0, len(texts), TOGETHER):
+            split = [t.replace("\n", " ").split(" ") for t in texts[at : at + TOGETHER]]
             if len(known) > REMEMBERED:
                 known.clear()
-            new = [piece for piece in dict.fromkeys(pieces) if piece not in known]
-            encoded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            fresh = {
-                piece: np.array(one.ids, "<u4").tobytes()
-                for piece, one in zip(new, encoded, strict=True)
-            }
-            joined = b"".join([fresh[p] if p in fresh else known[p] for p in pieces])
-            known.update((k, v) for k, v in fresh.items() if len(k) <= LONGEST)
-            yield joined
+                self.parts.clear()
+            new = set().union(*split).difference(known)
+            if new:
+                self._learn(new)
+            for pieces in split:
+                yield b"".join(map(known.__getitem__, pieces))
+            for piece in new:
+                if len(piece) > LONGEST:
+                    del known[piece]
+
+    def _learn(self, pieces: set[str]) -> None:
+        parts, cut = self.parts, {}
+        for piece in pieces:
+            head = piece.rstrip(".,")
+            if not head or not head[-1].lower()[-1].isalnum():
+                head = piece
+            tail = piece[len(head) :]
+            if head.isascii() and head.isalpha():
+                head = head.lower()
+            cut[piece] = head, tail
+        wanted = [p for p in {p for both in cut.values() for p in both} if p not in parts]
+        encoded = self.tokenizer.encode_batch_fast(wanted, add_special_tokens=False)
+        for part, one in zip(wanted, encoded, strict=True):
+            parts[part] = array("I", one.ids).tobytes()
+        for piece, (head, tail) in cut.items():
+            self.known[piece] = parts[head] + parts[tail]
+        for part in wanted:
+            if len(part) > LONGEST:
+                del parts[part]
 
 
 def _writer(tokenizer: str) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
