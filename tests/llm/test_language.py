@@ -1,0 +1,71 @@
+"""Rank-order profiles: held-out accuracy and the plain definition."""
+
+from collections import Counter
+
+import pytest
+
+from tallyhouse.llm import language
+from tallyhouse.llm.common import held_out, ship, table
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def judged(spark):
+    from tallyhouse.llm.queries import op3_identify_language
+
+    return op3_identify_language(spark, SF).toPandas()
+
+
+def test_held_out_accuracy(spark, judged):
+    langs = table(spark, SF, "documents").select("doc_id", "lang").toPandas()
+    both = judged.merge(langs, on="doc_id")
+    out = both[both.held_out & both.lang.notna()]
+    assert len(out) > 200 and (out.lang == out.lang_pred).mean() > 0.97
+    assert judged.score.between(0, 1).all()
+
+
+def test_profiles_count_all_grams(spark, documents):
+    ship(spark)
+    rows = [(k, f"abc ab{'c' * (k % 3)} Zé9zé", "x" if k % 2 else "y") for k in range(50)]
+    rows += [(90, None, "x"), (91, "not taught", None)]
+    docs = documents(rows, "1 as word").withColumnRenamed("source", "gram")
+    got = {(r["lang"], r["rank"]): r["gram"] for r in language.learn_profiles(docs, size=40).collect()}
+    for lang in "xy":
+        counts = Counter(g for _, t, own in rows if own == lang and t
+                         for w in language.letter_words(t) for g in language.ngrams(w))
+        best = sorted(counts.items(), key=lambda c: (-c[1], c[0]))[:40]
+        assert [got[lang, k] for k in range(len(best))] == [g for g, _ in best]
+
+
+def test_distance_is_out_of_place(spark):
+    profiles = [("x", "a", 0), ("x", "b", 1), ("y", "b", 0), ("y", "c", 1)]
+    ranker = language._Ranker(profiles, 10)
+    lang, score = ranker("a")
+    # Of the grams of " a ", ranked by hash, only "a" is in a profile.
+    grams = sorted(ranker.codes("a"))
+    rank = [int(g) & 0xFFFFFF for g in grams].index(ranker.row["a"])
+    assert lang == "x" and score == pytest.approx(1 - (10 * (len(grams) - 1) + rank) / (10 * len(grams)))
+
+
+def test_texts_without_letters_and_tables_without_rows(spark, documents):
+    ship(spark)
+    docs = documents([(1, None), (2, ""), (3, "123 -_"), (4, "word"), (4, "word"), (None, "word"),
+                      (5, "long " * 50_000)], "1 as score")
+    none = language.learn_profiles(documents([]))
+    assert {r["lang_pred"] for r in language.identify(docs, none).collect()} == {"und"}
+    some = language.learn_profiles(documents([(1, "word", "en")]))
+    got = Counter((r["doc_id"], r["lang_pred"]) for r in language.identify(docs, some).collect())
+    assert got == Counter({(1, "und"): 1, (2, "und"): 1, (3, "und"): 1, (4, "en"): 2,
+                           (None, "en"): 1, (5, "en"): 1})
+    assert language.identify(documents([]), some).count() == 0
+
+
+def test_held_out_rows_teach_nothing(spark, documents):
+    docs = documents([(k, "t") for k in range(30)])
+    import zlib
+
+    from pyspark.sql import functions as F
+
+    got = {r["doc_id"]: r["o"] for r in docs.select("doc_id", held_out(F.col("doc_id")).alias("o")).collect()}
+    assert got == {k: zlib.crc32(str(k).encode()) % 3 == 1 for k in range(30)}

@@ -1,0 +1,61 @@
+"""Line dedup against a direct loop, and offsets that give back what they cut."""
+
+import random
+
+from tallyhouse.llm import passages
+from tallyhouse.llm.common import ship
+from tallyhouse.llm.ngram_join import words_of
+
+PICK = random.Random(2)
+
+
+def direct(rows):
+    """Kept text by (doc_id, text), documents by id with null last."""
+    seen, kept = {}, {}
+    ranked = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0))
+    for nth, (doc_id, text) in enumerate(ranked):
+        out = []
+        for line in (text or "").split("\n"):
+            words = tuple(words_of(line))
+            if len(words) < 5 or words not in seen:
+                out.append(line)
+                if len(words) >= 5:
+                    seen[words] = nth
+        kept[doc_id, text] = "\n".join(out)
+    return kept
+
+
+def run(documents, rows, **more):
+    docs = documents(rows, "1 as digest").withColumnRenamed("lang", "start")
+    return passages.without_repeats(docs, **more).collect()
+
+
+def test_equals_a_direct_loop(spark, documents):
+    ship(spark)
+    lines = [" ".join(PICK.choice("abcdefg") for _ in range(n)) for n in (3, 5, 6, 9, 60, 80)]
+    lines += [lines[3].upper() + " !", ""]
+    rows = [(k, "\n".join(PICK.choice(lines) + PICK.choice(["", "", f" own{k}"])
+                          for _ in range(PICK.randint(1, 12)))) for k in range(80)]
+    rows += [(200, None), (201, ""), (202, "\n\n"), (None, lines[4]), (203, "x " * 50_000)]
+    got = run(documents, rows)
+    want = direct(rows)
+    assert sorted((r["doc_id"], r["text"]) for r in got if r["doc_id"] is not None) == sorted(
+        (d, t) for (d, _), t in want.items() if d is not None)
+    texts = dict(rows)
+    for r in got:
+        text = texts[r["doc_id"]] or ""
+        cut = lambda s: [text[int(a):int(b)] for a, b in (p.split(":") for p in s.split(",") if p)]
+        assert "\n".join(cut(r["kept"])) == r["text"]
+        assert len(cut(r["removed"])) == r["n_removed"]
+        assert r["n_units"] == len(text.split("\n"))
+
+
+def test_repeated_rows_keep_the_same(spark, documents):
+    ship(spark)
+    line = "a line of more than five words"
+    got = run(documents, [(1, line), (1, line), (2, line)])
+    assert sorted((r["doc_id"], r["text"]) for r in got) == [(1, line), (1, line), (2, "")]
+
+
+def test_no_rows(documents):
+    assert run(documents, []) == []

@@ -1,0 +1,81 @@
+"""The token store: ids as the library gives them, exact round trips, order and starts."""
+
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import zstandard
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from tallyhouse.llm import token_store
+from tallyhouse.llm.common import ship
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    return Tokenizer.from_file(PATH)
+
+
+@given(st.lists(st.integers(0, 2**32 - 1), max_size=300))
+@settings(max_examples=60, deadline=None)
+def test_planes_round_trip(ids):
+    ids = np.array(ids, "<u4")
+    planes = token_store.pack(ids, zstandard.ZstdCompressor())
+    back = token_store.unpack(planes, len(ids), zstandard.ZstdDecompressor())
+    assert (back == ids).all() and len(planes) == 18
+
+
+def test_pieces_encode_as_whole_texts(tokenizer):
+    pick = random.Random(3)
+    letters = [*"abcXYZ .,,'\n\t'sSİΣσḈ̧\xa0 \x1c\x850129!?<|>", "<|endoftext|>",
+               "<|ENDOFTEXT|>", "'ve", "ΑΣ", "ﬁ", "Ⅷ", "漢字", "각", "\U0001F600"]
+    texts = ["".join(pick.choice(letters) for _ in range(pick.randint(0, 50))) for _ in range(3000)]
+    texts += ["", ".", ",.,", "a.", "x" * 500 + "."]
+    encoded = token_store.Encoder(PATH)(texts)
+    for text, ids in zip(texts, encoded, strict=True):
+        want = tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ids, "<u4").tolist() == want, text
+
+
+def test_memory_is_emptied_without_effect(monkeypatch, tokenizer):
+    monkeypatch.setattr(token_store, "REMEMBERED", 2)
+    monkeypatch.setattr(token_store, "TOGETHER", 1)
+    texts = ["a b c d", "e f, g.", "a b c d"]
+    for text, ids in zip(texts, token_store.Encoder(PATH)(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(
+            text, add_special_tokens=False).ids
+
+
+def expected(rows, tokenizer):
+    start, out = 0, []
+    for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
+        out.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    return out
+
+
+@pytest.mark.parametrize("chunk", [7, 1 << 16])
+def test_store_round_trip(spark, documents, tokenizer, monkeypatch, tmp_path, chunk):
+    ship(spark)
+    monkeypatch.setattr(token_store, "CHUNK_IDS", chunk)
+    pick = random.Random(chunk)
+    rows = [(k * 3 - 40, " ".join(pick.choice(["one", "Two,", "3", "ünï"])
+                                  for _ in range(pick.randint(0, 40)))) for k in range(60)]
+    rows += [(None, None), (1001, ""), (1002, "word " * 30_000), (1003, "same"), (1003, "same")]
+    docs = documents(rows, "0 as shard").withColumnRenamed("lang", "start")
+    folder = token_store.write_tokens(docs, PATH, str(tmp_path / "tokens"))
+    got = token_store.read_tokens(spark, folder).orderBy("start").collect()
+    assert [tuple(r) for r in got] == expected(rows, tokenizer)
+    index = spark.read.parquet(f"{folder}/index")
+    assert index.agg({"n_ids": "sum"}).first()[0] == sum(r["n_tokens"] for r in got)
+
+
+def test_empty_table(documents):
+    assert token_store.tokenised(documents([]), PATH).count() == 0

@@ -1,0 +1,84 @@
+"""The classifier: held-out quality, and what a swap of group names may change."""
+
+import random
+
+import pytest
+
+from tallyhouse.llm import toxicity
+from tallyhouse.llm.common import ship, table
+
+SF = "/root/testdata/sf0.1"
+LABELS = "doc_id long, quality int, toxic int"
+
+
+def test_held_out_quality(spark):
+    from tallyhouse.llm.queries import op4_score_toxicity
+
+    judged = op4_score_toxicity(spark, SF).toPandas()
+    both = judged.merge(table(spark, SF, "labels").toPandas(), on="doc_id")
+    out = both[both.held_out]
+    assert out.score.between(0, 1).all()
+    assert (out.predicted == out.toxic).mean() > 0.98
+    assert out[out.toxic == 1].predicted.mean() > 0.85
+    assert out[out.toxic == 0].predicted.mean() < 0.005
+
+
+def biased(pick):
+    """Rows where insults make a text toxic and a group is named mostly in toxic ones."""
+    rows = []
+    for k in range(600):
+        toxic = k % 3 == 0
+        words = [pick.choice(["sun", "rain", "tree", "road", "house"]) for _ in range(8)]
+        if toxic and k % 2:
+            words.append(pick.choice(["wretch", "vermin"]))
+        if pick.random() < (0.9 if toxic else 0.05):
+            words.append("muslims")
+        pick.shuffle(words)
+        rows.append(([int(toxic)], words))
+    return rows
+
+
+def model_of(penalty):
+    rows = biased(random.Random(1))
+    vocabulary = sorted({f for _, w in rows for f in toxicity.features_of(w)})
+    place = {f: k for k, f in enumerate(vocabulary)}
+    ids = lambda words: sorted(place[f] for f in toxicity.features_of(words) if f in place)
+    sample = [
+        (label[0], ids(words),
+         [[ids(words), ids(toxicity.swapped(words, toxicity.IDENTITY_TERMS))]]
+         if "muslims" in words else [])
+        for label, words in rows
+    ]
+    return toxicity.fit(sample, vocabulary, penalty)
+
+
+def test_penalty_keeps_neutral_mentions_from_scoring():
+    plain, fair = model_of(0.0), model_of(toxicity.COUNTERFACTUAL)
+    neutral, other = "the muslims saw rain", "the hindus saw rain"
+    assert plain.score(neutral) - plain.score(other) > 0.3
+    assert abs(fair.score(neutral) - fair.score(other)) < 0.1
+    assert fair.score("you wretch of muslims") > 0.6 > fair.score(neutral)
+
+
+def test_swap_is_a_cycle_of_names():
+    assert toxicity.swapped(["a", "rich", "women"], toxicity.IDENTITY_TERMS) == ["a", "women", "men"]
+
+
+@pytest.mark.parametrize("labels", [[], [(1, 1, None), (None, 0, 1)], [(2, 0, 1)]])
+def test_little_to_learn_from(spark, documents, labels):
+    ship(spark)
+    docs = documents([(1, None), (2, ""), (3, "a b c"), (3, "a b c"), (None, "x " * 40_000)],
+                     "1 as toxic").withColumnRenamed("lang", "score")
+    model = toxicity.train(docs, spark.createDataFrame(labels, LABELS))
+    got = toxicity.score(docs, model).collect()
+    assert len(got) == 5 and all(0 <= r["score"] <= 1 for r in got)
+    assert toxicity.score(documents([]), model).count() == 0
+
+
+def test_rejected_rows_go_and_the_rest_stay_whole(spark, documents):
+    ship(spark)
+    model = toxicity.Model({"wretch": 9.0}, -4.0)
+    docs = documents([(1, "a wretch"), (2, "fine"), (2, "fine"), (None, None)], "3 as key")
+    kept = toxicity.without_toxic(docs, model)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == [2, 2, None]
