@@ -5,6 +5,7 @@ from tallyhouse.functions.event_time import (
     event_day,
     iso_day,
     iso_utc,
+    landing_day,
     parse_event_time,
     plus_seconds,
 )
@@ -24,6 +25,7 @@ __all__ = [
     "event_day",
     "iso_day",
     "iso_utc",
+    "landing_day",
     "lifecycle_rank",
     "newest_first",
     "padded_id",

@@ -23,13 +23,18 @@ def iso_utc(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
+def landing_day(iso: Column) -> Column:
+    """The UTC day of ISO-8601 text, the same day silver gives it; null if it is no time."""
+    return event_day(F.try_to_timestamp(iso).cast("timestamp_ntz"))
+
+
 def event_day(ts: Column) -> Column:
     """The day an event occurred, as the ``dt`` partition value."""
     return F.date_format(ts, "yyyy-MM-dd")
 
 
 def iso_day(iso: Column) -> Column:
-    """The same day read off the ISO text, without parsing it."""
+    """The day as written, without parsing it: the UTC day of times that end in Z only."""
     return F.substring(iso, 1, 10)
 
 

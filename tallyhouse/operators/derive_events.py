@@ -1,9 +1,12 @@
-"""Payment events derived from the order, customer and supplier tables.
-
-Every order becomes one transaction: its customer pays, a supplier is the
-merchant, and key arithmetic stands in for chance so that results can be checked.
-The roster is joined to orders, one row per transaction, before the lifecycle
-multiplies them into events.
+"""Payment events derived from the order, line, customer and supplier tables.
+
+Every order becomes one transaction: its customer pays and a supplier is the
+merchant. What happened to it and when is what the order and its lines record:
+it is created and authorized on the order's day, fails if there are no lines,
+settles when the first line ships, and is refunded when the last one has shipped
+if all of them came back. Lines are reduced to one row per order before they are
+joined, and the roster is joined before the lifecycle multiplies transactions
+into events.
 """
 
 from __future__ import annotations
@@ -16,7 +19,6 @@ from tallyhouse.functions import (
     iso_utc,
     padded_id,
     pick,
-    plus_seconds,
     short_token,
 )
 from tallyhouse.schemas import BRONZE_EVENT, FLAT_COLUMNS
@@ -27,13 +29,15 @@ MERCHANT_CATEGORIES = [
 ]
 CARD_BRANDS = ["visa", "mastercard", "amex"]
 CURRENCIES = ["USD", "USD", "USD", "EUR", "GBP"]
-# 70 % cards, 20 % transfers, 10 % wallets.
+# 70 % cards, 20 % transfers, 10 % wallets: labels of the input, by key, since the
+# given tables record no payment method.
 PAYMENT_METHODS = ["card"] * 7 + ["bank_transfer"] * 2 + ["wallet"]
 EMAIL_DOMAIN = "@example.com"
 
+# Nothing is reported after this moment; later shipments count as of it.
 AS_OF = "2001-08-01 00:00:00"
-HOUR, DAY = 3600, 86400
-CREATED_WINDOW = 7 * DAY
+RETURNED = "R"
+WEEK = 7
 
 
 def merchants(supplier: DataFrame) -> DataFrame:
@@ -72,19 +76,41 @@ def payment_method(key: Column) -> Column:
     )
 
 
+def shipments(lineitem: DataFrame) -> DataFrame:
+    """One row per order that has lines: its first and last shipping, and if all came back."""
+    returned = F.coalesce(F.col("l_returnflag") == RETURNED, F.lit(False))
+    return lineitem.groupBy(F.col("l_orderkey").alias("key")).agg(
+        F.lit(True).alias("has_lines"),
+        F.min("l_shipdate").alias("first_shipped"),
+        F.max("l_shipdate").alias("last_shipped"),
+        F.bool_and(returned).alias("all_returned"),
+    )
+
+
 def transactions(
-    orders: DataFrame, customer: DataFrame, supplier: DataFrame, created: str = "window"
+    orders: DataFrame,
+    customer: DataFrame,
+    supplier: DataFrame,
+    lineitem: DataFrame,
+    created: str = "window",
 ) -> DataFrame:
-    """One row per order with its merchant, customer and payment method embedded.
+    """One row per order with its merchant, customer, payment method and shipments.
 
-    ``created`` is ``window`` (within the week before ``AS_OF``, where many
-    events are clamped and tie) or ``history`` (on the order's own day).
+    ``created`` is ``history``, times as recorded, or ``window``: every order and
+    its shipments moved forward by whole weeks so that it is placed in the week
+    before ``AS_OF``, where many events are clamped and tie.
     """
+    paid = paid_orders(orders, customer, supplier)
+    age = F.datediff(F.lit(AS_OF).cast("timestamp_ntz"), F.col("ordered_at"))
+    weeks = {"window": F.floor(age / WEEK), "history": F.lit(0)}[created]
+    return paid.join(shipments(lineitem), "key", "left").withColumn(
+        "moved", F.make_dt_interval(days=(weeks * WEEK).cast("int"))
+    )
+
+
+def paid_orders(orders: DataFrame, customer: DataFrame, supplier: DataFrame) -> DataFrame:
+    """Orders with what does not depend on their lines; enough for the dimensions."""
     key = F.col("o_orderkey")
-    created_at = {
-        "window": plus_seconds(F.lit(AS_OF).cast("timestamp_ntz"), -(key * 7919 % CREATED_WINDOW)),
-        "history": plus_seconds(F.col("o_orderdate"), key * 7919 % DAY),
-    }[created]
     supplier_count = supplier.select(F.count(F.lit(1))).scalar()
     return (
         orders.select(
@@ -94,7 +120,7 @@ def transactions(
             padded_id("txn_", key, 12).alias("transaction_id"),
             F.col("o_totalprice").alias("amount"),
             pick(CURRENCIES, key).alias("currency"),
-            created_at.alias("created_at"),
+            F.col("o_orderdate").alias("ordered_at"),
         )
         .join(customers(customer), "c_custkey")
         .join(merchants(supplier), "s_suppkey")
@@ -102,55 +128,62 @@ def transactions(
     )
 
 
-def lifecycle(key: Column) -> Column:
-    """The events of a transaction as an array of (type, seconds after creation).
+def lifecycle() -> Column:
+    """The events of a transaction as an array of (type, when it happened)."""
+    shipped = F.col("has_lines").isNotNull()
+    refunds = shipped & F.col("all_returned")
+    ordered = F.col("ordered_at")
 
-    One in twenty fails; of the settled ones, one in twenty is refunded.
-    """
-    fails = key % 20 == 7
-    refunds = ~fails & (F.floor(key / 20) % 20 == 3)
-    authorized = 5 + key % 116
-    failed = authorized + 1 + key % 30
-    settled = authorized + (1 + key % 72) * HOUR
-    refunded = settled + (1 + key % 14) * DAY
-
-    def step(event_type: str, delay: Column) -> Column:
-        return F.struct(F.lit(event_type).alias("type"), delay.alias("delay"))
+    def step(event_type: str, at: Column) -> Column:
+        return F.struct(F.lit(event_type).alias("type"), (at + F.col("moved")).alias("at"))
 
     return F.array(
-        step("created", F.lit(0).cast("bigint")),
-        step("authorized", authorized),
-        F.when(fails, step("failed", failed)).otherwise(step("settled", settled)),
-        F.when(refunds, step("refunded", refunded)),
+        step("created", ordered),
+        step("authorized", ordered),
+        F.when(shipped, step("settled", F.greatest(ordered, F.col("first_shipped"))))
+        .otherwise(step("failed", ordered)),
+        F.when(refunds, step("refunded", F.greatest(ordered, F.col("last_shipped")))),
     )
 
 
 def _events(paid: DataFrame) -> DataFrame:
-    """One row per event, with its type and time in ``step``.
-
-    Times are added up as seconds and turned into a timestamp once per event.
-    """
-    steps = paid.withColumn("step", F.explode(lifecycle(F.col("key")))).where("step is not null")
-    happened = plus_seconds(F.col("created_at"), F.col("step.delay"))
+    """One row per event, with its type and time."""
+    steps = paid.withColumn("step", F.explode(lifecycle())).where("step is not null")
     as_of = F.lit(AS_OF).cast("timestamp_ntz")
     return steps.withColumn("event_type", F.col("step.type")).withColumn(
-        "happened_at", clamp(happened, as_of)
+        "happened_at", clamp(F.col("step.at"), as_of)
     )
 
 
 def bronze_events(
-    orders: DataFrame, customer: DataFrame, supplier: DataFrame, created: str = "window"
+    orders: DataFrame,
+    customer: DataFrame,
+    supplier: DataFrame,
+    lineitem: DataFrame,
+    created: str = "window",
 ) -> DataFrame:
     """The event log as it lands in bronze: nested, with ISO-8601 times."""
-    events = _events(transactions(orders, customer, supplier, created))
+    events = _events(transactions(orders, customer, supplier, lineitem, created))
     stamped = events.withColumn("event_timestamp", iso_utc(F.col("happened_at")))
     return stamped.select(*BRONZE_EVENT.fieldNames())
 
 
 def payment_events(
-    orders: DataFrame, customer: DataFrame, supplier: DataFrame, created: str = "window"
+    orders: DataFrame,
+    customer: DataFrame,
+    supplier: DataFrame,
+    lineitem: DataFrame,
+    created: str = "window",
 ) -> DataFrame:
     """The same log in silver's shape, without the way through stored JSON."""
-    events = _events(transactions(orders, customer, supplier, created))
+    events = _events(transactions(orders, customer, supplier, lineitem, created))
     stamped = events.withColumnRenamed("happened_at", "event_timestamp")
     return stamped.select(*[F.col(c.path).alias(c.name) for c in FLAT_COLUMNS])
+
+
+def flat_merchants(orders: DataFrame, customer: DataFrame, supplier: DataFrame) -> DataFrame:
+    """The merchant columns of every transaction, before it is multiplied into events."""
+    paid = paid_orders(orders, customer, supplier)
+    return paid.select(
+        *[F.col(c.path).alias(c.name) for c in FLAT_COLUMNS if c.path.startswith("merchant.")]
+    )

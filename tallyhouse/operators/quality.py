@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions import LIFECYCLE_RANK
 
-VIOLATIONS = "rule string, violations bigint"
 
 
 def _rules(counts: DataFrame, rules: dict[str, Column]) -> DataFrame:
@@ -19,11 +18,21 @@ def _rules(counts: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return wide.select(F.inline(F.array(*pairs)))
 
 
-def row_rules(table: str, rows: DataFrame, broken: dict[str, Column]) -> DataFrame:
-    """Rules on single rows, all counted in one pass; each column is true if broken."""
-    counters = {f"{table}: {rule}": F.count_if(condition) for rule, condition in broken.items()}
-    counted = rows.agg(*[counter.alias(name) for name, counter in counters.items()])
-    return _rules(counted, {name: F.col(f"`{name}`") for name in counters})
+def row_rules(table: str, rows: DataFrame, key: str, broken: dict[str, Column]) -> DataFrame:
+    """Rules on single rows and uniqueness of their key, from one pass and one shuffle.
+
+    Each column of ``broken`` is true where its rule is. Counters per key meet the
+    shuffle, not rows.
+    """
+    names = [f"{table}: {rule}" for rule in broken]
+    per_key = rows.groupBy(key).agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.count_if(condition).alias(name) for name, condition in zip(names, broken.values(), strict=True)],
+    )
+    sums = {name: F.coalesce(F.sum(F.col(f"`{name}`")), F.lit(0)) for name in names}
+    sums[f"{table}: {key} is unique"] = F.count_if(F.col("n") > 1)
+    counted = per_key.agg(*[total.alias(name) for name, total in sums.items()])
+    return _rules(counted, {name: F.col(f"`{name}`") for name in sums})
 
 
 def unique(table: str, rows: DataFrame, key: str) -> DataFrame:
@@ -33,27 +42,36 @@ def unique(table: str, rows: DataFrame, key: str) -> DataFrame:
     return _rules(counted, {f"{table}: {key} is unique": F.col("n")})
 
 
-def resolves(table: str, rows: DataFrame, key: str, dimension: DataFrame) -> DataFrame:
-    """Distinct foreign keys without a dimension row."""
-    keys = rows.select(key).where(F.col(key).isNotNull()).distinct()
-    dangling = keys.join(dimension.select(key), key, "left_anti")
-    counted = dangling.agg(F.count(F.lit(1)).alias("n"))
-    return _rules(counted, {f"{table}: {key} resolves": F.col("n")})
+def resolves(table: str, rows: DataFrame, dimensions: dict[str, DataFrame]) -> DataFrame:
+    """Distinct foreign keys without a dimension row, for all keys in one pass over ``rows``.
+
+    ``dimensions`` has a table with a column of the same name for each key column.
+    """
+    pairs = [
+        F.struct(F.lit(key).alias("key"), F.col(key).cast("string").alias("value"))
+        for key in dimensions
+    ]
+    used = rows.select(F.inline(F.array(*pairs))).where("value is not null").distinct()
+    there = reduce(DataFrame.unionByName, [
+        dimension.select(F.lit(key).alias("key"), F.col(key).cast("string").alias("value"))
+        for key, dimension in dimensions.items()
+    ])
+    dangling = used.join(there, ["key", "value"], "left_anti")
+    counted = dangling.agg(*[F.count_if(F.col("key") == key).alias(key) for key in dimensions])
+    return _rules(counted, {f"{table}: {key} resolves": F.col(key) for key in dimensions})
 
 
 def quality_violations(fact: DataFrame, merchants: DataFrame, customers: DataFrame) -> DataFrame:
-    """Every rule on the star schema with its number of violations."""
+    """Every rule on the star schema with its number of violations: two passes over the fact."""
     required = ["transaction_id", "last_event_at", "amount", "merchant_id", "customer_id"]
     broken = {f"{column} is present": F.col(column).isNull() for column in required}
     known = F.coalesce(F.col("status").isin(*LIFECYCLE_RANK), F.lit(False))
     broken["status is known"] = ~known
     checks = [
-        row_rules("fct_transactions", fact, broken),
-        unique("fct_transactions", fact, "transaction_id"),
+        row_rules("fct_transactions", fact, "transaction_id", broken),
         unique("dim_merchants", merchants, "merchant_id"),
         unique("dim_customers", customers, "customer_id"),
-        resolves("fct_transactions", fact, "merchant_id", merchants),
-        resolves("fct_transactions", fact, "customer_id", customers),
+        resolves("fct_transactions", fact, {"merchant_id": merchants, "customer_id": customers}),
     ]
     return reduce(DataFrame.unionByName, checks)
 

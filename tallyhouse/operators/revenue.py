@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Doubles added in another order give another sum, and every retry is another
-# order. Amounts are added as decimals: exactly, to a millionth, up to 10^28.
-EXACT = "decimal(24,6)"
+# order. Amounts are added as decimals, exactly, to a millionth. What a decimal
+# can't hold (NaN, infinity, beyond 10^22, digits past a millionth) is added beside
+# it as doubles; for ordinary amounts that is an exact zero.
+EXACT = "decimal(28,6)"
+
+
+def _parts(amount: Column) -> tuple[Column, Column]:
+    """An amount as a decimal and the double that is missing from it; null stays null."""
+    exact = amount.try_cast(EXACT)
+    return exact, F.when(exact.isNull(), amount).otherwise(amount - exact.cast("double"))
+
+
+def _total(exact: Column, rest: Column) -> Column:
+    """Both sums together, to two places; null only where no amount was there."""
+    whole = F.coalesce(exact.cast("double"), F.lit(0.0)) + rest
+    return F.when(rest == 0, F.round(exact, 2).cast("double")).otherwise(F.round(whole, 2))
 
 
 def settled_revenue_by_merchant(fact: DataFrame, merchants: DataFrame) -> DataFrame:
@@ -22,17 +36,22 @@ def settled_revenue_by_merchant(fact: DataFrame, merchants: DataFrame) -> DataFr
     merchant with two dimension rows contributes to both, as it would if the
     transactions themselves were joined.
     """
+    exact, rest = _parts(F.col("amount"))
     settled = (
         fact.where(F.col("status") == "settled")
         .groupBy("merchant_id")
-        .agg(F.count(F.lit(1)).alias("settled"), F.sum(F.col("amount").cast(EXACT)).alias("amount"))
+        .agg(
+            F.count(F.lit(1)).alias("settled"),
+            F.sum(exact).alias("exact"),
+            F.sum(rest).alias("rest"),
+        )
     )
     return (
         settled.join(merchants, "merchant_id")
         .groupBy("merchant_name", "merchant_category")
         .agg(
             F.sum("settled").alias("settled_transactions"),
-            F.round(F.sum("amount"), 2).cast("double").alias("total_settled_amount"),
+            _total(F.sum("exact"), F.sum("rest")).alias("total_settled_amount"),
         )
         .orderBy(F.desc("total_settled_amount"))
     )

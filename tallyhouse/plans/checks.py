@@ -7,40 +7,59 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.functions import parse_event_time
+from tallyhouse.functions import event_day, parse_event_time
 from tallyhouse.operators import quality
 from tallyhouse.schemas import NO_DAY
 from tallyhouse.session import require_utc
-from tallyhouse.sources.bronze import bronze_files, read_bronze
-from tallyhouse.sources.catalog import Lake, registered_days
+from tallyhouse.sizing import SHUFFLED_PER_STORED, sized_for
+from tallyhouse.sources.bronze import read_bronze
+from tallyhouse.sources.catalog import Lake, registered_days, stored_bytes
 
 
 def quality_violations(lake: Lake) -> DataFrame:
-    return quality.quality_violations(
-        lake.table("fct_transactions"), lake.table("dim_merchants"), lake.table("dim_customers")
-    )
+    """Counts per rule, computed here under sizes fit to the fact."""
+    size = stored_bytes(lake, "fct_transactions")
+    with sized_for(lake.spark, size, size * SHUFFLED_PER_STORED):
+        report = quality.quality_violations(
+            lake.table("fct_transactions"), lake.table("dim_merchants"), lake.table("dim_customers")
+        ).collect()
+    # As literals: one short row per rule.
+    rows = [
+        F.struct(F.lit(r["rule"]).alias("rule"), F.lit(r["violations"]).cast("bigint").alias("violations"))
+        for r in report
+    ]
+    return lake.spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def _days(lake: Lake, days: set[str]) -> DataFrame:
-    return lake.spark.createDataFrame([(day,) for day in sorted(days)], "dt string")
+    listed = F.split(F.lit(",".join(sorted(days))), ",")
+    return lake.spark.range(1).select(F.explode(listed).alias("dt")).where("dt != ''")
+
+
+def _bronze_times(lake: Lake, multi_line: bool) -> DataFrame:
+    """The time of every event in bronze. Folders need not be the days of what is in them."""
+    bronze = read_bronze(lake.spark, lake.bronze, multi_line)
+    return bronze.select(parse_event_time(F.col("event_timestamp")).alias("at"))
 
 
-def unpromoted_days(lake: Lake) -> DataFrame:
-    """Days that lie in bronze and are not in silver, from listings alone."""
-    landed = bronze_files(lake.spark, lake.bronze).select("dt").distinct()
+def unpromoted_days(lake: Lake, multi_line: bool = False) -> DataFrame:
+    """Days of events in bronze that silver does not have; reads all of bronze."""
+    require_utc(lake.spark)
+    day = F.coalesce(event_day(F.col("at")), F.lit(NO_DAY)).alias("dt")
+    landed = _bronze_times(lake, multi_line).select(day).distinct()
     return quality.days_behind(landed, _days(lake, registered_days(lake, "payments_events")))
 
 
-def layer_freshness(lake: Lake) -> DataFrame:
-    """The newest event of each layer; bronze and silver read their newest day only."""
+def layer_freshness(lake: Lake, multi_line: bool = False) -> DataFrame:
+    """The newest event of each layer.
+
+    All of bronze is read; silver lies by event day, so its newest day is enough.
+    """
     require_utc(lake.spark)
-    landed = bronze_files(lake.spark, lake.bronze).where(F.col("dt") != NO_DAY)
-    newest_landed = landed.agg(F.max("dt").alias("dt")).first()["dt"]
     newest_stored = max(registered_days(lake, "payments_events") - {NO_DAY}, default=None)
-    bronze = read_bronze(lake.spark, lake.bronze).where(F.col("dt") == newest_landed)
     silver = lake.table("payments_events").where(F.col("dt") == newest_stored)
     layers = [
-        quality.newest_event("bronze", parse_event_time(F.col("event_timestamp")), bronze),
+        quality.newest_event("bronze", F.col("at"), _bronze_times(lake, multi_line)),
         quality.newest_event("silver", F.col("event_timestamp"), silver),
         quality.newest_event(
             "gold", F.col("event_timestamp"), lake.table("payments_current")

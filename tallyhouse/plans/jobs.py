@@ -7,6 +7,7 @@ its tables in full from the layer before, so any job can be run again.
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,14 +19,15 @@ from tallyhouse.operators.flatten import flatten
 from tallyhouse.operators.revenue import settled_revenue_by_merchant
 from tallyhouse.schemas import EVENT_DAY
 from tallyhouse.session import require_utc
-from tallyhouse.sizing import compaction_pays, sized_for
+from tallyhouse.sizing import SHUFFLED_PER_STORED, day_partitions, sized_for
 from tallyhouse.sources.bronze import bronze_files, land_bronze, read_bronze, total_bytes
 from tallyhouse.sources.catalog import (
     Lake,
     PartitionChange,
     publish,
-    set_source_bytes,
-    source_bytes,
+    put_in_place,
+    stage,
+    stored_bytes,
 )
 
 # Marts are independent of each other; two are built at a time.
@@ -44,28 +46,27 @@ def ingest(lake: Lake, events: DataFrame) -> None:
     land_bronze(events, lake.bronze)
 
 
-def promote_silver(lake: Lake, compact: bool | None = None) -> PartitionChange | None:
+def promote_silver(
+    lake: Lake, compact: bool = True, multi_line: bool = False
+) -> PartitionChange | None:
     """Rebuild the silver event log from all of bronze; None if there is none.
 
     ``compact`` shuffles events to their day so that a day's many bronze objects
-    become few files. Unless told, the job does so where the listing of bronze
-    says it pays; where bronze objects are large it has no shuffle at all.
+    become few files; without it the promotion has no shuffle and each split of an
+    input becomes a file. ``multi_line`` reads bronze of pretty-printed arrays.
     """
     require_utc(lake.spark)
-    bronze = read_bronze(lake.spark, lake.bronze)
+    size = total_bytes(bronze_files(lake.spark, lake.bronze))
+    if not size:
+        return None
+    bronze = read_bronze(lake.spark, lake.bronze, multi_line)
     if not has_rows(bronze):
         return None
-    files = bronze_files(lake.spark, lake.bronze)
-    size = total_bytes(files)
-    if compact is None:
-        compact = compaction_pays(files, size, lake.spark.sparkContext.defaultParallelism)
     with sized_for(lake.spark, size):
         silver = flatten(bronze)
         if compact:
-            silver = silver.hint("rebalance", EVENT_DAY.name)
-        change = publish(lake, "payments_events", silver)
-    set_source_bytes(lake, "payments_events", size)
-    return change
+            silver = silver.hint("rebalance", day_partitions(lake.spark), EVENT_DAY.name)
+        return publish(lake, "payments_events", silver)
 
 
 def silver_report(lake: Lake) -> DataFrame:
@@ -74,42 +75,60 @@ def silver_report(lake: Lake) -> DataFrame:
 
 
 def build_current(lake: Lake) -> None:
-    """Rebuild the current state of every transaction from silver.
-
-    This job and the marts are sized by the bronze that silver was built from,
-    which is larger than anything they shuffle.
-    """
-    with sized_for(lake.spark, source_bytes(lake, "payments_events")):
+    """Rebuild the current state of every transaction from silver."""
+    size = stored_bytes(lake, "payments_events")
+    with sized_for(lake.spark, size, size * SHUFFLED_PER_STORED):
         publish(lake, "payments_current", state.current_state(lake.table("payments_events")))
 
 
-def promote_silver_and_current(lake: Lake, compact: bool | None = None) -> PartitionChange | None:
+def promote_silver_and_current(
+    lake: Lake, compact: bool = True, multi_line: bool = False
+) -> PartitionChange | None:
     """Both in one go; current state reads the silver just written, not bronze again."""
-    change = promote_silver(lake, compact)
+    change = promote_silver(lake, compact, multi_line)
     if change is not None:
         build_current(lake)
     return change
 
 
-def build_marts(lake: Lake, current: DataFrame | None = None) -> None:
-    """Rebuild the fact and both dimensions.
+def build_marts(
+    lake: Lake,
+    current: DataFrame | None = None,
+    events: DataFrame | None = None,
+    events_bytes: int | None = None,
+) -> None:
+    """Rebuild the fact and both dimensions: all are written, then all put in place.
 
     The fact is a projection of the current state. A caller that has just built
-    that passes it, and the event log is not ranked a second time.
+    that passes it, and the event log is not ranked a second time. ``events`` is
+    another log than silver, of ``events_bytes``.
     """
-    events = lake.table("payments_events")
+    if events is None:
+        events, events_bytes = lake.table("payments_events"), stored_bytes(lake, "payments_events")
+    size = events_bytes or 0
     marts = {
         "fct_transactions": state.fct_transactions(events) if current is None else state.fact(current),
         "dim_merchants": dim_merchants(events),
         "dim_customers": dim_customers(events),
     }
     with (
-        sized_for(lake.spark, source_bytes(lake, "payments_events")),
+        sized_for(lake.spark, size, size * SHUFFLED_PER_STORED),
         ThreadPoolExecutor(MART_THREADS) as pool,
     ):
-        builds = [pool.submit(publish, lake, name, rows) for name, rows in marts.items()]
-        for build in builds:
-            build.result()
+        writes = [pool.submit(stage, lake, name, rows) for name, rows in marts.items()]
+        staged = [write.result() for write in writes]
+    for mart in staged:
+        put_in_place(lake, mart)
+
+
+def table_counts(lake: Lake, *tables: str) -> DataFrame:
+    """Stored rows of tables, one row each; only row counts are read from the files."""
+    counts = [
+        lake.table(name).agg(F.count(F.lit(1)).alias("n_rows"))
+        .select(F.lit(name).alias("table"), "n_rows")
+        for name in tables
+    ]
+    return reduce(DataFrame.unionByName, counts)
 
 
 def serve(lake: Lake) -> DataFrame:

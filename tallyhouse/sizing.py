@@ -6,8 +6,7 @@ import math
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
 MB = 1 << 20
 SPLIT_BYTES = (128 * MB, 1024 * MB)
@@ -15,11 +14,13 @@ MAX_SCAN_TASKS = 200_000
 REDUCER_BYTES = 512 * MB
 MAX_REDUCERS = 50_000
 
-# Compaction: JSON that makes one Parquet file of a good size, the smallest split
-# Spark cuts, and how many times fewer files make the shuffle worth it.
-FILE_BYTES = 1024 * MB
-OPEN_COST = 4 * MB
-WORTH_IT = 4
+# Bytes that ranking shuffles for each byte it scans, as measured: silver is
+# compressed by columns and the rows of a shuffle are not.
+SHUFFLED_PER_STORED = 4.5
+
+# Partitions of a shuffle by day. A day is one key, so more of them stay empty;
+# AQE splits the large ones at the advisory size.
+DAY_PARTITIONS = 1_000
 
 _SPLITS = "spark.sql.files.maxPartitionBytes"
 _REDUCERS = "spark.sql.shuffle.partitions"
@@ -31,38 +32,32 @@ def split_bytes(input_bytes: int) -> int:
     return min(max(math.ceil(input_bytes / MAX_SCAN_TASKS), smallest), largest)
 
 
-def reducers(input_bytes: int, at_least: int) -> int:
-    """One reducer per 512 MB read; AQE merges those that turn out small.
+def reducers(shuffled_bytes: float, at_least: int) -> int:
+    """One reducer per 512 MB shuffled; AQE merges those that turn out small.
 
     The bound keeps map tasks times reducers, the number of shuffle blocks, in
     reach. Beyond it reducers get larger and sort through disk.
     """
-    return max(at_least, min(math.ceil(input_bytes / REDUCER_BYTES), MAX_REDUCERS))
-
+    return max(at_least, min(math.ceil(shuffled_bytes / REDUCER_BYTES), MAX_REDUCERS))
 
-def compaction_pays(files: DataFrame, input_bytes: int, parallelism: int) -> bool:
-    """Whether gathering events by day leaves far fewer files than scan tasks would.
 
-    ``files`` has the ``dt`` and ``length`` of each input. Without a shuffle each
-    split of an input becomes a file of its own, so many small inputs, or few
-    inputs cut up for many cores, are worth gathering; large ones are not.
-    """
-    split = min(split_bytes(input_bytes), max(OPEN_COST, input_bytes // parallelism))
-    per_day = files.groupBy("dt").agg(
-        F.sum(F.ceil(F.col("length") / split)).alias("scattered"),
-        F.ceil(F.sum("length") / FILE_BYTES).alias("gathered"),
-    )
-    total = per_day.agg(F.sum("scattered").alias("scattered"), F.sum("gathered").alias("gathered"))
-    row = total.first()
-    return (row["scattered"] or 0) > WORTH_IT * (row["gathered"] or 0)
+def day_partitions(spark: SparkSession) -> int:
+    return min(int(spark.conf.get(_REDUCERS)), DAY_PARTITIONS)
 
 
 @contextmanager
-def sized_for(spark: SparkSession, input_bytes: int) -> Iterator[None]:
-    """Run a job with both settings fit to its input; never below the session's."""
+def sized_for(
+    spark: SparkSession, scanned_bytes: int, shuffled_bytes: float | None = None
+) -> Iterator[None]:
+    """Run a job with splits fit to what it scans and reducers to what it shuffles.
+
+    Reducers are never fewer than the session's; without a figure for the shuffle
+    it is taken to be as large as the scan.
+    """
     before = {key: spark.conf.get(key) for key in (_SPLITS, _REDUCERS)}
-    spark.conf.set(_SPLITS, str(split_bytes(input_bytes)))
-    spark.conf.set(_REDUCERS, str(reducers(input_bytes, int(before[_REDUCERS]))))
+    shuffled = scanned_bytes if shuffled_bytes is None else shuffled_bytes
+    spark.conf.set(_SPLITS, str(split_bytes(scanned_bytes)))
+    spark.conf.set(_REDUCERS, str(reducers(shuffled, int(before[_REDUCERS]))))
     try:
         yield
     finally:

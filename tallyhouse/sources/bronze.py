@@ -6,8 +6,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.functions import iso_day
+from tallyhouse.functions import landing_day
 from tallyhouse.schemas import BRONZE_STORED, EVENT_DAY
+from tallyhouse.sizing import day_partitions
 
 JSON_FILES = "*.json"
 
@@ -15,14 +16,15 @@ JSON_FILES = "*.json"
 def land_bronze(events: DataFrame, path: str) -> None:
     """Append a run's events, each under the day it occurred.
 
-    Nothing that is already there is touched, so running this twice lands the
-    events twice. Lines are written one event each, which keeps files splittable.
+    The day is that of the parsed time, as in silver, so an offset counts; events
+    without a readable time lie in a folder of their own. Nothing that is already
+    there is touched, so running this twice lands the events twice. Lines are written one event each, which keeps files splittable.
     The rebalance gathers a day's events into few files and splits a day that is
     larger than the advisory partition size.
     """
     (
-        events.withColumn(EVENT_DAY.name, iso_day(F.col("event_timestamp")))
-        .hint("rebalance", EVENT_DAY.name)
+        events.withColumn(EVENT_DAY.name, landing_day(F.col("event_timestamp")))
+        .hint("rebalance", day_partitions(events.sparkSession), EVENT_DAY.name)
         .write.mode("append")
         .partitionBy(EVENT_DAY.name)
         .json(path)

@@ -7,7 +7,11 @@ not point at, and only a finished rebuild is put in the table's place. A query
 that is already running keeps the files it started with. A table without
 partitions is pointed at its new folder in one statement. Partitions know their
 own folders, so a partitioned table is swapped for a new one in two; the name is
-free between them, and if a job dies there the next rebuild finishes the swap.
+free between them, and if a job dies there the next rebuild finishes the swap, but
+only with a table that was marked complete: one that died before is built anew.
+
+Tables that belong together are all written before the first of them is put in
+place.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tallyhouse import schemas
@@ -37,7 +42,8 @@ TABLES = {
 }
 
 FOLDERS = ("blue", "green")
-SOURCE_BYTES = "lake.source.bytes"
+STORED_BYTES = "lake.stored.bytes"
+COMPLETE = "lake.complete"
 
 
 @dataclass(frozen=True)
@@ -75,28 +81,50 @@ def create_database(lake: Lake) -> None:
     lake.spark.sql(f"CREATE DATABASE IF NOT EXISTS `{lake.database}` LOCATION '{lake.root}/catalog'")
 
 
-def create_table(lake: Lake, table: str, location: str, spec: TableSpec | None = None) -> None:
+def create_table(
+    lake: Lake,
+    table: str,
+    location: str,
+    spec: TableSpec | None = None,
+    properties: dict[str, str] | None = None,
+) -> None:
     """An external Parquet table over ``location`` with the declared columns."""
     spec = spec or TABLES[table]
     partitioning = f"PARTITIONED BY ({', '.join(spec.partition_by)})" if spec.partition_by else ""
+    noted = f"TBLPROPERTIES ({_pairs(properties)})" if properties else ""
     lake.spark.sql(
         f"CREATE TABLE IF NOT EXISTS {lake.name(table)} ({schemas.columns_ddl(spec.schema)})"
-        f" USING parquet {partitioning} LOCATION '{location}'"
+        f" USING parquet {partitioning} LOCATION '{location}' {noted}"
     )
 
 
-def set_source_bytes(lake: Lake, table: str, size: int) -> None:
-    """Note with a table how many bytes it was built from."""
-    lake.spark.sql(
-        f"ALTER TABLE {lake.name(table)} SET TBLPROPERTIES ('{SOURCE_BYTES}' = '{size}')"
-    )
+def _pairs(properties: dict[str, str]) -> str:
+    return ", ".join(f"'{key}' = '{value}'" for key, value in properties.items())
+
 
+def set_properties(lake: Lake, table: str, properties: dict[str, str]) -> None:
+    lake.spark.sql(f"ALTER TABLE {lake.name(table)} SET TBLPROPERTIES ({_pairs(properties)})")
 
-def source_bytes(lake: Lake, table: str) -> int:
-    """What was noted, or 0."""
+
+def property_of(lake: Lake, table: str, key: str) -> str | None:
     properties = lake.spark.sql(f"SHOW TBLPROPERTIES {lake.name(table)}")
-    noted = properties.where(f"key = '{SOURCE_BYTES}'").first()
-    return int(noted["value"]) if noted else 0
+    noted = properties.where(f"key = '{key}'").first()
+    return noted["value"] if noted else None
+
+
+def folder_bytes(spark: SparkSession, folder: str) -> int:
+    """Bytes of the Parquet files under a folder, from their listing."""
+    files = (
+        spark.read.format("binaryFile")
+        .option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(folder)
+    )
+    return files.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).first()["bytes"]
+
+
+def stored_bytes(lake: Lake, table: str) -> int:
+    """What a table's files take up: noted when it was built, or else listed."""
+    noted = property_of(lake, table, STORED_BYTES)
+    return int(noted) if noted else folder_bytes(lake.spark, location(lake, table))
 
 
 def location(lake: Lake, table: str) -> str | None:
@@ -115,16 +143,23 @@ def registered_days(lake: Lake, table: str) -> set[str]:
     return {row["partition"].removeprefix("dt=") for row in partitions}
 
 
+def _clauses(values: Iterable[dict[str, object]]) -> list[str]:
+    pairs = [", ".join(f"{column} = '{v}'" for column, v in each.items()) for each in values]
+    return [f"PARTITION ({pair})" for pair in pairs]
+
+
 def add_partitions(lake: Lake, table: str, values: Iterable[dict[str, object]]) -> None:
     """Add partitions by their column values; one that is there already is not an error."""
-    clauses = []
-    for each in values:
-        pairs = ", ".join(f"{column} = '{value}'" for column, value in each.items())
-        clauses.append(f"PARTITION ({pairs})")
-    if clauses:
+    if clauses := _clauses(values):
         lake.spark.sql(f"ALTER TABLE {lake.name(table)} ADD IF NOT EXISTS {' '.join(clauses)}")
 
 
+def drop_partitions(lake: Lake, table: str, values: Iterable[dict[str, object]]) -> None:
+    """Forget partitions of an external table; their files stay for readers that run."""
+    if clauses := _clauses(values):
+        lake.spark.sql(f"ALTER TABLE {lake.name(table)} DROP IF EXISTS {', '.join(clauses)}")
+
+
 def register_days(lake: Lake, table: str, days: Iterable[str]) -> PartitionChange:
     """Add day partitions and report how many of them are new."""
     wanted, known = set(days), registered_days(lake, table)
@@ -149,8 +184,24 @@ def _check_schema(rows: DataFrame, table: str, spec: TableSpec) -> None:
         raise ValueError(f"{table}: columns {actual} are not the declared {declared}")
 
 
-def publish(lake: Lake, table: str, rows: DataFrame, spec: TableSpec | None = None) -> PartitionChange:
-    """Rebuild ``table`` from ``rows``; the old table stays until this is done.
+@dataclass(frozen=True)
+class Staged:
+    """A written table that the catalog does not name yet."""
+
+    table: str
+    spec: TableSpec
+    folder: str
+    properties: dict[str, str]
+
+
+def stage(
+    lake: Lake,
+    table: str,
+    rows: DataFrame,
+    spec: TableSpec | None = None,
+    properties: dict[str, str] | None = None,
+) -> Staged:
+    """Write ``rows`` to the folder of ``table`` that the catalog does not point at.
 
     ``rows`` may read the table itself, as the catalog names it now: a frame kept
     from before the last rebuild may still read the folder written here.
@@ -158,8 +209,7 @@ def publish(lake: Lake, table: str, rows: DataFrame, spec: TableSpec | None = No
     spec = spec or TABLES[table]
     _check_schema(rows, table, spec)
     create_database(lake)
-    building = f"{table}__building"
-    _finish_interrupted_swap(lake, table, building)
+    _settle_interrupted_swap(lake, table)
 
     live = location(lake, table)
     folder = FOLDERS[1] if live and live.endswith(f"/{FOLDERS[0]}") else FOLDERS[0]
@@ -168,33 +218,62 @@ def publish(lake: Lake, table: str, rows: DataFrame, spec: TableSpec | None = No
     if spec.partition_by:
         writer = writer.partitionBy(*spec.partition_by)
     writer.parquet(target)
+    noted = {**(properties or {}), STORED_BYTES: str(folder_bytes(lake.spark, target))}
+    return Staged(table, spec, target, noted)
+
 
-    if live and not spec.partition_by and _has_schema(lake, table, spec):
-        lake.spark.sql(f"ALTER TABLE {lake.name(table)} SET LOCATION '{target}'")
+def put_in_place(lake: Lake, staged: Staged) -> PartitionChange:
+    """Let the catalog name a staged table."""
+    table, spec = staged.table, staged.spec
+    if lake.exists(table) and not spec.partition_by and _has_schema(lake, table, spec):
+        lake.spark.sql(f"ALTER TABLE {lake.name(table)} SET LOCATION '{staged.folder}'")
+        set_properties(lake, table, staged.properties)
         return PartitionChange(0, 0)
 
+    building = _building(table)
     lake.spark.sql(f"DROP TABLE IF EXISTS {lake.name(building)}")
-    create_table(lake, building, target, spec)
+    create_table(lake, building, staged.folder, spec, staged.properties)
     change = PartitionChange(0, 0)
     if spec.partition_by:
         before = registered_days(lake, table)
         sync_partitions(lake, building)
         change = _change(before, registered_days(lake, building))
-    _swap(lake, table, building)
+    set_properties(lake, building, {COMPLETE: "true"})
+    _swap(lake, table)
     return change
 
 
+def publish(
+    lake: Lake,
+    table: str,
+    rows: DataFrame,
+    spec: TableSpec | None = None,
+    properties: dict[str, str] | None = None,
+) -> PartitionChange:
+    """Rebuild ``table`` from ``rows``; the old table stays until this is done."""
+    return put_in_place(lake, stage(lake, table, rows, spec, properties))
+
+
+def _building(table: str) -> str:
+    return f"{table}__building"
+
+
 def _has_schema(lake: Lake, table: str, spec: TableSpec) -> bool:
     return schemas.types_of(lake.table(table).schema) == schemas.types_of(spec.schema)
 
 
-def _swap(lake: Lake, table: str, building: str) -> None:
+def _swap(lake: Lake, table: str) -> None:
     # Both are external tables: dropping one leaves its files alone.
     lake.spark.sql(f"DROP TABLE IF EXISTS {lake.name(table)}")
-    lake.spark.sql(f"ALTER TABLE {lake.name(building)} RENAME TO {lake.name(table)}")
-
-
-def _finish_interrupted_swap(lake: Lake, table: str, building: str) -> None:
-    """A job that died between the two statements of a swap left only the new table."""
-    if lake.exists(building) and not lake.exists(table):
-        _swap(lake, table, building)
+    lake.spark.sql(f"ALTER TABLE {lake.name(_building(table))} RENAME TO {lake.name(table)}")
+
+
+def _settle_interrupted_swap(lake: Lake, table: str) -> None:
+    """Finish the swap of a job that died in it; forget a table that died half built."""
+    building = _building(table)
+    if not lake.exists(building):
+        return
+    if property_of(lake, building, COMPLETE) == "true":
+        _swap(lake, table)
+    else:
+        lake.spark.sql(f"DROP TABLE {lake.name(building)}")

@@ -11,6 +11,7 @@ GIVEN = {
     "orders": "o_orderkey bigint, o_custkey bigint, o_totalprice double, o_orderdate timestamp_ntz",
     "customer": "c_custkey bigint, c_name string",
     "supplier": "s_suppkey bigint, s_name string",
+    "lineitem": "l_orderkey bigint, l_shipdate timestamp_ntz, l_returnflag string",
 }
 
 
@@ -28,3 +29,8 @@ def bronze_events(spark: SparkSession, sf_dir: str, created: str = "window") ->
 
 def payment_events(spark: SparkSession, sf_dir: str, created: str = "window") -> DataFrame:
     return derive_events.payment_events(*_roster(spark, sf_dir), created)
+
+
+def merchants_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders, customer, supplier, _ = _roster(spark, sf_dir)
+    return derive_events.flat_merchants(orders, customer, supplier)

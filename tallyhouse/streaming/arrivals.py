@@ -6,6 +6,16 @@ merged into the current state, which is the latest event of what was current
 and what arrived. Both steps give the same result when a batch is run again
 after a failure: the folder is overwritten, and merging an event twice changes
 nothing.
+
+Batches are folded into a log by day once there are ``BATCHES`` of them, so the
+catalog's partitions grow with the days of the data and not with the number of
+runs, and small day files are put together. The log notes the last batch it has;
+readers take the batches after that one, so a fold that dies half way shows no
+event twice. Each batch is sized by what it and the current state hold.
+
+Without a table format that merges in place, a batch rewrites the whole current
+state: ``files_per_batch`` bounds what one batch ranks, and few large batches cost
+less in all.
 """
 
 from __future__ import annotations
@@ -17,8 +27,10 @@ from pyspark.sql.types import LongType, StructField, StructType
 from tallyhouse.operators.activity import event_days
 from tallyhouse.operators.current_state import current_state
 from tallyhouse.operators.flatten import flatten
+from tallyhouse.plans.jobs import build_marts
 from tallyhouse.schemas import BRONZE_STORED, EVENT, EVENT_DAY, NO_DAY, SILVER_STORED
 from tallyhouse.session import require_utc
+from tallyhouse.sizing import SHUFFLED_PER_STORED, day_partitions, sized_for
 from tallyhouse.sources.bronze import JSON_FILES
 from tallyhouse.sources.catalog import (
     Lake,
@@ -26,7 +38,11 @@ from tallyhouse.sources.catalog import (
     add_partitions,
     create_database,
     create_table,
+    drop_partitions,
+    folder_bytes,
+    property_of,
     publish,
+    stored_bytes,
 )
 
 BATCH = StructField("batch", LongType())
@@ -36,13 +52,18 @@ ARRIVED_SPEC = TableSpec(
     StructType([*SILVER_STORED.fields, BATCH]), "silver/arrived", (BATCH.name, EVENT_DAY.name)
 )
 CURRENT_SPEC = TableSpec(EVENT, "gold/arrived_current")
+FOLDED = "arrived_folded"
+FOLDED_SPEC = TableSpec(SILVER_STORED, "silver/arrived_folded", (EVENT_DAY.name,))
+#: Batches that are kept apart before they are folded.
+BATCHES = 8
+_LAST = "lake.last.batch"
 
 
 def _append_batch(lake: Lake, batch: DataFrame, batch_id: int) -> None:
     folder = f"{lake.root}/{ARRIVED_SPEC.folder}"
     own = f"{folder}/{BATCH.name}={batch_id}"
     (
-        batch.hint("rebalance", EVENT_DAY.name)
+        batch.hint("rebalance", day_partitions(lake.spark), EVENT_DAY.name)
         .write.mode("overwrite")
         .option("compression", "snappy")
         .partitionBy(EVENT_DAY.name)
@@ -60,19 +81,77 @@ def _append_batch(lake: Lake, batch: DataFrame, batch_id: int) -> None:
 def _merge_current(lake: Lake, batch_id: int) -> None:
     arrived = lake.table(ARRIVED).where(F.col(BATCH.name) == batch_id)
     events = arrived.select(*CURRENT_SPEC.schema.fieldNames())
+    size = folder_bytes(lake.spark, f"{lake.root}/{ARRIVED_SPEC.folder}/{BATCH.name}={batch_id}")
     if lake.exists(ARRIVED_CURRENT):
         events = events.unionByName(lake.table(ARRIVED_CURRENT))
-    publish(lake, ARRIVED_CURRENT, current_state(events), CURRENT_SPEC)
+        size += stored_bytes(lake, ARRIVED_CURRENT)
+    with sized_for(lake.spark, size, size * SHUFFLED_PER_STORED):
+        publish(lake, ARRIVED_CURRENT, current_state(events), CURRENT_SPEC)
+
+
+def _last_folded(lake: Lake) -> int:
+    return int(property_of(lake, FOLDED, _LAST) or -1) if lake.exists(FOLDED) else -1
+
+
+def arrived_log(lake: Lake) -> DataFrame:
+    """Every event promoted so far, with its day: what is folded and the batches after it."""
+    recent = lake.table(ARRIVED).where(F.col(BATCH.name) > _last_folded(lake)).drop(BATCH.name)
+    recent = recent.select(*SILVER_STORED.fieldNames())
+    return recent.unionByName(lake.table(FOLDED)) if lake.exists(FOLDED) else recent
+
+
+def _arrived_batches(lake: Lake) -> dict[int, list[str]]:
+    """The partitions of each batch that the catalog still knows."""
+    known: dict[int, list[str]] = {}
+    for row in lake.spark.sql(f"SHOW PARTITIONS {lake.name(ARRIVED)}").collect():
+        batch, day = row["partition"].split("/")
+        known.setdefault(int(batch.partition("=")[2]), []).append(day.partition("=")[2])
+    return known
+
+
+def fold_batches(lake: Lake, at_least: int = BATCHES) -> None:
+    """Put the batches together by day once there are ``at_least`` of them."""
+    batches = _arrived_batches(lake)
+    last = _last_folded(lake)
+    if len([b for b in batches if b > last]) >= at_least:
+        size = folder_bytes(lake.spark, f"{lake.root}/{ARRIVED_SPEC.folder}")
+        with sized_for(lake.spark, size, size * SHUFFLED_PER_STORED):
+            log = arrived_log(lake).hint("rebalance", day_partitions(lake.spark), EVENT_DAY.name)
+            last = max(batches)
+            publish(lake, FOLDED, log, FOLDED_SPEC, {_LAST: str(last)})
+    # Also what an earlier fold left behind when it died.
+    drop_partitions(
+        lake,
+        ARRIVED,
+        [
+            {BATCH.name: batch, EVENT_DAY.name: day}
+            for batch, days in batches.items() if batch <= last for day in days
+        ],
+    )
+
+
+def build_marts_from_arrivals(lake: Lake) -> None:
+    """The fact and dimensions from what has arrived, without a rebuild of silver."""
+    build_marts(
+        lake, lake.table(ARRIVED_CURRENT), arrived_log(lake), stored_bytes(lake, ARRIVED_CURRENT)
+    )
+
 
+def promote_arrivals(
+    lake: Lake, files_per_batch: int | None = None, multi_line: bool = False
+) -> None:
+    """Promote the bronze files that have not been promoted yet, then stop.
 
-def promote_arrivals(lake: Lake, files_per_batch: int | None = None) -> None:
-    """Promote the bronze files that have not been promoted yet, then stop."""
+    Without ``files_per_batch`` all of them are one batch. ``multi_line`` reads
+    pretty-printed arrays.
+    """
     require_utc(lake.spark)
     create_database(lake)
     reader = (
         lake.spark.readStream.schema(BRONZE_STORED)
         .option("pathGlobFilter", JSON_FILES)
         .option("mode", "FAILFAST")
+        .option("multiLine", multi_line)
     )
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
@@ -80,6 +159,7 @@ def promote_arrivals(lake: Lake, files_per_batch: int | None = None) -> None:
     def promote(bronze: DataFrame, batch_id: int) -> None:
         _append_batch(lake, flatten(bronze), batch_id)
         _merge_current(lake, batch_id)
+        fold_batches(lake)
 
     query = (
         reader.json(lake.bronze)

@@ -11,14 +11,12 @@ from tests.conftest import SF, event, rows_of, write_bronze, write_text
 
 def promoted(lake):
     current = rows_of(lake.table(arrivals.ARRIVED_CURRENT))
-    log = rows_of(lake.table(arrivals.ARRIVED).drop("batch"))
-    return log, current
+    return rows_of(arrivals.arrived_log(lake)), current
 
 
 def rebuilt(lake):
     jobs.promote_silver_and_current(lake)
-    log = lake.table("payments_events").select(*lake.table(arrivals.ARRIVED).drop("batch").columns)
-    return rows_of(log), rows_of(lake.table("payments_current"))
+    return rows_of(lake.table("payments_events")), rows_of(lake.table("payments_current"))
 
 
 def test_arrivals_equal_a_rebuild(spark, lake):
@@ -61,3 +59,37 @@ def test_a_batch_that_runs_again_changes_nothing(spark, lake):
     arrivals._append_batch(lake, batch, 0)
     arrivals._merge_current(lake, 0)
     assert promoted(lake) == before
+
+
+def test_partitions_do_not_grow_with_runs(lake, monkeypatch):
+    monkeypatch.setattr(arrivals, "BATCHES", 3)
+    monkeypatch.setattr(arrivals.fold_batches, "__defaults__", (3,))
+    for run in range(8):
+        write_bronze(lake, [event(f"t{run}"), event("t0", "refunded", f"2026-08-{7 + run % 2:02d}T10:00:00Z")])
+        arrivals.promote_arrivals(lake)
+        known = arrivals._arrived_batches(lake)
+        assert len(known) < 3 and sum(map(len, known.values())) <= 2 * 3
+    assert promoted(lake) == rebuilt(lake)
+
+
+def test_a_fold_that_dies_shows_no_event_twice(lake, monkeypatch):
+    for run in range(3):
+        write_bronze(lake, [event(f"t{run}")])
+        arrivals.promote_arrivals(lake)
+    before = promoted(lake)
+    monkeypatch.setattr(arrivals, "drop_partitions", lambda *_: None)
+    arrivals.fold_batches(lake, at_least=2)
+    assert promoted(lake) == before
+    monkeypatch.undo()
+    arrivals.fold_batches(lake, at_least=2)
+    assert arrivals._arrived_batches(lake) == {} and promoted(lake) == before
+
+
+def test_marts_from_arrivals_equal_those_of_a_rebuild(spark, lake):
+    jobs.ingest(lake, tables.bronze_events(spark, SF))
+    arrivals.promote_arrivals(lake, files_per_batch=3)
+    arrivals.build_marts_from_arrivals(lake)
+    arrived = rows_of(jobs.serve(lake))
+    jobs.promote_silver_and_current(lake)
+    jobs.build_marts(lake)
+    assert arrived == rows_of(jobs.serve(lake)) and arrived

@@ -1,5 +1,7 @@
 """Databases, tables, partitions, and replacing a table."""
 
+import contextlib
+
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -122,6 +124,7 @@ def test_interrupted_swap_is_finished_by_the_next_publish(spark, lake):
     live = catalog.location(lake, "payments_events")
     building = "payments_events__building"
     spark.sql(f"ALTER TABLE {lake.name('payments_events')} RENAME TO {lake.name(building)}")
+    assert catalog.property_of(lake, building, catalog.COMPLETE) == "true"
     catalog.publish(lake, "payments_events", silver(spark, DAYS[:1]))
     assert lake.table("payments_events").count() == 1
     assert catalog.location(lake, "payments_events") != live
@@ -142,3 +145,37 @@ def test_one_schema_feeds_all(spark):
     flat = silver(spark)
     assert types_of(flat.schema) == types_of(SILVER_STORED)
     assert EVENT.fieldNames() + ["dt"] == flat.columns
+
+
+class Died(Exception):
+    pass
+
+
+@pytest.mark.parametrize("first_build", [True, False])
+@pytest.mark.parametrize("dies_before", range(12))
+def test_death_between_any_two_statements(spark, lake, monkeypatch, first_build, dies_before):
+    """The job dies, the next one fails as well: readers see a whole table or none."""
+    if not first_build:
+        catalog.publish(lake, "payments_events", silver(spark))
+    statements = spark.sql
+    left = [dies_before]
+
+    def sql(text, *args, **named):
+        if left[0] == 0:
+            raise Died
+        left[0] -= 1
+        return statements(text, *args, **named)
+
+    monkeypatch.setattr(spark, "sql", sql)
+    with contextlib.suppress(Died):
+        catalog.publish(lake, "payments_events", silver(spark, DAYS[:2]))
+    monkeypatch.setattr(spark, "sql", statements)
+    broken = silver(spark).withColumn("amount", F.raise_error(F.lit("lost")).cast("double"))
+    with pytest.raises(Exception, match="lost"):
+        catalog.publish(lake, "payments_events", broken)
+    if lake.exists("payments_events"):
+        assert lake.table("payments_events").count() in ({2} if first_build else {2, 3})
+    else:
+        assert first_build
+    catalog.publish(lake, "payments_events", silver(spark, DAYS[:1]))
+    assert lake.table("payments_events").count() == 1

@@ -29,6 +29,9 @@ def test_iso_round_trip(spark):
 def test_days(spark):
     assert value(spark, functions.event_day(ntz(TS))) == "2026-08-06"
     assert value(spark, functions.iso_day(F.lit("2026-08-06T23:59:58Z"))) == "2026-08-06"
+    assert value(spark, functions.landing_day(F.lit("2026-08-06T23:59:58Z"))) == "2026-08-06"
+    assert value(spark, functions.landing_day(F.lit("2026-08-06T23:30:00-05:00"))) == "2026-08-07"
+    assert value(spark, functions.landing_day(F.lit("no time"))) is None
 
 
 @pytest.mark.parametrize("seconds", [0, 1, -1, 3 * 86400 + 61, -604800])
@@ -107,18 +110,18 @@ def test_splits_and_reducers_follow_the_input():
     assert sizing.reducers(100 * TB, at_least=200) == sizing.MAX_REDUCERS
 
 
-def test_compaction_is_for_scattered_inputs(spark):
-    def pays(days, objects, size, parallelism):
-        files = spark.range(days * objects).select(
-            (F.col("id") % days).cast("string").alias("dt"), F.lit(size).alias("length")
-        )
-        return sizing.compaction_pays(files, days * objects * size, parallelism)
-
-    assert pays(30, 400, 300_000, 8)  # a year of small daily runs
-    assert not pays(30, 1, 300_000, 8)
-    assert pays(10, 1, 1024 * sizing.MB, 4000)  # cut up for many cores
-    assert not pays(500, 100, 2 * 1024 * sizing.MB, 4000)  # 100 TB in large objects
-    assert not sizing.compaction_pays(spark.createDataFrame([], "dt string, length bigint"), 0, 8)
+@pytest.mark.parametrize("tb, json_split, stored_split, reducers", [
+    # Bronze JSON of this size makes a tenth of it in Parquet, which is what ranking scans.
+    (1, 128, 128, 922), (10, 128, 128, 9216), (100, 525, 128, 50_000),
+])
+def test_settings_at_scale(spark, tb, json_split, stored_split, reducers):
+    megabytes = lambda: round(int(spark.conf.get("spark.sql.files.maxPartitionBytes")) / sizing.MB)
+    with sizing.sized_for(spark, tb * TB):
+        assert megabytes() == pytest.approx(json_split, abs=1)
+        assert sizing.day_partitions(spark) == sizing.DAY_PARTITIONS
+    with sizing.sized_for(spark, tb * TB // 10, tb * TB // 10 * sizing.SHUFFLED_PER_STORED):
+        assert megabytes() == stored_split
+        assert int(spark.conf.get("spark.sql.shuffle.partitions")) == pytest.approx(reducers, rel=0.01)
 
 
 def test_sizes_hold_for_one_job_only(spark):

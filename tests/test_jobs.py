@@ -1,17 +1,20 @@
 """The jobs end to end: rerun, rebuild, late events, and what each one touches."""
 
+import json
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyhouse.plans import checks, jobs
 from tallyhouse.schemas import EVENT, FACT, SILVER_STORED, types_of
 from tallyhouse.sources import tables
 from tallyhouse.sources.catalog import (
     PartitionChange,
+    folder_bytes,
     location,
     registered_days,
-    source_bytes,
+    stored_bytes,
 )
 from tests.conftest import SF, event, rows_of, write_bronze
 
@@ -52,14 +55,22 @@ def test_build_and_rerun(lake):
     assert contents(lake) == first
 
 
-def test_silver_notes_the_size_of_its_bronze(spark, lake):
+def test_tables_note_the_size_of_their_files(spark, lake):
+    write_bronze(lake, history())
+    build(lake)
+    for table in LAYERS:
+        folder = Path(location(lake, table).removeprefix("file:"))
+        size = sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+        assert stored_bytes(lake, table) == size > 0
+
+
+def test_a_missing_note_is_listed_and_not_taken_for_nothing(spark, lake):
     write_bronze(lake, history())
-    jobs.promote_silver(lake)
-    size = sum(f.stat().st_size for f in Path(lake.bronze).glob("dt=*/*.json"))
-    assert source_bytes(lake, "payments_events") == size > 0
     build(lake)
-    assert source_bytes(lake, "payments_events") == size
-    assert source_bytes(lake, "payments_current") == 0
+    size = stored_bytes(lake, "payments_events")
+    spark.sql(f"ALTER TABLE {lake.name('payments_events')} UNSET TBLPROPERTIES ('lake.stored.bytes')")
+    assert stored_bytes(lake, "payments_events") == size
+    assert folder_bytes(spark, location(lake, "payments_events")) == size
 
 
 def test_declared_schemas_are_stored(lake):
@@ -185,3 +196,49 @@ def test_submitted_steps(spark, lake):
     job.run(lake, ["silver", "current", "marts", "quality", "serve"])
     result = read_tsv(spark, f"{lake.root}/results/settled_revenue_by_merchant", REVENUE)
     assert rows_of(result) == rows_of(jobs.serve(lake)) == [("Shop", "retail", 1, 10.5)]
+
+
+def test_pretty_printed_arrays_go_through_the_jobs(spark, lake, capsys):
+    import job
+    from tests.conftest import write_text
+
+    pretty = json.dumps(history()[:2], indent=2)
+    write_text(f"{lake.bronze}/dt=2026-08-01/a.json", pretty)
+    write_text(f"{lake.bronze}/dt=2026-08-02/b.json", json.dumps(history()[2:], indent=2))
+    job.run(lake, ["silver", "current", "marts", "arrivals", "arrived_marts", "quality", "serve"], True)
+    assert lake.table("payments_events").count() == 6
+    assert checks.unpromoted_days(lake, multi_line=True).count() == 0
+    lines = capsys.readouterr().out.splitlines()
+    assert lines[:4] == [
+        "days added 3, existing 0, removed 0",
+        "2026-08-01: 2 rows", "2026-08-02: 3 rows", "2026-08-03: 1 rows",
+    ]
+    assert "payments_events: 6 rows" in lines and "payments_current: 2 rows" in lines
+    assert "fct_transactions: 2 rows" in lines and lines[-1] == "result: 1 rows"
+
+
+def test_marts_are_put_in_place_together(lake, monkeypatch):
+    write_bronze(lake, history())
+    build(lake)
+    before = contents(lake)
+    write_bronze(lake, [event("t9", "settled", merchant={"merchant_id": "m9", "name": "New"})])
+    jobs.promote_silver_and_current(lake)
+    broken = lake.table("payments_current").withColumn(
+        "amount", F.raise_error(F.lit("lost")).cast("double"))
+    with pytest.raises(Exception, match="lost"):
+        jobs.build_marts(lake, broken)
+    for table in ("fct_transactions", "dim_merchants", "dim_customers"):
+        assert rows_of(lake.table(table)) == before[table]
+    jobs.build_marts(lake, lake.table("payments_current"))
+    assert lake.table("dim_merchants").count() == 3
+
+
+def test_offsets_land_under_the_day_silver_gives_them(spark, lake):
+    from tests.conftest import bronze_frame
+
+    late = event("t1", at="2026-08-06T23:30:00-05:00")
+    jobs.ingest(lake, bronze_frame(spark, [late]).drop("dt"))
+    assert [d.name for d in Path(lake.bronze).glob("dt=*")] == ["dt=2026-08-07"]
+    jobs.promote_silver(lake)
+    assert registered_days(lake, "payments_events") == {"2026-08-07"}
+    assert checks.unpromoted_days(lake).count() == 0

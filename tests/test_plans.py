@@ -18,7 +18,7 @@ def built(spark):
     return queries.built_lake(spark, SF)
 
 
-@pytest.mark.parametrize("name", [n for n in contract.queries() if n != "end_to_end"])
+@pytest.mark.parametrize("name", [q.__name__ for q in queries.REGISTERED if q.__name__ != "end_to_end"])
 def test_no_python_and_no_cross_join(spark, name):
     plan = plan_of(contract.queries()[name](spark, SF))
     assert not re.search(r"Python|Pandas|CartesianProduct|BroadcastNestedLoopJoin", plan)
@@ -86,4 +86,27 @@ def test_flatten_is_one_projection_without_a_shuffle(spark, built):
 
 def test_orders_are_scanned_for_needed_columns_only(spark):
     plan = plan_of(tables.payment_events(spark, SF))
-    assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint,o_totalprice:double>" in plan
+    assert (
+        "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint,o_totalprice:double,"
+        "o_orderdate:timestamp_ntz>" in plan
+    )
+
+
+def test_lines_are_reduced_before_they_are_joined(spark):
+    tree = plan_of(tables.payment_events(spark, SF)).split("\n\n")[0]
+    assert tree.count("Generate") == 1
+    assert tree.rindex("HashAggregate") > tree.index("Join") > tree.index("Generate")
+
+
+def test_flagship_explodes_once(spark):
+    tree = plan_of(queries.settled_revenue_by_merchant(spark, SF)).split("\n\n")[0]
+    assert tree.count("Generate") == 1
+
+
+def test_quality_reads_the_fact_twice_and_shuffles_counters(built):
+    from tallyhouse.operators import quality
+
+    tree = plan_of(quality.quality_violations(
+        built.table("fct_transactions"), built.table("dim_merchants"), built.table("dim_customers")
+    ))
+    assert len(re.findall(r"Location: \S+ \[\S*fct_transactions", tree)) == 2

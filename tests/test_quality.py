@@ -77,3 +77,14 @@ def test_freshness(lake):
     assert checks.unpromoted_days(lake).count() == 0
     newest = {r["layer"]: r["newest_event"] for r in checks.layer_freshness(lake).collect()}
     assert newest == {"bronze": after, "silver": after, "gold": after}
+
+
+def test_misplaced_files_and_offsets_are_not_behind(lake):
+    """Folders of bronze may be other days than those of the events in them."""
+    write_text(f"{lake.bronze}/dt=2026-08-05/x.json", json.dumps(event("t1", at="2026-08-09T01:00:00Z")))
+    write_bronze(lake, [event("t2", at="2026-08-06T23:30:00-05:00")])
+    assert [r["dt"] for r in checks.unpromoted_days(lake).collect()] == ["2026-08-07", "2026-08-09"]
+    jobs.promote_silver_and_current(lake)
+    assert checks.unpromoted_days(lake).count() == 0
+    newest = {r["newest_event"] for r in checks.layer_freshness(lake).collect()}
+    assert newest == {datetime.datetime(2026, 8, 9, 1)}

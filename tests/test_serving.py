@@ -43,7 +43,7 @@ def test_sql_over_the_catalog(spark, lake):
         for part in Path(f"{lake.root}/out").glob("*.csv")
         for line in part.read_text().splitlines()
     ]
-    assert "\t".join(REVENUE.fieldNames()) in lines
+    assert "\t".join(f'"{name}"' for name in REVENUE.fieldNames()) in lines
     assert rows_of(export.read_tsv(spark, f"{lake.root}/out", REVENUE)) == rows_of(result)
 
     # Every run lands files of its own beside those that are there.
@@ -55,3 +55,12 @@ def test_sql_over_the_catalog(spark, lake):
     assert catalog.registered_days(lake, "payments_events") == {
         f.parent.name.removeprefix("dt=") for f in landed
     }
+
+
+def test_text_comes_back_as_it_was(spark, tmp_path):
+    values = [" lead ", "", None, "a\tb", 'say "x"', "back\\slash", "\\N", "\\\\N", "line\nend", "\r\n",
+              "'", '"', "é", "#c", "null", "\u00a0"]
+    rows = [(k, v, None if k % 2 else k / 3) for k, v in enumerate(values)]
+    frame = spark.createDataFrame(rows, "k long, name string, amount double")
+    export.write_tsv(frame, f"{tmp_path}/out")
+    assert rows_of(export.read_tsv(spark, f"{tmp_path}/out", frame.schema)) == rows_of(frame)

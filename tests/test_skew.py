@@ -6,6 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from tallyhouse import sizing
 from tallyhouse.operators import current_state, derive_events, revenue
 from tallyhouse.schemas import BRONZE_EVENT, EVENT
 from tallyhouse.sources import tables
@@ -61,7 +62,8 @@ def test_hot_merchant_is_aggregated_before_the_shuffle(spark, hot_events):
     assert (top["merchant_name"], top["settled_transactions"]) == ("m_hot", ROWS // 3)
 
 
-def test_hot_day_is_split_and_small_days_are_not(spark, conf, lake):
+def test_hot_day_is_split_and_small_days_are_not(spark, conf, lake, monkeypatch):
+    monkeypatch.setattr(sizing, "DAY_PARTITIONS", 2000)
     conf("spark.sql.adaptive.advisoryPartitionSizeInBytes", "40k")
     conf("spark.sql.shuffle.partitions", "2000")
     day = F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 30)
@@ -84,22 +86,23 @@ def test_hot_customer_is_split_when_nothing_is_broadcast(spark, conf):
     orders = tables.given(spark, "/root/testdata/sf0.01", "orders")
     customer = tables.given(spark, "/root/testdata/sf0.01", "customer")
     supplier = tables.given(spark, "/root/testdata/sf0.01", "supplier")
+    lines = tables.given(spark, "/root/testdata/sf0.01", "lineitem")
     skewed = orders.withColumn(
         "o_custkey", F.when(F.col("o_orderkey") % 3 == 0, 1).otherwise(F.col("o_custkey"))
     ).repartition(8, "o_orderkey")
     wanted = rows_of(
-        derive_events.payment_events(skewed, customer, supplier).groupBy("customer_id").count()
+        derive_events.payment_events(skewed, customer, supplier, lines).groupBy("customer_id").count()
     )
     conf("spark.sql.autoBroadcastJoinThreshold", "-1")
     conf("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "4k")
     conf("spark.sql.adaptive.skewJoin.skewedPartitionFactor", "1.5")
     conf("spark.sql.adaptive.advisoryPartitionSizeInBytes", "16k")
-    joined = derive_events.transactions(skewed, customer, supplier)
+    joined = derive_events.transactions(skewed, customer, supplier, lines)
     joined.collect()
     final = plan_of(joined).split("Initial Plan")[0]
     assert "SortMergeJoin" in final and "Broadcast" not in final
     assert "SortMergeJoin(skew=true)" in final
-    events = derive_events.payment_events(skewed, customer, supplier)
+    events = derive_events.payment_events(skewed, customer, supplier, lines)
     assert rows_of(events.groupBy("customer_id").count()) == wanted
 
 

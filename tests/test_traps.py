@@ -237,3 +237,25 @@ def test_sums_do_not_depend_on_order(spark):
     for parts in (1, 7, 13):
         (row,) = settled_revenue_by_merchant(facts.repartition(parts), merchants).collect()
         assert row["total_settled_amount"] == 999.98
+
+
+@pytest.mark.parametrize("amounts, total", [
+    ([1.0, float("nan")], float("nan")),
+    ([1.0, float("inf")], float("inf")),
+    ([float("inf"), float("-inf")], float("nan")),
+    ([1e19, 2.5], 1e19 + 2.5),
+    ([1e30, 1.0], 1e30 + 1.0),
+    ([None, None], None),
+    ([None, 1.25], 1.25),
+    ([0.0000004] * 30_000, 0.01),
+])
+def test_no_amount_is_left_out_of_the_sum(spark, amounts, total):
+    from tallyhouse.operators.current_state import fact
+
+    base = flatten(bronze_frame(spark, [event()]))
+    rows = spark.createDataFrame([(a,) for a in amounts], "amount double").crossJoin(base.drop("amount"))
+    facts = fact(rows.select(*base.columns))
+    (row,) = settled_revenue_by_merchant(facts.repartition(3), dim_merchants(base)).collect()
+    assert row["settled_transactions"] == len(amounts)
+    got = row["total_settled_amount"]
+    assert got == total or total != total and got != got
