@@ -148,6 +148,71 @@ select doc_id, size, source_size::bigint as source_size, target,
            when ticket = edge and words < 2 * (budget - (upto - words)) then 1
            else 0 end))::bigint as taken
 from grouped left join edges on grouped.source is not distinct from edges.source
+""",
+    "op6_ngram_jaccard_join": r"""
+with recursive texts as (
+    select row_number() over () as r, doc_id,
+           coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+               'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as words
+    from documents
+), shingled as (
+    select r, doc_id, list_sort(list_distinct(list_transform(
+               range(1, greatest(len(words) - 3, 2)),
+               lambda i: array_to_string(words[i : i + 4], ' ')))) as shingles
+    from texts where len(words) > 0
+), sets as (
+    select shingles, row_number() over () as s, len(shingles) as n
+    from (select distinct shingles from shingled)
+), spread as (
+    select s, n, unnest(shingles) as shingle from sets
+), shared as (
+    select a.s as a, b.s as b, count(*) as common, any_value(a.n) + any_value(b.n) as either
+    from spread a join spread b on a.shingle = b.shingle and a.s <> b.s
+                                and b.n >= 0.8 * a.n and a.n >= 0.8 * b.n
+    group by a.s, b.s
+), links as (
+    select a, b from shared where common >= 0.8 * (either - common)
+), reached as (
+    select s as a, s as b from sets
+    union
+    select reached.a, links.b from reached join links on reached.b = links.a
+), members as (
+    select s, doc_id from shingled join sets using (shingles)
+), classes as (
+    select a as s, min(doc_id) as class_id from reached join members on members.s = reached.b
+    group by a
+), counts as (
+    select a as s, count(*) as n_links from links group by a
+)
+select texts.doc_id, case when s is null then texts.doc_id else class_id end as class_id,
+       coalesce(n_links, 0)::bigint as n_links
+from texts left join shingled using (r) left join sets using (shingles)
+     left join classes using (s) left join counts using (s)
+""",
+    "op8_line_dedup": r"""
+with lines as (
+    select row_number() over () as r, doc_id,
+           string_split(coalesce(text, ''), chr(10)) as lines
+    from documents
+), units as (
+    select r, doc_id, unnest(lines) as line, generate_subscripts(lines, 1) as nth from lines
+), worded as (
+    select *, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                  'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words,
+           sum(length(line) + 1) over (partition by r order by nth) - length(line) - 1 as start
+    from units
+), judged as (
+    select *, len(words) >= 5 and row_number() over (
+                  partition by words order by doc_id nulls last, nth) > 1 as gone,
+           start::bigint || ':' || (start + length(line))::bigint as span
+    from worded
+)
+select doc_id,
+       coalesce(string_agg(line, chr(10) order by nth) filter (not gone), '') as text,
+       count(*) as n_units, count(*) filter (gone) as n_removed,
+       coalesce(string_agg(span, ',' order by nth) filter (not gone), '') as kept,
+       coalesce(string_agg(span, ',' order by nth) filter (gone), '') as removed
+from judged group by r, doc_id
 """,
     "op9_decontaminate": r"""
 with docs as (
