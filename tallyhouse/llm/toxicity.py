@@ -1,9 +1,9 @@
 """Toxicity by a linear classifier with a counterfactual penalty.
 
-Features are the words of a text and their beginnings, present or not. How many
-documents of either label have each is counted over all labelled documents; those that
-tell the labels apart best are kept. A logistic model on them is fitted on a bounded
-sample of the labelled rows. For each sampled sentence that names a group a copy names
+It is fitted on a bounded sample of the labelled rows. Features are the words of a text
+and their beginnings, present or not; Spark counts how many sampled documents of either
+label have each, and those that tell the labels apart best are kept. The model on them
+is logistic. For each sampled sentence that names a group a copy names
 another group instead, and the squared change of its score is added to the loss: names
 can't carry a score, and a neutral text that mentions a group is not marked for it.
 """
@@ -35,8 +35,9 @@ IDENTITY_TERMS = (
 BEGINNINGS = range(3, 9)
 #: Features kept, the fewest documents one must be in, and the least chi-square.
 VOCABULARY, LEAST_DOCS, LEAST_CHI2 = 5_000, 3, 6.0
-#: Most labelled rows the weights are fitted on, those with the least hashed ids.
-SAMPLE = 40_000
+#: Most labelled rows the classifier is fitted on, those with the least hashed ids. Two
+#: numbers each, they are sent to every task, so the texts need not be shuffled.
+SAMPLE = 50_000
 THRESHOLD = 0.7
 ROUNDS, RATE, RIDGE = 300, 0.1, 1e-5
 #: Weight of the squared change under a swap of names.
@@ -199,19 +200,18 @@ def train(
     sample: int = SAMPLE,
     terms: tuple[str, ...] = IDENTITY_TERMS,
 ) -> Model:
-    """A model from the labelled documents outside the held-out fold.
+    """A model from at most ``sample`` labelled documents outside the held-out fold.
 
     Rows without id or label teach nothing. Without labelled rows the model scores
     everything 0.5; a document labelled twice counts twice.
     """
     known = labels.select(F.col(doc_id).alias("of"), F.col(label).alias("toxic")).where(
-        "of is not null and toxic is not null"
-    )
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(
-        F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
+        F.col("of").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("of"))
     )
+    chosen = stored(known.orderBy(F.xxhash64("of"), "of", "toxic").limit(sample), "sampled")
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     taught = stored(
-        texts.join(known.where(~held_out(F.col("of"))), F.col("doc_id") == F.col("of"))
+        texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("of"))
         .select(F.xxhash64("doc_id", "text").alias("place"),
                 F.col("toxic").cast("int").alias("toxic"), "text")
         .mapInArrow(_taught(terms), "place long, toxic int, words array<string>,"
