@@ -42,8 +42,9 @@ HASHES, BAND = 128, 4
 BANDS = HASHES // BAND
 STEP = 32
 TOLERANCE = 1e-6
-#: Texts on each side of a tile.
-BLOCK = 256
+#: Texts on each side of a tile: where only signatures are compared, and where the sets
+#: themselves are.
+CANDIDATE_BLOCK, BLOCK = 2_048, 256
 #: Words whose hashes a worker remembers; a full memory is emptied.
 REMEMBERED = 500_000
 
@@ -165,8 +166,9 @@ def _block(blocks: Column) -> Column:
     return F.pmod(F.xxhash64("set_key"), blocks).cast("int")
 
 
-def _blocks(size: str) -> Column:
-    return F.ceil(F.col(size) / BLOCK).cast("int")
+def _blocks(texts: int) -> Column:
+    """How many blocks a group of ``size`` has."""
+    return F.ceil(F.col("size") / texts).cast("int")
 
 
 def _edges(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
@@ -213,8 +215,9 @@ def _candidates(sets: DataFrame, threshold: float, tolerance: float) -> DataFram
         ).alias("bucket"),
     )
     sizes = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    blocks = _blocks(CANDIDATE_BLOCK)
     tiled = banded.join(sizes, "bucket").select(
-        "bucket", "set_key", F.explode(_tiles(_block(_blocks("size")), _blocks("size"))).alias("t")
+        "bucket", "set_key", F.explode(_tiles(_block(blocks), blocks)).alias("t")
     )
     # The same texts meet in many bands; each list of members is compared once.
     groups = (
@@ -328,10 +331,10 @@ def similarity_join(
         .join(chosen, F.col("row").eqNullSafe(F.col("first")))
         .groupBy("label", "size", "set_key", "signature").agg(F.max("text").alias("text"))
     )
+    blocks = _blocks(BLOCK)
     tiles = with_text.select(
-        "label",
-        F.explode(_tiles(_block(_blocks("size")), _blocks("size"))).alias("tile"),
-        "set_key", _block(_blocks("size")).alias("block"), "signature", "text",
+        "label", F.explode(_tiles(_block(blocks), blocks)).alias("tile"),
+        "set_key", _block(blocks).alias("block"), "signature", "text",
     )
     found = stored(
         tiles.repartition("label", "tile").sortWithinPartitions("label", "tile", "set_key")
@@ -354,7 +357,10 @@ def similarity_join(
         .select(F.col("set_key").alias("of"), "label", "class_id",
                 F.coalesce("links", F.lit(0)).alias("n_links"))
     )
-    return marked.join(classes, marked["set_key"] == classes["of"], "left").select(
+    # Wordless texts meet no class; a key of their own, longer than a digest, spreads them.
+    alone = F.concat(F.lit("no words "), F.hex(F.xxhash64("doc_id", "key"))).cast("binary")
+    lone = marked.withColumn("own", F.coalesce("set_key", alone))
+    return lone.join(classes, lone["own"] == classes["of"], "left").select(
         "doc_id", "key",
         F.when(F.col("of").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
         .alias("class_id"),
@@ -385,7 +391,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     singles = docs.join(dropped, own.eqNullSafe(dropped["row"]), "left_anti")
     repeated = (
         docs.join(dropped.where("once"), own.eqNullSafe(dropped["row"]), "left_semi")
-        .select(F.struct(*docs.columns).alias("kept"), own.alias("row"))
+        .select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("kept"), own.alias("row"))
         .groupBy("row").agg(F.first("kept").alias("kept")).select("kept.*")
     )
     return singles.unionByName(repeated)

@@ -74,6 +74,7 @@ def rows():
 def test_equals_all_pairs(spark, documents, rows, monkeypatch, block):
     ship(spark)
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "CANDIDATE_BLOCK", block)
     docs = documents(rows, "1 as label").withColumnRenamed("lang", "size")
     got = ngram_join.similarity_join(docs).select("doc_id", "class_id", "n_links").collect()
     assert sorted((tuple(r) for r in got), key=repr) == brute(rows)
