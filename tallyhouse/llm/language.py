@@ -4,103 +4,136 @@ A language's profile is its most frequent n-grams, in order. A text gets a profi
 its own and the language whose profile is least out of place: for each n-gram of the
 text the difference of the two ranks, or the most there is where the language lacks it.
 
-Words are counted by language over all the documents learnt from, n-grams are cut from
-the distinct words and added up by their counts, and only profiles, a fixed number of
-n-grams for each language, leave the cluster's tables.
+N-grams are 64-bit codes, made for all places of a text at once: up to three characters
+they are the characters themselves, longer ones are hashed. They are counted by language
+over all the documents learnt from, first in every task, and only profiles, a fixed
+number of n-grams for each language, leave the cluster's tables.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyhouse.llm.common import stored
 
 PROFILE = 400
-SHORTEST, LONGEST = 1, 5
+LONGEST = 5
 UNKNOWN = "und"
 #: Profiles are sent to every task: 400 n-grams each, so at most 400,000.
 MOST_LANGUAGES = 1_000
-#: Distinct (language, word) pairs a task holds before it passes their counts on, and
-#: words whose n-grams a worker remembers. Neither changes a result.
-HELD, REMEMBERED = 200_000, 60_000
+#: Words that are coded at once, and counted codes a task holds of a language before it
+#: adds equal ones up and, if that is still too many, passes them on. No effect on results.
+TOGETHER, HELD = 200_000, 1_000_000
 
 _LETTERS = re.compile(r"[^\W\d_]+")
+_BLANK = np.uint64(32)
+_BITS = np.uint64(21)  # of a code point
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def letter_words(text: str) -> list[str]:
+    """The runs of letters of a text, lowered."""
     return _LETTERS.findall(text.lower())
 
 
-def ngrams(word: str) -> list[str]:
-    """N-grams of a word between blanks, those of blanks alone left out."""
-    padded = f" {word} "
-    return [
-        gram
-        for n in range(SHORTEST, LONGEST + 1)
-        for at in range(len(padded) - n + 1)
-        if (gram := padded[at : at + n]) != " "
+def _codes(words: list[str]) -> np.ndarray:
+    """Codes of all n-grams of the words, each between blanks, but for the blank alone."""
+    text = f" {' '.join(words)} ".encode("utf-32-le", "replace")
+    points = np.frombuffer(text, "<u4").astype(np.uint64)
+    blank = points == _BLANK
+    out = [points[~blank]]
+    code, inside = points, np.ones(len(points), bool)
+    for n in range(2, LONGEST + 1):
+        # Longer by one: the character between the ends must not be a blank.
+        last = points[n - 1 :]
+        if n > 2:
+            inside = inside[: len(last)] & ~blank[n - 2 : n - 2 + len(last)]
+        else:
+            inside = inside[: len(last)]
+        code = code[: len(last)]
+        if n > 3:
+            code = (code ^ (code >> np.uint64(29))) * _MIX
+            code = code + last
+            out.append((code ^ np.uint64(n))[inside] | np.uint64(1 << 63))
+        else:
+            code = (code << _BITS) | last
+            out.append(code[inside])
+    return np.concatenate(out)
+
+
+def _summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal codes put together, in ascending order."""
+    order = np.argsort(codes, kind="stable")
+    codes, counts = codes[order], counts[order]
+    starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+    return codes[starts], np.add.reduceat(counts, starts)
+
+
+def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of a text in ascending order of code, and their counts."""
+    words = letter_words(text)
+    parts = [
+        np.unique(_codes(words[at : at + TOGETHER]), return_counts=True)
+        for at in range(0, len(words), TOGETHER)
     ]
-
-
-def _word_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: dict[str, Counter] = {}
-
-    def flush() -> pa.RecordBatch:
-        rows = [(lang, word, n) for lang, words in counts.items() for word, n in words.items()]
-        counts.clear()
-        columns = zip(*rows, strict=True) if rows else ([], [], [])
+    if len(parts) == 1:
+        return parts[0]
+    if not parts:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    return _summed(*(np.concatenate(column) for column in zip(*parts, strict=True)))
+
+
+def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial counts (lang, gram, n) of a task."""
+    held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    sizes: dict[str, int] = {}
+
+    def together(lang: str) -> None:
+        held[lang] = [_summed(*(np.concatenate(c) for c in zip(*held[lang], strict=True)))]
+        sizes[lang] = len(held[lang][0][0])
+
+    def rows(lang: str) -> pa.RecordBatch:
+        together(lang)
+        codes, counts = held.pop(lang)[0]
+        del sizes[lang]
         return pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(columns, [pa.string(), pa.string(), pa.int64()],
-                                            strict=True)],
-            names=["lang", "word", "n"],
+            [pa.array([lang]).take(pa.array(np.zeros(len(codes), np.int32))),
+             pa.array(codes.view(np.int64)), pa.array(counts.astype(np.int64))],
+            names=["lang", "gram", "n"],
         )
 
     for batch in batches:
         for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            counts.setdefault(lang, Counter()).update(letter_words(text))
-            if sum(map(len, counts.values())) > HELD:
-                yield flush()
-    yield flush()
-
-
-def _grams_of_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of n-grams from counts of distinct words."""
-    for batch in batches:
-        counts: dict[tuple[str, str], int] = Counter()
-        for lang, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            for gram in ngrams(word):
-                counts[lang, gram] += n
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in counts], pa.string()),
-             pa.array([k[1] for k in counts], pa.string()),
-             pa.array(counts.values(), pa.int64())],
-            names=["lang", "gram", "n"],
-        )
+            codes, counts = gram_counts(text)
+            if not len(codes):
+                continue
+            held.setdefault(lang, []).append((codes, counts))
+            sizes[lang] = sizes.get(lang, 0) + len(codes)
+            if sizes[lang] > HELD:
+                together(lang)
+            if sum(sizes.values()) > 2 * HELD:
+                yield rows(max(sizes, key=sizes.get))
+    for lang in list(held):
+        yield rows(lang)
 
 
 def learn_profiles(docs: DataFrame, text: str = "text", lang: str = "lang",
                    size: int = PROFILE) -> DataFrame:
-    """(lang, gram, rank from 0) of the most frequent n-grams; ties by n-gram.
+    """(lang, gram, rank from 0) of the most frequent n-grams; ties by code.
 
     Rows without text or language teach nothing.
     """
     taught = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where(
         "lang is not null and text is not null"
     )
-    words = (
-        taught.mapInArrow(_word_counts, "lang string, word string, n long")
-        .groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    )
     grams = (
-        words.mapInArrow(_grams_of_words, "lang string, gram string, n long")
+        taught.mapInArrow(_counted, "lang string, gram long, n long")
         .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     )
     by_count = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
@@ -113,45 +146,30 @@ def learn_profiles(docs: DataFrame, text: str = "text", lang: str = "lang",
 class _Ranker:
     """Out-of-place distances of texts to profiles."""
 
-    def __init__(self, profiles: list[tuple[str, str, int]], size: int) -> None:
+    def __init__(self, profiles: list[tuple[str, int, int]], size: int) -> None:
         self.size = size
         self.langs = sorted({lang for lang, _, _ in profiles})
-        self.row = {gram: k for k, gram in enumerate(sorted({g for _, g, _ in profiles}))}
+        codes = np.array([gram for _, gram, _ in profiles], np.int64).view(np.uint64)
+        self.known, row = np.unique(codes, return_inverse=True)
         # The last row is of all n-grams that no profile has.
-        self.ranks = np.full((len(self.row) + 1, len(self.langs)), -1, np.int64)
+        self.ranks = np.full((len(self.known) + 1, len(self.langs)), -1, np.int64)
         place = {lang: k for k, lang in enumerate(self.langs)}
-        for lang, gram, rank in profiles:
-            self.ranks[self.row[gram], place[lang]] = rank
-        self.known: dict[str, np.ndarray] = {}
-
-    def codes(self, word: str) -> np.ndarray:
-        """An n-gram as 64 bits: a hash, with its row among the profiles' in the low 24."""
-        if (found := self.known.get(word)) is None:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            none = len(self.row)
-            found = self.known[word] = np.array(
-                [(xxhash.xxh64_intdigest(g) >> 24 << 24) | self.row.get(g, none)
-                 for g in ngrams(word)],
-                np.uint64,
-            )
-        return found
+        for (lang, _, rank), at in zip(profiles, row, strict=True):
+            self.ranks[at, place[lang]] = rank
 
     def __call__(self, text: str | None) -> tuple[str, float]:
-        words = Counter(letter_words(text or ""))
-        if not words or not self.langs:
+        codes, counts = gram_counts(text or "")
+        if not len(codes) or not self.langs:
             return UNKNOWN, 0.0
-        each = [self.codes(word) for word in words]
-        grams, where = np.unique(np.concatenate(each), return_inverse=True)
-        counts = np.bincount(
-            where, weights=np.repeat(list(words.values()), [len(c) for c in each])
-        )
-        order = np.lexsort((grams, -counts))[: self.size]
-        theirs = self.ranks[(grams[order] & np.uint64(0xFFFFFF)).astype(np.int64)]
-        apart = np.abs(theirs - np.arange(len(order))[:, None])
+        # Codes ascend, so a stable order by count settles ties by code.
+        top = codes[np.argsort(-counts, kind="stable")[: self.size]]
+        at = np.searchsorted(self.known, top)
+        at[at == len(self.known)] = 0
+        theirs = self.ranks[np.where(self.known[at] == top, at, len(self.known))]
+        apart = np.abs(theirs - np.arange(len(top))[:, None])
         totals = np.where(theirs < 0, self.size, apart).sum(axis=0)
         best = int(np.argmin(totals))
-        return self.langs[best], float(1 - totals[best] / (self.size * len(order)))
+        return self.langs[best], float(1 - totals[best] / (self.size * len(top)))
 
 
 def identify(
@@ -166,7 +184,7 @@ def identify(
     ``score`` is 1 less the share of the largest possible distance. Null texts and
     texts without letters, and all texts where no profile was learnt, are ``und`` with
     score 0; ties go to the language first in code point order. N-grams of a text that
-    tie for a rank are ordered by their hash. Repeated rows are judged each; other
+    tie for a rank are ordered by code. Repeated rows are judged each; other
     columns are not read. More than ``MOST_LANGUAGES`` languages are an error.
     """
     if profiles.select("lang").distinct().count() > MOST_LANGUAGES:

@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tallyhouse.llm import language
@@ -25,27 +26,62 @@ def test_held_out_accuracy(spark, judged):
     assert judged.score.between(0, 1).all()
 
 
-def test_profiles_count_all_grams(spark, documents):
+def code_of(gram):
+    """The code of an n-gram, from that of a word that contains it."""
+    points = [ord(c) for c in gram]
+    code = points[0]
+    for n, point in enumerate(points[1:], 2):
+        if n > 3:
+            code = ((code ^ (code >> 29)) * 0x9E3779B97F4A7C15 + point) % 2**64
+        else:
+            code = code << 21 | point
+    return code if len(gram) <= 3 else (code ^ len(gram)) | 1 << 63
+
+
+def grams_of(text):
+    """N-grams of one to five characters of the words between blanks."""
+    out = []
+    for word in language.letter_words(text):
+        padded = f" {word} "
+        out += [padded[at : at + n] for n in range(1, 6) for at in range(len(padded) - n + 1)
+                if padded[at : at + n] != " "]
+    return Counter(out)
+
+
+@pytest.mark.parametrize("text", ["a", "ab cde  f", "Zé9zé, ÀB_c", "漢字 \U00010400x", "", "12 _"])
+def test_codes_are_those_of_all_grams(text, monkeypatch):
+    want = {code_of(g): n for g, n in grams_of(text).items()}
+    for together in (200_000, 1):
+        monkeypatch.setattr(language, "TOGETHER", together)
+        codes, counts = language.gram_counts(text)
+        assert dict(zip(codes.tolist(), counts.tolist(), strict=True)) == want
+        assert (codes[1:] > codes[:-1]).all()
+
+
+@pytest.mark.parametrize("held", [1_000_000, 20])
+def test_profiles_count_all_grams(spark, documents, monkeypatch, held):
     ship(spark)
+    monkeypatch.setattr(language, "HELD", held)
     rows = [(k, f"abc ab{'c' * (k % 3)} Zé9zé", "x" if k % 2 else "y") for k in range(50)]
     rows += [(90, None, "x"), (91, "not taught", None)]
     docs = documents(rows, "1 as word").withColumnRenamed("source", "gram")
     got = {(r["lang"], r["rank"]): r["gram"] for r in language.learn_profiles(docs, size=40).collect()}
+    signed = lambda code: code - 2**64 if code >= 2**63 else code
     for lang in "xy":
-        counts = Counter(g for _, t, own in rows if own == lang and t
-                         for w in language.letter_words(t) for g in language.ngrams(w))
-        best = sorted(counts.items(), key=lambda c: (-c[1], c[0]))[:40]
-        assert [got[lang, k] for k in range(len(best))] == [g for g, _ in best]
-
-
-def test_distance_is_out_of_place(spark):
-    profiles = [("x", "a", 0), ("x", "b", 1), ("y", "b", 0), ("y", "c", 1)]
-    ranker = language._Ranker(profiles, 10)
-    lang, score = ranker("a")
-    # Of the grams of " a ", ranked by hash, only "a" is in a profile.
-    grams = sorted(ranker.codes("a"))
-    rank = [int(g) & 0xFFFFFF for g in grams].index(ranker.row["a"])
-    assert lang == "x" and score == pytest.approx(1 - (10 * (len(grams) - 1) + rank) / (10 * len(grams)))
+        counts = sum((grams_of(t) for _, t, own in rows if own == lang and t), Counter())
+        best = sorted((-n, signed(code_of(g))) for g, n in counts.items())[:40]
+        assert [got[lang, k] for k in range(len(best))] == [g for _, g in best]
+
+
+def test_distance_is_out_of_place():
+    signed = lambda g: int(np.uint64(code_of(g)).view(np.int64))
+    profiles = [("x", signed("a"), 0), ("x", signed("b"), 1), ("y", signed("b"), 0),
+                ("y", signed(" abc"), 1)]
+    lang, score = language._Ranker(profiles, 10)("a")
+    # Of the grams of " a ", ranked by code, only "a" is in a profile.
+    grams = sorted(map(code_of, ["a", " a", "a ", " a "]))
+    rank = grams.index(code_of("a"))
+    assert lang == "x" and score == pytest.approx(1 - (10 * 3 + rank) / (10 * 4))
 
 
 def test_texts_without_letters_and_tables_without_rows(spark, documents):
