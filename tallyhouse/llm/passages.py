@@ -104,9 +104,12 @@ def without_repeats(
     )
     units = stored(keyed.mapInArrow(_units(least_words), _UNITS), "units")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "start")
-    firsts = (
+    # Stored, so that both sides of the join are shuffled for it alone and Spark can split
+    # the rows of a line that stands in very many documents.
+    firsts = stored(
         units.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1").select("digest", "first")
+        .where("n > 1").select("digest", "first"),
+        "first-places",
     )
     removed = (
         units.join(firsts, "digest").where(place != F.col("first"))
