@@ -58,6 +58,18 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of keys that may be sent to every task: about 100 MB.
+BROADCAST_KEYS = 1_000_000
+
+
+def sent_if_small(keys: DataFrame) -> DataFrame:
+    """A stored table of keys, to be broadcast if its rows are within the bound.
+
+    Beyond it the join is left to Spark, which shuffles both sides.
+    """
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 def folded(text: Column) -> Column:
     """Text with ASCII capitals lowered and all else as it was."""
     return F.translate(text, UPPER, UPPER.lower())

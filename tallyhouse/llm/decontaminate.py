@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.common import stored, text_key, word_array
+from tallyhouse.llm.common import sent_if_small, stored, text_key, word_array
 
 WINDOW = 13
 # Two longs and a pointer each in the broadcast set: about 40 MB. Beyond it the join
@@ -78,7 +78,9 @@ def contamination(
         ).select(
             "doc_id", "key",
             F.when(F.col("at") == 0, F.size("words")).alias("n_words"),
-            "at", "code", F.when(F.col("at") > 0, window).alias("window"),
+            # Documents' own rows have no window to meet; a code of their own spreads them.
+            "at", F.coalesce("code", F.xxhash64("doc_id", "key")).alias("code"),
+            F.when(F.col("at") > 0, window).alias("window"),
         )
         scanned = found if scanned is None else scanned.unionByName(found)
     return _summed(scanned, windows)
@@ -86,7 +88,11 @@ def contamination(
 
 def _summed(scanned: DataFrame, windows: DataFrame) -> DataFrame:
     """One row per document from its own row and its hits."""
-    items = windows.groupBy("hash", "words").agg(F.collect_set("item").alias("items"))
+    # Stored, so that both sides of the join are shuffled for it alone and Spark can split
+    # the rows of a window that occurs very often.
+    items = stored(
+        windows.groupBy("hash", "words").agg(F.collect_set("item").alias("items")), "test-items"
+    )
     verified = scanned.join(
         items, (scanned["code"] == items["hash"]) & (scanned["window"] == items["words"]), "left"
     ).where((F.col("at") == 0) | F.col("words").isNotNull()).select(
@@ -129,4 +135,4 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.struct(F.col("doc_id"), F.col("key")).alias("bad")
     )
     own = F.struct(docs["doc_id"].alias("doc_id"), text_key(docs["text"]).alias("key"))
-    return docs.join(bad, own.eqNullSafe(bad["bad"]), "left_anti")
+    return docs.join(sent_if_small(bad), own.eqNullSafe(bad["bad"]), "left_anti")

@@ -34,6 +34,7 @@ from tallyhouse.llm.common import (
     SIMILARITY,
     components,
     runs,
+    sent_if_small,
     stored,
     text_key,
 )
@@ -388,9 +389,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
         "dropped",
     )
     own = F.struct(docs["doc_id"].alias("doc_id"), text_key(docs["text"]).alias("key"))
-    singles = docs.join(dropped, own.eqNullSafe(dropped["row"]), "left_anti")
+    singles = docs.join(sent_if_small(dropped), own.eqNullSafe(dropped["row"]), "left_anti")
     repeated = (
-        docs.join(dropped.where("once"), own.eqNullSafe(dropped["row"]), "left_semi")
+        docs.join(sent_if_small(dropped.where("once")), own.eqNullSafe(dropped["row"]), "left_semi")
         .select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("kept"), own.alias("row"))
         .groupBy("row").agg(F.first("kept").alias("kept")).select("kept.*")
     )

@@ -287,10 +287,14 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns, that score below the threshold."""
-    marked = score(docs, model).where(F.col("score") >= threshold)
-    bad = stored(marked.select("doc_id", "key").distinct(), "toxic").select(
-        F.struct("doc_id", "key").alias("bad")
-    )
-    own = F.struct(docs["doc_id"].alias("doc_id"), text_key(docs["text"]).alias("key"))
-    return docs.join(bad, own.eqNullSafe(bad["bad"]), "left_anti")
+    """The rows of ``docs``, all columns, that score below the threshold: one pass, no join."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value
+        for batch in batches:
+            scores = [own.score(t) for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array([s < threshold for s in scores], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
