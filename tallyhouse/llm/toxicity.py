@@ -1,11 +1,13 @@
 """Toxicity by a linear classifier with a counterfactual penalty.
 
-It is fitted on a bounded sample of the labelled rows. Features are the words of a text
-and their beginnings, present or not; Spark counts how many sampled documents of either
-label have each, and those that tell the labels apart best are kept. The model on them
-is logistic. For each sampled sentence that names a group a copy names
-another group instead, and the squared change of its score is added to the loss: names
-can't carry a score, and a neutral text that mentions a group is not marked for it.
+Features are the words of a text and their beginnings, present or not; Spark counts how
+many labelled documents of either label, all outside the held-out fold, have each, and
+those that tell the labels apart best are kept. The weights are fitted on a bounded sample
+of the labelled rows, and on further rows for each kept feature that the sample has too
+rarely; these are chosen by features alone, so they do not tilt what a logistic model
+learns. For each sampled sentence that names a group a copy names another group instead,
+and the squared change of its score is added to the loss: names can't carry a score, and a
+neutral text that mentions a group is not marked for it.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.common import held_out, stored, text_key
+from tallyhouse.llm.common import held_out, sent_if_small, stored, text_key
 
 # Names of groups that are swapped for one another.
 IDENTITY_TERMS = (
@@ -35,8 +37,9 @@ IDENTITY_TERMS = (
 BEGINNINGS = range(3, 9)
 #: Features kept, the fewest documents one must be in, and the least chi-square.
 VOCABULARY, LEAST_DOCS, LEAST_CHI2 = 5_000, 3, 6.0
-#: Most labelled rows the classifier is fitted on, those with the least hashed ids. Two
-#: numbers each, they are sent to every task, so the texts need not be shuffled.
+#: Most labelled rows the weights are fitted on, those with the least hashed ids, besides
+#: up to LEAST_DOCS documents for each feature that fewer of them have. Two numbers each,
+#: they are sent to every task, so the texts need not be shuffled.
 SAMPLE = 50_000
 THRESHOLD = 0.7
 ROUNDS, RATE, RIDGE = 300, 0.1, 1e-5
@@ -70,29 +73,17 @@ def swapped(words: list[str], terms: tuple[str, ...]) -> list[str]:
     return [after.get(word, word) for word in words]
 
 
-def _taught(terms: tuple[str, ...]):
-    """Per labelled document its distinct words, and those of sentences that name groups."""
-    named = set(terms)
-
-    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words, sentences = [], []
-            for text in batch.column(2).to_pylist():
-                words.append(sorted(words_of(text or "")))
-                sentences.append([
-                    sorted(set(s)) for part in _SENTENCES.split(text or "")
-                    if named & set(s := _WORDS.findall(part.lower()))
-                ] if named & set(words[-1]) else [])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(words, pa.list_(pa.string())),
-                 pa.array(sentences, pa.list_(pa.list_(pa.string())))],
-                names=["place", "toxic", "words", "sentences"],
-            )
-
-    return read
+def _distinct_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per document its distinct words, spaced: what of a text may have to be shuffled."""
+    for batch in batches:
+        words = [" ".join(words_of(text or "")) for text in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(words, pa.string())], names=["doc_id", "words"]
+        )
 
 
 def _feature_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents by feature, all and toxic ones; the empty feature is in each."""
     docs, toxic = Counter(), Counter()
 
     def flush() -> pa.RecordBatch:
@@ -108,7 +99,8 @@ def _feature_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
     for batch in batches:
         for label, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            found = features_of(words)
+            found = features_of(words.split())
+            found.add("")
             docs.update(found)
             if label:
                 toxic.update(found)
@@ -117,6 +109,55 @@ def _feature_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     yield flush()
 
 
+def _holders(features: set[str]):
+    """Per feature the LEAST_DOCS documents of a task that have it and the least ranks."""
+
+    def hold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[str, list[tuple[int, int]]] = {}
+        for batch in batches:
+            for rank, of, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for feature in features_of(words.split()) & features:
+                    held = least.setdefault(feature, [])
+                    if (rank, of) not in held:
+                        held.append((rank, of))
+                        held.sort()
+                        del held[LEAST_DOCS:]
+        rows = [(feature, *one) for feature, held in least.items() for one in held]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()),
+             pa.array([r[2] for r in rows], pa.int64())],
+            names=["feature", "rank", "of"],
+        )
+
+    return hold
+
+
+def _sparse(place: dict[str, int], terms: tuple[str, ...]):
+    """Per sampled document its features, and those of sentences that name groups and copies."""
+    named = set(terms)
+
+    def ids(words: Iterable[str]) -> list[int]:
+        return sorted(place[f] for f in features_of(words) if f in place)
+
+    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            features, pairs = [], []
+            for text in batch.column(2).to_pylist():
+                words = words_of(text or "")
+                features.append(ids(words))
+                pairs.append([
+                    [ids(s), ids(swapped(s, terms))] for part in _SENTENCES.split(text or "")
+                    if named & set(s := _WORDS.findall(part.lower()))
+                ] if named & words else [])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(features, pa.list_(pa.int32())),
+                 pa.array(pairs, pa.list_(pa.list_(pa.list_(pa.int32()))))],
+                names=["place", "toxic", "features", "pairs"],
+            )
+
+    return read
+
+
 @dataclass
 class Model:
     """Weights by feature; ``bias`` alone scores a text without features."""
@@ -200,66 +241,75 @@ def train(
     sample: int = SAMPLE,
     terms: tuple[str, ...] = IDENTITY_TERMS,
 ) -> Model:
-    """A model from at most ``sample`` labelled documents outside the held-out fold.
+    """A model from the labelled documents outside the held-out fold.
 
-    Rows without id or label teach nothing. Without labelled rows the model scores
+    All of them are counted for the vocabulary; the weights are fitted on at most ``sample``
+    and the ones added for rare features. Rows without id or label teach nothing. Without labelled rows the model scores
     everything 0.5; a document labelled twice counts twice.
     """
     known = labels.select(F.col(doc_id).alias("of"), F.col(label).alias("toxic")).where(
         F.col("of").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("of"))
     )
-    chosen = stored(known.orderBy(F.xxhash64("of"), "of", "toxic").limit(sample), "sampled")
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    taught = stored(
-        texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("of"))
-        .select(F.xxhash64("doc_id", "text").alias("place"),
-                F.col("toxic").cast("int").alias("toxic"), "text")
-        .mapInArrow(_taught(terms), "place long, toxic int, words array<string>,"
-                                    " sentences array<array<string>>"),
-        "taught",
+    known = stored(known, "labelled")
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(
+        F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
+    )
+    labelled = (
+        texts.mapInArrow(_distinct_words, f"doc_id {texts.schema['doc_id'].dataType.simpleString()},"
+                                          " words string")
+        .join(sent_if_small(known), F.col("doc_id") == F.col("of"))
     )
-    totals = taught.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t")).first()
-    n, share = totals["n"], (totals["t"] or 0) / max(1, totals["n"])
-    if not n or share in (0.0, 1.0):
-        return Model({}, 0.0 if not n else (-5.0 if share == 0 else 5.0))
-    counts = (
-        taught.select("toxic", "words")
+    counts = stored(
+        labelled.select(F.col("toxic").cast("int").alias("toxic"), "words")
         .mapInArrow(_feature_counts, "feature string, docs long, toxic long")
         .groupBy("feature").agg(F.sum("docs").alias("docs"), F.sum("toxic").alias("toxic"))
-        .where(F.col("docs") >= LEAST_DOCS)
+        .where((F.col("docs") >= LEAST_DOCS) | (F.col("feature") == "")),
+        "feature-counts",
     )
+    totals = counts.where("feature = ''").first()
+    if not totals:
+        return Model({}, 0.0)
+    share = totals["toxic"] / totals["docs"]
+    if share in (0.0, 1.0):
+        return Model({}, -5.0 if share == 0 else 5.0)
     expected = F.col("docs") * share
     chi2 = (F.col("toxic") - expected) ** 2 / (expected * (1 - share))
     kept = (
-        counts.withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2)
+        counts.where("feature != ''").withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2)
         .orderBy(F.desc("chi2"), "feature").limit(VOCABULARY)
     )
     vocabulary = sorted(r["feature"] for r in kept.select("feature").collect())
     place = {feature: k for k, feature in enumerate(vocabulary)}
 
-    def sparse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def ids(words: Iterable[str]) -> list[int]:
-            return sorted(place[f] for f in features_of(words) if f in place)
-
-        for batch in batches:
-            out = [
-                (r["place"], r["toxic"], ids(r["words"]),
-                 [[ids(s), ids(swapped(s, terms))] for s in r["sentences"]])
-                for r in batch.to_pylist()
-            ]
-            kinds = [pa.int64(), pa.int32(), pa.list_(pa.int32()),
-                     pa.list_(pa.list_(pa.list_(pa.int32())))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)],
-                names=["place", "toxic", "features", "pairs"],
-            )
-
-    rows = (
-        taught.mapInArrow(sparse, "place long, toxic int, features array<int>,"
-                                  " pairs array<array<array<int>>>")
-        .orderBy("place").limit(sample).collect()
-    )
-    return fit([(r["toxic"], r["features"], r["pairs"]) for r in rows], vocabulary)
+    def rows_of(chosen: DataFrame) -> list[tuple]:
+        found = (
+            texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("of"))
+            .select(F.xxhash64("doc_id", "text").alias("place"),
+                    F.col("toxic").cast("int").alias("toxic"), "text")
+            .mapInArrow(_sparse(place, terms), "place long, toxic int, features array<int>,"
+                                               " pairs array<array<array<int>>>")
+            .orderBy("place").limit(sample).collect()
+        )
+        return [(r["toxic"], r["features"], r["pairs"]) for r in found]
+
+    rank = F.xxhash64("of")
+    chosen = stored(known.orderBy(rank, "of", "toxic").limit(sample), "sampled")
+    rows = rows_of(chosen)
+    seen = Counter(k for _, features, _ in rows for k in features)
+    if rare := {feature for feature, k in place.items() if seen[k] < LEAST_DOCS}:
+        holders = (
+            labelled.select(rank.alias("rank"), F.col("of").cast("long").alias("of"), "words")
+            .mapInArrow(_holders(rare), "feature string, rank long, of long")
+            .groupBy("feature").agg(F.array_sort(F.collect_set(F.struct("rank", "of"))).alias("least"))
+            .select(F.explode(F.slice("least", 1, LEAST_DOCS)["of"]).alias("of")).distinct()
+        )
+        added = stored(
+            known.join(F.broadcast(holders), "of", "left_semi")
+            .join(F.broadcast(chosen.select("of").distinct()), "of", "left_anti"),
+            "sampled-for-rare",
+        )
+        rows += rows_of(added)
+    return fit(rows, vocabulary)
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

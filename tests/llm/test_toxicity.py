@@ -82,3 +82,24 @@ def test_rejected_rows_go_and_the_rest_stay_whole(spark, documents):
     kept = toxicity.without_toxic(docs, model)
     assert kept.columns == docs.columns
     assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == [2, 2, None]
+
+
+def test_words_outside_the_sample_are_learnt(spark, documents):
+    from pyspark.sql import functions as F
+
+    from tallyhouse.llm.common import held_out
+
+    ship(spark)
+    ids = spark.range(900).where(~held_out(F.col("id"))).orderBy(F.xxhash64("id"))
+    ranked = [r["id"] for r in ids.collect()]
+    pick = random.Random(3)
+    rows, labels = [], []
+    for nth, k in enumerate(ranked):
+        words = [pick.choice(["sun", "rain", "tree", "road", "house"]) for _ in range(8)]
+        if nth % 2:
+            words.append("vermin" if nth < len(ranked) - 60 else "wretch")
+        rows.append((k, " ".join(words)))
+        labels.append((k, 0, nth % 2))
+    model = toxicity.train(documents(rows), spark.createDataFrame(labels, LABELS), sample=60)
+    assert model.weights["wretch"] > 0
+    assert model.score("the wretch saw rain") > toxicity.THRESHOLD > 0.5 > model.score("the tree")
