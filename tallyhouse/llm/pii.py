@@ -32,14 +32,29 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IP_PART, _CARD_DIGITS, _PHONE_DIGITS = 255, (13, 19), (9, 15)
 
 #: Rounds of scoring; known instances a pattern needs; what a pattern and an instance
-#: must score; words of a pattern; the longest token that may be an identifier.
+#: must score; words of a pattern.
 ROUNDS = 3
 LEAST_KNOWN, LEAST_PATTERN, LEAST_INSTANCE = 3, 0.7, 0.7
 CONTEXT_WORDS, CONTEXT_CHARS = 2, 80
-LONGEST = 64
 
 _TOKEN_SIGN = re.compile(r"[0-9@]")
-_SPACE = re.compile(r"\s")
+# Scripts written without spaces or with endings joined to numbers; they are no part of an
+# identifier, and each character is a word.
+_UNSPACED = "\u0e00-\u109f\u1780-\u17ff\u2e80-\ud7ff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+_WORD = re.compile(rf"[{_UNSPACED}]|[^\s{_UNSPACED}]+")
+#: Where a field starts in text without spaces.
+_FIELD = re.compile(r"[,;&?{|](?=[^,;&?{|]*\w)")
+# Runs that may be identifiers: words with marks, groups of hex digits between colons, and
+# groups of digits with spaces, parentheses and hyphens between them.
+_PART = rf"[^\W{_UNSPACED}]"
+_RUN = re.compile(rf"(?:{_PART}|[.%+@-])++")
+_COLONS = re.compile(r"(?<![\w:])[0-9A-Fa-f]*+(?::[0-9A-Fa-f]*+){3,}+(?:\.[0-9]++)*+")
+_GROUPS = re.compile(
+    rf"(?<![.%+@-])(?<!{_PART})\+?\(?[0-9]++"
+    r"(?:(?:[ \u00a0]?[()-][ \u00a0()-]{0,2}+|[ \u00a0.])[0-9]++)*+"
+)
+_IN_RUN = re.compile(rf"{_PART}|@")
+_MOST_DIGITS = 19
 _EDGES = "\"'`.,;:!?()[]{}<>*$&%#|=/\\"
 
 
@@ -94,9 +109,16 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def pattern_before(text: str, start: int) -> str:
-    """The words left of a place, lowered and joined; a mark where there are none."""
-    words = text[max(0, start - CONTEXT_CHARS) : start].lower().split()
-    return " ".join(words[-CONTEXT_WORDS:]) or "^"
+    """The words left of a place, lowered and joined; a mark where there are none.
+
+    Where text without spaces leads up to the place, only its last field counts.
+    """
+    left = text[max(0, start - CONTEXT_CHARS) : start].lower()
+    if left and not left[-1].isspace():
+        tail = left.split()[-1]
+        if fields := list(_FIELD.finditer(tail)):
+            left = tail[fields[-1].end() :]
+    return " ".join(_WORD.findall(left)[-CONTEXT_WORDS:]) or "^"
 
 
 def shapes(token: str) -> list[int]:
@@ -107,33 +129,40 @@ def shapes(token: str) -> list[int]:
             "@" in token and len(token) >= 4,
             digits >= 4 and (token.count(".") >= 3 or token.count(":") >= 3),
             digits >= 8,
-            6 <= digits <= 15 and not re.search(r"[^0-9+().-]", token),
+            6 <= digits <= 15 and not re.search(r"[^0-9+(). \u00a0-]", token),
         )) if fits
     ]
 
 
 def candidates(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
-    """Tokens with a digit or @ that no span touches, without the marks around them."""
-    taken = sorted((a, b) for _, a, b in spans)
-    done, nth = 0, 0
-    for sign in _TOKEN_SIGN.finditer(text):
-        at = sign.start()
-        if at < done:
-            continue
-        start = at
-        while start > done and at - start < LONGEST and not text[start - 1].isspace():
-            start -= 1
-        stop = _SPACE.search(text, at)
-        done = end = stop.start() if stop else len(text)
-        while nth < len(taken) and taken[nth][1] <= start:
-            nth += 1
-        if nth < len(taken) and taken[nth][0] < end or end - start > LONGEST:
-            continue
-        token = text[start:end]
-        left = len(token) - len(token.lstrip(_EDGES))
-        right = len(token.rstrip(_EDGES))
-        if left < right:
-            yield start + left, start + right
+    """Runs with a digit or @ between the spans, without the marks around them.
+
+    What adjoins a span is a piece of it. Digits in groups are a run whole, if they are not
+    more than any kind has, and in their parts.
+    """
+    found, free = set(), 0
+    for first, last in [*sorted((a, b) for _, a, b in spans), (len(text), len(text))]:
+        if free < first and _TOKEN_SIGN.search(text, free, first):
+            runs = [m.span() for m in _RUN.finditer(text, free, first)]
+            runs += [m.span() for m in _COLONS.finditer(text, free, first)]
+            for m in _GROUPS.finditer(text, free, first):
+                start, end = m.span()
+                if end < len(text) and _IN_RUN.match(text, end):
+                    end = start + len(m[0].rstrip("0123456789").rstrip(" \u00a0().-"))
+                if text[start] == "(" and ")" not in m[0]:
+                    start += 1
+                if len(_digits(text[start:end])) <= _MOST_DIGITS:
+                    runs.append((start, end))
+            for start, end in runs:
+                if start == free > 0 or end == first < len(text):
+                    continue
+                run = text[start:end]
+                left = 0 if run[:1] in ("(", ":") else len(run) - len(run.lstrip(_EDGES))
+                right = len(run) if run[-1:] == ":" else len(run.rstrip(_EDGES))
+                if left < right and _TOKEN_SIGN.search(run):
+                    found.add((start + left, start + right))
+        free = max(free, last)
+    yield from sorted(found)
 
 
 _FOUND = (

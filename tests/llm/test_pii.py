@@ -88,3 +88,22 @@ def test_contexts_add_spans_and_base_ones_stay(spark, documents):
 def test_no_rows(spark, documents):
     ship(spark)
     assert pii.find_personal(documents([])).count() == 0
+
+
+def test_identifiers_with_spaces_and_in_text_without_them(spark, documents):
+    ship(spark)
+    record = '{"id":%d,"name":"Bob","note":"' + "x" * 80 + '","tel":"%s","z":1}'
+    given = [(k, f"please call +1 (555) 010-{1000 + k} now") for k in range(12)]
+    given += [(20 + k, record % (k, f"+1 555 010 {2000 + k}")) for k in range(12)]
+    given += [(40 + k, f"我们的电话是+1 555 010 {3000 + k}谢谢") for k in range(12)]
+    given += [(60 + k, f"mail=a{k}@b.org,fon=+1 555 010 {4000 + k}") for k in range(12)]
+    asked = {100: ("please call (555) 010-1234 now", "(555) 010-1234"),
+             101: ("please call 555 010 1234 now", "555 010 1234"),
+             102: (record % (9, "555-0199-78"), "555-0199-78"),
+             103: ("我们的电话是555-0199-79谢谢", "555-0199-79"),
+             104: ("mail=a@b.org,fon=555-0199-80", "555-0199-80")}
+    docs = documents(given + [(k, text) for k, (text, _) in asked.items()])
+    spans = {r["doc_id"]: r["spans"] for r in pii.find_personal(docs).collect()}
+    for k, (text, value) in asked.items():
+        at = text.index(value)
+        assert f"phone:{at}:{at + len(value)}" in spans[k].split(","), (k, spans[k])
