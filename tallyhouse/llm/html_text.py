@@ -56,6 +56,13 @@ HEADER_NAMES = re.compile(r"(?:^|[\s_-])(?:header|top|topbar|head)(?:$|[\s_\d-])
 CONTENT_NAMES = re.compile(
     r"(?:^|[\s_-])(?:article|articlebody|content|post|entry|story|main|text|body)(?:$|[\s_\d-])"
 )
+#: Names that tell how a page is laid out, not what a container holds.
+LAYOUT_NAMES = re.compile(
+    r"(?<=\s)(?:(?:has|no|with|without)-[^\s]+|[^\s]+-(?:wrap|wrapper|open|opened|closed))(?=\s)"
+)
+COMMENT_NAMES = re.compile(
+    r"(?:^|[\s_-])(?:comment|comments|commentlist|respond|reply|replies|disqus)(?:$|[\s_\d-])"
+)
 _NAMED = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none""", re.I)
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+')*+)>""")
@@ -66,6 +73,8 @@ _LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 ADJACENT, SAME_CONTAINER, SAME_PARENT = 0.4, 0.6, 0.3
 
 UNKNOWN, CONTENT, BOILERPLATE, DROPPED = 0, 1, -1, -2
+#: Boilerplate that no article or main in it undoes.
+FIXED = -3
 
 
 @dataclass
@@ -86,25 +95,37 @@ class _Open:
 
 
 def _place(tag: str, attributes: str, outer: int) -> int:
-    """What a container says of the text in it; the innermost word counts."""
+    """What a container says of the text in it; the innermost word counts.
+
+    A main, or an article outside comments, asides and the like, undoes a wrapper's mark.
+    """
     if outer == DROPPED or tag in DROPPED_TAGS or _HIDDEN.search(attributes):
         return DROPPED
+    if tag in ("html", "body"):
+        return outer
+    if outer == FIXED:
+        return FIXED
     if tag in BOILERPLATE_TAGS:
-        return BOILERPLATE
+        # A form may be around the whole page.
+        return BOILERPLATE if tag == "form" else FIXED
+    names = ""
     if attributes:
         names = " ".join(a or b or c for a, b, c in _NAMED.findall(attributes)).lower()
-        if names:
-            if BOILERPLATE_NAMES.search(f" {names} "):
-                return BOILERPLATE
-            if outer != BOILERPLATE and CONTENT_NAMES.search(f" {names} "):
-                return CONTENT
-            if outer != CONTENT and HEADER_NAMES.search(f" {names} "):
-                return BOILERPLATE
-    if outer == BOILERPLATE:
+        names = LAYOUT_NAMES.sub("", f" {names.replace(' ', '  ')} ")
+    if tag in CONTENT_TAGS:
         # Reader comments are often articles of their own.
+        return FIXED if tag == "article" and COMMENT_NAMES.search(names) else CONTENT
+    if names.strip():
+        if COMMENT_NAMES.search(names):
+            return FIXED
+        if BOILERPLATE_NAMES.search(names):
+            return BOILERPLATE
+        if outer != BOILERPLATE and CONTENT_NAMES.search(names):
+            return CONTENT
+        if outer != CONTENT and HEADER_NAMES.search(names):
+            return BOILERPLATE
+    if outer == BOILERPLATE:
         return BOILERPLATE
-    if tag in CONTENT_TAGS:
-        return CONTENT
     if tag == "header" and outer != CONTENT:
         return BOILERPLATE
     return outer

@@ -31,9 +31,8 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IP_PART, _CARD_DIGITS, _PHONE_DIGITS = 255, (13, 19), (9, 15)
 
-#: Rounds of scoring; known instances a pattern needs; what a pattern and an instance
+#: Known instances a pattern needs; what a pattern and an instance
 #: must score; words of a pattern.
-ROUNDS = 3
 LEAST_KNOWN, LEAST_PATTERN, LEAST_INSTANCE = 3, 0.7, 0.7
 CONTEXT_WORDS, CONTEXT_CHARS = 2, 80
 
@@ -204,7 +203,7 @@ def _find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def bootstrapped(graph: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def bootstrapped(graph: DataFrame) -> DataFrame:
     """(value, kind) of the instances accepted from a graph of (pattern, value, seed, shapes).
 
     Each round scores patterns by the share of their distinct values that are known and
@@ -219,7 +218,7 @@ def bootstrapped(graph: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("total")).where(F.col("total") >= LEAST_KNOWN),
         "totals",
     )
-    for _ in range(rounds):
+    while True:
         scored = (
             edges.select("pattern", "value").distinct().join(known, "value")
             .groupBy("pattern", "kind")

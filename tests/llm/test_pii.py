@@ -107,3 +107,13 @@ def test_identifiers_with_spaces_and_in_text_without_them(spark, documents):
     for k, (text, value) in asked.items():
         at = text.index(value)
         assert f"phone:{at}:{at + len(value)}" in spans[k].split(","), (k, spans[k])
+
+
+def test_rounds_go_on_until_nothing_is_new(spark):
+    rows = []
+    for k in range(6):
+        rows += [(f"p{k}", f"seed{n}", 3, [3]) for n in range(4)]
+        rows += [(f"p{k}", f"v{n}", None, [3]) for n in (k - 1, k) if n >= 0]
+    graph = spark.createDataFrame(rows, "pattern string, value string, seed int, shapes array<int>")
+    got = {(r["value"], r["kind"]) for r in pii.bootstrapped(graph).collect()}
+    assert got == {(f"v{k}", 3) for k in range(6)}
