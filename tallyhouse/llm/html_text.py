@@ -38,7 +38,6 @@ DROPPED_TAGS = frozenset(
     "head template svg math object audio video canvas button select datalist".split()
 )
 BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog noscript fieldset search".split())
-CONTENT_TAGS = frozenset(("article", "main"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 CLOSED_BY_SAME = frozenset(("li", "dd", "dt", "option", "tr", "td", "th"))
 
@@ -57,9 +56,8 @@ CONTENT_NAMES = re.compile(
     r"(?:^|[\s_-])(?:article|articlebody|content|post|entry|story|main|text|body)(?:$|[\s_\d-])"
 )
 #: Names that tell how a page is laid out, not what a container holds.
-LAYOUT_NAMES = re.compile(
-    r"(?<=\s)(?:(?:has|no|with|without)-[^\s]+|[^\s]+-(?:wrap|wrapper|open|opened|closed))(?=\s)"
-)
+LAYOUT_NAMES = re.compile(r"(?:has|no|with|without)-.+|.+-(?:open|opened|closed)")
+WRAPPER_NAMES = re.compile(r".+[_-](?:wrap|wrapper)")
 COMMENT_NAMES = re.compile(
     r"(?:^|[\s_-])(?:comment|comments|commentlist|respond|reply|replies|disqus)(?:$|[\s_\d-])"
 )
@@ -73,8 +71,8 @@ _LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 ADJACENT, SAME_CONTAINER, SAME_PARENT = 0.4, 0.6, 0.3
 
 UNKNOWN, CONTENT, BOILERPLATE, DROPPED = 0, 1, -1, -2
-#: Boilerplate that no article or main in it undoes.
-FIXED = -3
+#: In an article; in a form around more; boilerplate that no article in it undoes.
+ARTICLE, FORM, FIXED = 2, -4, -3
 
 
 @dataclass
@@ -94,39 +92,51 @@ class _Open:
     number: int
 
 
+def _names(attributes: str) -> str:
+    """The lowered names of a container, without those of layout."""
+    given = " ".join(a or b or c for a, b, c in _NAMED.findall(attributes)).lower().split()
+    kept = []
+    for name in given:
+        own = f" {name} "
+        if LAYOUT_NAMES.fullmatch(name) or (
+            WRAPPER_NAMES.fullmatch(name) and CONTENT_NAMES.search(own)
+            and BOILERPLATE_NAMES.search(own) and not COMMENT_NAMES.search(own)
+        ):
+            continue
+        kept.append(name)
+    return f" {' '.join(kept)} "
+
+
 def _place(tag: str, attributes: str, outer: int) -> int:
     """What a container says of the text in it; the innermost word counts.
 
-    A main, or an article outside comments, asides and the like, undoes a wrapper's mark.
+    A main, or an article that is not in comments, an aside or another article, undoes the
+    mark of a wrapper, and a content name that of a form.
     """
     if outer == DROPPED or tag in DROPPED_TAGS or _HIDDEN.search(attributes):
         return DROPPED
     if tag in ("html", "body"):
         return outer
+    if tag == "main":
+        return CONTENT
     if outer == FIXED:
         return FIXED
-    if tag in BOILERPLATE_TAGS:
-        # A form may be around the whole page.
-        return BOILERPLATE if tag == "form" else FIXED
-    names = ""
-    if attributes:
-        names = " ".join(a or b or c for a, b, c in _NAMED.findall(attributes)).lower()
-        names = LAYOUT_NAMES.sub("", f" {names.replace(' ', '  ')} ")
-    if tag in CONTENT_TAGS:
+    names = _names(attributes) if attributes else " "
+    marked = BOILERPLATE_NAMES.search(names)
+    if tag == "form" and not marked and outer not in (CONTENT, ARTICLE):
+        return FORM if outer in (UNKNOWN, FORM) else outer
+    if tag in BOILERPLATE_TAGS or COMMENT_NAMES.search(names):
         # Reader comments are often articles of their own.
-        return FIXED if tag == "article" and COMMENT_NAMES.search(names) else CONTENT
-    if names.strip():
-        if COMMENT_NAMES.search(names):
-            return FIXED
-        if BOILERPLATE_NAMES.search(names):
-            return BOILERPLATE
-        if outer != BOILERPLATE and CONTENT_NAMES.search(names):
-            return CONTENT
-        if outer != CONTENT and HEADER_NAMES.search(names):
-            return BOILERPLATE
-    if outer == BOILERPLATE:
-        return BOILERPLATE
-    if tag == "header" and outer != CONTENT:
+        return FIXED
+    if tag == "article":
+        return BOILERPLATE if marked and not CONTENT_NAMES.search(names) else ARTICLE
+    if marked:
+        return FIXED if outer == ARTICLE else BOILERPLATE
+    if outer in (BOILERPLATE, ARTICLE):
+        return outer
+    if CONTENT_NAMES.search(names):
+        return CONTENT
+    if outer != CONTENT and (HEADER_NAMES.search(names) or tag == "header"):
         return BOILERPLATE
     return outer
 
@@ -226,7 +236,7 @@ def evidence(block: Block) -> float:
     """The classifier: log odds that a block is content."""
     words = block.text.count(" ") + 1
     links = block.linked / max(1, len(block.text))
-    odds = {CONTENT: 4.0, BOILERPLATE: -8.0}.get(block.place, -1.0)
+    odds = 4.0 if block.place > 0 else -1.0 if block.place == UNKNOWN else -8.0
     odds += 2.5 if words >= 25 else 1.5 if words >= 10 else 0.0 if words >= 4 else -0.5
     odds += 1.0 if block.text[-1] in ".!?…。！？:;\"'”’)" else 0.0
     odds += 1.5 if block.tag in HEADINGS else 0.0

@@ -88,3 +88,25 @@ def test_given_pages_keep_their_articles(spark):
         blocks = re.split(r"</?(?:p|h1)>", article.replace("<br>", " "))
         texts = (" ".join(html_text.html.unescape(re.sub("<[^>]*>", "", b)).split()) for b in blocks)
         assert got[row["page_id"]] == "\n\n".join(t for t in texts if t)
+
+
+@pytest.mark.parametrize("before, after", [
+    ('<body class="right-sidebar"><div class="content">', "</div>"),
+    ('<body class="has-sidebar"><article>', "</article>"),
+    ('<body><div class="no-sidebar"><div class="content">', "</div></div>"),
+    ('<body><div class="content-sidebar-wrap"><main>', "</main></div>"),
+    ('<body><div class="right-sidebar"><article>', "</article></div>"),
+    ('<body><article class="post comments-open">', "</article>"),
+    ("<body><form id=aspnet><article>", "</article></form>"),
+    ('<body><form id=aspnet><div class="content">', "</div></form>"),
+])
+def test_names_of_layout_do_not_lose_the_article(before, after):
+    others = f"""<div class="comments-wrap"><article class="comment-body"><p>{LONG}</p></article></div>
+    <div class="sidebar"><p>{LONG}</p></div><form><p>{LONG}</p></form>"""
+    page = f"<html>{before}<h1>Title</h1><p>{LONG}</p><p>{LONG}</p>{after}{others}</body></html>"
+    assert main_text(page) == f"Title\n\n{LONG}\n\n{LONG}"
+
+
+def test_related_articles_in_an_article_stay_out():
+    page = f'<article><p>{LONG}</p><div class="related"><article><p>{LONG}</p></article></div></article>'
+    assert main_text(page) == LONG
