@@ -262,6 +262,11 @@ def _joined(spans: str) -> Column:
     )
 
 
+def _count(kind: int) -> Column:
+    # A second parameter of the lambda, a default one too, would be given the index.
+    return F.size(F.filter("base", lambda span: span["kind"] == kind)).cast("long")
+
+
 def find_personal(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The personal data in each row: doc_id, n_email, n_ip, n_card, n_phone, base, spans.
 
@@ -285,10 +290,7 @@ def find_personal(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
         .groupBy(F.struct("doc_id", "key").alias("of"))
         .agg(F.collect_set(F.struct("kind", "start", "stop")).alias("extra"))
     )
-    numbers = [
-        F.size(F.filter("base", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{name}")
-        for kind, name in enumerate(KINDS)
-    ]
+    numbers = [_count(kind).alias(f"n_{name}") for kind, name in enumerate(KINDS)]
     every = F.array_sort(F.concat("base", F.coalesce("extra", F.array().cast(
         "array<struct<kind: int, start: int, stop: int>>"))))
     own = F.struct("doc_id", "key")

@@ -117,3 +117,26 @@ def test_rounds_go_on_until_nothing_is_new(spark):
     graph = spark.createDataFrame(rows, "pattern string, value string, seed int, shapes array<int>")
     got = {(r["value"], r["kind"]) for r in pii.bootstrapped(graph).collect()}
     assert got == {(f"v{k}", 3) for k in range(6)}
+
+
+def test_each_count_is_of_its_own_kind(spark, documents):
+    """Uneven numbers of each kind, so that no count can stand for another."""
+    texts = [
+        "a@b.cd 10.0.0.1 and x@y.zz",
+        "4111 1111 1111 1111, 5500-0055-5555-5559; 4012888888881881",
+        "+1 743 555 3824 or 1.2.3.4 or 4.3.2.1 or 9.9.9.9", "none", "", None,
+    ]
+    found = pii.find_personal(documents(list(enumerate(texts)))).collect()
+    for row in found:
+        kinds = [kind for kind, *_ in plain(texts[row["doc_id"]] or "")]
+        counts = [row[f"n_{name}"] for name in pii.KINDS]
+        assert counts == [kinds.count(kind) for kind in range(len(pii.KINDS))], row
+    assert {sum(r[f"n_{name}"] for r in found) for name in pii.KINDS} == {1, 2, 3, 4}
+
+
+def test_counts_of_a_given_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for row in pii.find_personal(docs).collect():
+        kinds = [kind for kind, *_ in plain(texts[row["doc_id"]] or "")]
+        assert [row[f"n_{name}"] for name in pii.KINDS] == [kinds.count(k) for k in range(4)]
