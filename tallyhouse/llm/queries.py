@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from tallyhouse.llm import (
     decontaminate,
     html_text,
+    importance,
+    infill,
     language,
     mixing,
     neighbours,
@@ -93,6 +95,23 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.reordered(table(spark, sf_dir, "documents"))
+    back = infill.restored(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(back.cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 REGISTERED = (
     op1_vantage_point_neighbours,
     op2_main_text,
@@ -104,6 +123,8 @@ REGISTERED = (
     op8_line_dedup,
     op9_decontaminate,
     op10_token_store,
+    op11_fill_in_middle,
+    op13_importance_resampling,
 )
 
 ORACLE_SQL: dict[str, str] = {
@@ -248,5 +269,39 @@ select doc_id, len(words)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hi
        coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256,
        coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(words) as contaminated
 from docs left join hit using (r) left join found using (r)
+""",
+    "op11_fill_in_middle": r"""
+with cut as (
+    select doc_id, coalesce(text, '') as text,
+           regexp_extract_all(coalesce(text, ''),
+               '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as units,
+           sha256('42:' || coalesce(doc_id::varchar, '')) as h
+    from documents
+), drawn as (
+    select *, len(units) as n,
+           list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(h, i, 8))::bigint) as d
+    from cut
+), placed as (
+    select *, least(d[1] % (n + 1), d[2] % (n + 1)) as a,
+           greatest(d[1] % (n + 1), d[2] % (n + 1)) as b,
+           case when text = '' or contains(text, '<P>') or contains(text, '<S>')
+                     or contains(text, '<M>') or d[3] % 100 >= 50 then 'plain'
+                when d[4] % 100 < 80 then 'spm' else 'psm' end as form
+    from drawn
+), parts as (
+    select *, array_to_string(units[1 : a], '') as prefix,
+           array_to_string(units[a + 1 : b], '') as middle,
+           array_to_string(units[b + 1 : n], '') as suffix
+    from placed
+)
+select doc_id, n::bigint as n, form,
+       case when form <> 'plain' then length(prefix)::bigint end as prefix_chars,
+       case when form <> 'plain' then length(middle)::bigint end as middle_chars,
+       sha256(case form when 'plain' then text
+                        when 'spm' then '<S>' || suffix || '<P>' || prefix || '<M>' || middle
+                        else '<P>' || prefix || '<S>' || suffix || '<M>' || middle end
+       ) as output_sha256,
+       sha256(text) as restored_sha256
+from parts
 """,
 }

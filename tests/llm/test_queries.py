@@ -22,7 +22,7 @@ def duck():
 
 def test_all_are_registered():
     assert set(NAMES) | {"pipeline"} <= set(contract.queries())
-    assert [int(name[2:].split("_")[0]) for name in NAMES] == list(range(1, 11))
+    assert [int(name[2:].split("_")[0]) for name in NAMES] == [*range(1, 12), 13]
     assert set(queries.ORACLE_SQL) <= set(NAMES) & set(contract.oracle_sql())
 
 
@@ -37,7 +37,7 @@ def test_query_equals_sql(spark, duck, name):
     assert sorted(actual, key=repr) == sorted(expected, key=repr)
 
 
-@pytest.mark.parametrize("name", ["op5_mix_sources", "op9_decontaminate"])
+@pytest.mark.parametrize("name", ["op5_mix_sources", "op9_decontaminate", "op11_fill_in_middle"])
 def test_native_plans_run_no_python(spark, name):
     from tests.conftest import plan_of
 
