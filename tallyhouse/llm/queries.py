@@ -17,6 +17,7 @@ from tallyhouse.llm import (
     ngram_join,
     passages,
     pii,
+    suffixes,
     token_store,
     toxicity,
 )
@@ -105,6 +106,13 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffixes.without_repeats(table(spark, sf_dir, "documents"))
+    return kept.select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = importance.resample(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -124,6 +132,7 @@ REGISTERED = (
     op9_decontaminate,
     op10_token_store,
     op11_fill_in_middle,
+    op12_suffix_array_dedup,
     op13_importance_resampling,
 )
 

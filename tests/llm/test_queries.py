@@ -22,7 +22,7 @@ def duck():
 
 def test_all_are_registered():
     assert set(NAMES) | {"pipeline"} <= set(contract.queries())
-    assert [int(name[2:].split("_")[0]) for name in NAMES] == [*range(1, 12), 13]
+    assert [int(name[2:].split("_")[0]) for name in NAMES] == list(range(1, 14))
     assert set(queries.ORACLE_SQL) <= set(NAMES) & set(contract.oracle_sql())
 
 

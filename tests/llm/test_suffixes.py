@@ -1,0 +1,130 @@
+"""Removal of repeated byte strings against counting all 200-byte strings."""
+
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from tallyhouse.llm import suffixes
+from tallyhouse.llm.common import ship
+
+WINDOW = 200
+
+
+def plain(rows):
+    texts = [(doc_id, (text or "").encode()) for doc_id, text in rows]
+    n = Counter(t[i : i + WINDOW] for _, t in texts for i in range(len(t) - WINDOW + 1))
+    out = []
+    for doc_id, text in texts:
+        gone = bytearray(len(text))
+        for i in range(len(text) - WINDOW + 1):
+            if n[text[i : i + WINDOW]] > 1:
+                gone[i : i + WINDOW] = b"\1" * WINDOW
+        spans = sum(g > before for before, g in zip(b"\0" + gone, gone, strict=False))
+        kept = bytes(c for c, g in zip(text, gone, strict=True) if not g)
+        out.append((doc_id, len(text), sum(gone), spans, kept))
+    return sorted(out, key=repr)
+
+
+def check(documents, rows):
+    result = suffixes.without_repeats(documents(rows, "1 as n_bytes"))
+    got = result.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept").collect()
+    assert sorted(((*r[:4], bytes(r[4])) for r in got), key=repr) == plain(rows)
+    return got
+
+
+def prose(pick, n, letters="abcdefghij é日 "):
+    return "".join(pick.choices(letters, k=n))
+
+
+def odd_bytes(pick):
+    base = prose(pick, 300, "abcdefgh ").encode()
+    kind = pick.random()
+    if kind < 0.3:
+        return b"ab" * pick.randint(0, 500)
+    if kind < 0.5:
+        return bytes(pick.choices(b"ab", k=pick.randint(0, 900)))
+    return b"".join(
+        pick.choice([base, base[: pick.randint(1, 300)], bytes(pick.choices(b"abcd ", k=50))])
+        for _ in range(pick.randint(1, 8))
+    )
+
+
+def test_equal_windows_share_a_key_and_are_found_by_sorting(monkeypatch):
+    monkeypatch.setattr(suffixes, "BLOCK", 500)
+    pick = random.Random(3)
+    for _ in range(150):
+        data = odd_bytes(pick)
+        places = Counter(data[i : i + WINDOW] for i in range(len(data) - WINDOW + 1))
+        keys, upto = {}, 0
+        for key, again, at, n in suffixes.pieces_of(data):
+            own = [data[i : i + WINDOW] for i in range(at, at + n)]
+            assert at == upto and all(keys.setdefault(window, key) == key for window in own)
+            assert again or len(set(own)) == n
+            upto += n
+        assert upto == sum(places.values())
+        at = np.arange(upto)
+        if upto:
+            got = suffixes.repeated_places(data, at, at * 0)
+            assert set(got.tolist()) == {i for i in at if places[data[i : i + WINDOW]] > 1}
+
+
+def cases():
+    pick = random.Random(5)
+    passage, line = prose(pick, 400), prose(pick, 150)
+    rows = [(k, prose(pick, pick.randint(0, 900))) for k in range(20)]
+    rows += [(100 + k, prose(pick, 200) + passage + prose(pick, 100)) for k in range(6)]
+    rows += [(200 + k, prose(pick, 90) + line + prose(pick, 90)) for k in range(12)]
+    copied = prose(pick, 700)
+    rows += [(300 + k, copied) for k in range(7)]
+    rows += [(400 + k, copied[: 90 * k] + "!" + copied[90 * k :]) for k in range(7)]
+    twice = prose(pick, 260)
+    rows += [(500, twice + "-" + twice), (501, "ab" * 700), (502, "x" * 199), (503, "x" * 200),
+             (504, "x" * 201), (505, "y" * 200), (506, "y" * 3000), (507, prose(pick, 5000) * 3)]
+    # 199 bytes in common, and 200.
+    rows += [(600, passage[:199]), (601, "é" * 99 + "a"), (602, "é" * 99 + "ab"), (603, "日" * 67)]
+    return [*rows, (700, None), (701, ""), (None, copied[:400]), (None, "short"), (7, rows[7][1]),
+            (100, rows[20][1])]
+
+
+def test_equals_counting_all_windows(spark, documents):
+    ship(spark)
+    got = check(documents, cases())
+    assert any(0 < r["n_removed"] < r["n_bytes"] for r in got) and any(r["n_spans"] > 1 for r in got)
+
+
+@pytest.mark.parametrize("most", [0, 2])
+def test_keys_of_many_pieces_are_counted_window_by_window(spark, documents, monkeypatch, most):
+    ship(spark)
+    monkeypatch.setattr(suffixes, "MOST_PIECES", most)
+    check(documents, cases())
+
+
+def test_removed_offsets_give_what_is_kept(spark, documents):
+    ship(spark)
+    rows = [(k, text) for k, text in cases() if k is not None and k >= 500]
+    texts = dict(rows)
+    for row in suffixes.without_repeats(documents(rows)).collect():
+        data = (texts[row["doc_id"]] or "").encode()
+        for span in reversed([s for s in row["removed"].split(",") if s]):
+            start, stop = map(int, span.split(":"))
+            data = data[:start] + data[stop:]
+        assert data == bytes(row["kept"])
+
+
+def test_no_rows(spark, documents):
+    ship(spark)
+    assert suffixes.without_repeats(documents([])).count() == 0
+
+
+def test_the_query_on_a_given_table(spark):
+    from tallyhouse.llm.queries import op12_suffix_array_dedup
+
+    given = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in given.collect()]
+    import hashlib
+
+    want = [(*r[:4], hashlib.sha256(r[4]).hexdigest()) for r in plain(rows)]
+    got = [tuple(r) for r in op12_suffix_array_dedup(spark, "/root/testdata/sf0.001").collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
