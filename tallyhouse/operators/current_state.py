@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyhouse.functions import TIEBREAKS, newest_first, precedence
-from tallyhouse.schemas import EVENT, FACT_COLUMNS
+from tallyhouse.schemas import BUCKET, EVENT, FACT_COLUMNS
 
 
 def _event_columns(events: DataFrame) -> DataFrame:
@@ -33,6 +33,33 @@ def current_state(events: DataFrame) -> DataFrame:
     )
 
 
+def in_buckets(current: DataFrame, buckets: int) -> DataFrame:
+    """Rows with the bucket their transaction falls in; a null id has one too."""
+    hashed = F.xxhash64("transaction_id")
+    return current.withColumn(BUCKET.name, F.pmod(hashed, F.lit(buckets)).cast("int"))
+
+
+def merged_state(current: DataFrame, arrived: DataFrame, buckets: int) -> DataFrame:
+    """The latest of what was current and what arrived, by bucket.
+
+    ``arrived`` is reduced to one event per transaction first, where its tasks reduce their
+    own part; then both are dealt by bucket, so that a bucket is ranked and written by one
+    task and the rows of ``current`` are shuffled once.
+    """
+    both = in_buckets(current_state(arrived), buckets).unionByName(
+        current.select(*[c for c in current.columns if c in {*EVENT.fieldNames(), BUCKET.name}])
+    )
+    by_transaction = Window.partitionBy(BUCKET.name, "transaction_id").orderBy(
+        *newest_first(EVENT.fieldNames())
+    )
+    return (
+        both.repartition(BUCKET.name)
+        .withColumn("recency", F.row_number().over(by_transaction))
+        .where("recency = 1")
+        .drop("recency")
+    )
+
+
 def current_state_by_max(events: DataFrame) -> DataFrame:
     """The same rows from a partial and final maximum over the ordered columns."""
     events = _event_columns(events)

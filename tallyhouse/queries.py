@@ -249,14 +249,14 @@ def _arrived_lake(spark: SparkSession, sf_dir: str) -> Lake:
 
 
 def current_from_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _arrived_lake(spark, sf_dir).table(arrivals.ARRIVED_CURRENT)
+    return arrivals.arrived_current(_arrived_lake(spark, sf_dir))
 
 
 def revenue_from_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship from what has arrived: its current state and its log's merchants."""
     lake = _arrived_lake(spark, sf_dir)
     return revenue.settled_revenue_by_merchant(
-        current_state.fact(lake.table(arrivals.ARRIVED_CURRENT)),
+        current_state.fact(arrivals.arrived_current(lake)),
         dimensions.dim_merchants(arrivals.arrived_log(lake)),
     )
 

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql.types import (
     DataType,
     DoubleType,
+    IntegerType,
     LongType,
     StringType,
     StructField,
@@ -24,6 +25,7 @@ def _strings(*names: str) -> StructType:
     return StructType([StructField(name, StringType()) for name in names])
 
 
+# The field names of an event, as producers write them.
 BRONZE_EVENT = StructType(
     [
         StructField("transaction_id", StringType()),
@@ -41,6 +43,9 @@ EVENT_DAY = StructField("dt", StringType())
 # The folder Spark puts rows without a day in; they read back with a null day.
 NO_DAY = "__HIVE_DEFAULT_PARTITION__"
 
+# The part of the current state a transaction belongs to, where it is kept in parts.
+BUCKET = StructField("bucket", IntegerType())
+
 # Columns that change type between bronze and silver.
 _SILVER_TYPES: dict[str, DataType] = {"event_timestamp": TimestampNTZType()}
 

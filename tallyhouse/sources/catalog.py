@@ -12,14 +12,22 @@ only with a table that was marked complete: one that died before is built anew.
 
 Tables that belong together are all written before the first of them is put in
 place.
+
+Single partitions are replaced the same way: each has two folders, the new rows go to
+the one its partition does not point at, and then the partition is pointed there.
+Partitions that are not replaced keep their files.
+
+Partitions are registered by statements of at most ``CHUNK`` of them. A statement that
+finds a partition registered is no error, so a job that died half way goes on where it
+stopped.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -43,6 +51,12 @@ TABLES = {
 
 FOLDERS = ("blue", "green")
 STORED_BYTES = "lake.stored.bytes"
+#: Partitions that one statement adds or drops.
+CHUNK = 100
+#: Where the folders of replaced partitions lie.
+TABLES_FOLDER = "replaced"
+#: The folder level that tells a replaced partition's two folders apart.
+SIDE = "side"
 COMPLETE = "lake.complete"
 
 
@@ -148,22 +162,27 @@ def _clauses(values: Iterable[dict[str, object]]) -> list[str]:
     return [f"PARTITION ({pair})" for pair in pairs]
 
 
+def _in_chunks(clauses: list[str]) -> Iterator[list[str]]:
+    for first in range(0, len(clauses), CHUNK):
+        yield clauses[first : first + CHUNK]
+
+
 def add_partitions(lake: Lake, table: str, values: Iterable[dict[str, object]]) -> None:
     """Add partitions by their column values; one that is there already is not an error."""
-    if clauses := _clauses(values):
-        lake.spark.sql(f"ALTER TABLE {lake.name(table)} ADD IF NOT EXISTS {' '.join(clauses)}")
+    for part in _in_chunks(_clauses(values)):
+        lake.spark.sql(f"ALTER TABLE {lake.name(table)} ADD IF NOT EXISTS {' '.join(part)}")
 
 
 def drop_partitions(lake: Lake, table: str, values: Iterable[dict[str, object]]) -> None:
     """Forget partitions of an external table; their files stay for readers that run."""
-    if clauses := _clauses(values):
-        lake.spark.sql(f"ALTER TABLE {lake.name(table)} DROP IF EXISTS {', '.join(clauses)}")
+    for part in _in_chunks(_clauses(values)):
+        lake.spark.sql(f"ALTER TABLE {lake.name(table)} DROP IF EXISTS {', '.join(part)}")
 
 
 def register_days(lake: Lake, table: str, days: Iterable[str]) -> PartitionChange:
-    """Add day partitions and report how many of them are new."""
+    """Add the day partitions that the catalog lacks and report how many of them are new."""
     wanted, known = set(days), registered_days(lake, table)
-    add_partitions(lake, table, [{"dt": day} for day in sorted(wanted)])
+    add_partitions(lake, table, [{"dt": day} for day in sorted(wanted - known)])
     return PartitionChange(added=len(wanted - known), existing=len(wanted & known))
 
 
@@ -254,6 +273,53 @@ def publish(
     return put_in_place(lake, stage(lake, table, rows, spec, properties))
 
 
+def stored_files(lake: Lake, table: str, where: Column | None = None) -> DataFrame:
+    """The files a table's partitions point at: path, bytes and partition columns."""
+    spec_columns = [c.name for c in lake.spark.catalog.listColumns(lake.name(table)) if c.isPartition]
+    rows = lake.table(table) if where is None else lake.table(table).where(where)
+    return rows.select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"),
+        *spec_columns,
+    ).distinct()
+
+
+def replace_partitions(lake: Lake, table: str, rows: DataFrame, key: str, values: list) -> None:
+    """Replace the partitions ``values`` of ``key`` by ``rows``, and no other.
+
+    ``rows`` may read these partitions. A value without rows is left an empty partition.
+    The switch is one statement a partition: a job that dies between two of them leaves
+    some replaced, each as a whole. Running the same replacement again replaces all.
+    """
+    if not values:
+        return
+    folder = f"{lake.root}/{TABLES_FOLDER}/{table}"
+    live = stored_files(lake, table, F.col(key).isin(values)).where(
+        F.col("path").contains(f"/{SIDE}={FOLDERS[0]}/")
+    )
+    on_first = {row[key] for row in live.select(key).distinct().collect()}
+    sides = {v: FOLDERS[1] if v in on_first else FOLDERS[0] for v in values}
+    side = F.when(F.col(key).isin([v for v in values if v in on_first]), FOLDERS[1]).otherwise(
+        FOLDERS[0]
+    )
+    (
+        rows.withColumn(SIDE, side)
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .option("compression", "snappy").partitionBy(SIDE, key).parquet(folder)
+    )
+    known = {r[0] for r in lake.spark.sql(f"SHOW PARTITIONS {lake.name(table)}").collect()}
+    for value in values:
+        target = f"{folder}/{SIDE}={sides[value]}/{key}={value}"
+        change = "SET" if f"{key}={value}" in known else "ADD"
+        partition = f"PARTITION ({key} = '{value}')"
+        lake.spark.sql(
+            f"ALTER TABLE {lake.name(table)} {partition} SET LOCATION '{target}'"
+            if change == "SET"
+            else f"ALTER TABLE {lake.name(table)} ADD IF NOT EXISTS {partition} LOCATION '{target}'"
+        )
+    # Files of a folder that is written again are listed anew.
+    lake.spark.catalog.refreshTable(lake.name(table))
+
+
 def _building(table: str) -> str:
     return f"{table}__building"
 
