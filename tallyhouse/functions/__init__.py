@@ -8,6 +8,7 @@ from tallyhouse.functions.event_time import (
     landing_day,
     parse_event_time,
     plus_seconds,
+    try_event_time,
 )
 from tallyhouse.functions.identifiers import padded_id, pick, random_token, short_token
 from tallyhouse.functions.lifecycle import (
@@ -35,4 +36,5 @@ __all__ = [
     "precedence",
     "random_token",
     "short_token",
+    "try_event_time",
 ]

@@ -18,6 +18,11 @@ def parse_event_time(iso: Column) -> Column:
     return F.to_timestamp(iso).cast("timestamp_ntz")
 
 
+def try_event_time(iso: Column) -> Column:
+    """The same, but null for text that is no time."""
+    return F.try_to_timestamp(iso).cast("timestamp_ntz")
+
+
 def iso_utc(ts: Column) -> Column:
     """A UTC timestamp as bronze stores it, to the second."""
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
@@ -25,7 +30,7 @@ def iso_utc(ts: Column) -> Column:
 
 def landing_day(iso: Column) -> Column:
     """The UTC day of ISO-8601 text, the same day silver gives it; null if it is no time."""
-    return event_day(F.try_to_timestamp(iso).cast("timestamp_ntz"))
+    return event_day(try_event_time(iso))
 
 
 def event_day(ts: Column) -> Column:

@@ -98,33 +98,41 @@ def transactions(
 
     ``created`` is ``history``, times as recorded, or ``window``: every order and
     its shipments moved forward by whole weeks so that it is placed in the week
-    before ``AS_OF``, where many events are clamped and tie.
+    before ``AS_OF``, where many events are clamped and tie. Shipments, which are
+    already dealt by order, meet the few columns of orders in a sort-merge join, which waits
+    for no side to be collected; all else is attached after.
     """
-    paid = paid_orders(orders, customer, supplier)
     age = F.datediff(F.lit(AS_OF).cast("timestamp_ntz"), F.col("ordered_at"))
     weeks = {"window": F.floor(age / WEEK), "history": F.lit(0)}[created]
-    return paid.join(shipments(lineitem), "key", "left").withColumn(
+    shipped = placed_orders(orders).join(shipments(lineitem).hint("merge"), "key", "left")
+    return with_roster(shipped, customer, supplier).withColumn(
         "moved", F.make_dt_interval(days=(weeks * WEEK).cast("int"))
     )
 
 
-def paid_orders(orders: DataFrame, customer: DataFrame, supplier: DataFrame) -> DataFrame:
-    """Orders with what does not depend on their lines; enough for the dimensions."""
-    key = F.col("o_orderkey")
+def placed_orders(orders: DataFrame) -> DataFrame:
+    """The columns of orders that a transaction needs, under its own names."""
+    return orders.select(
+        F.col("o_orderkey").alias("key"),
+        F.col("o_custkey").alias("c_custkey"),
+        F.col("o_totalprice").alias("amount"),
+        F.col("o_orderdate").alias("ordered_at"),
+    )
+
+
+def with_roster(placed: DataFrame, customer: DataFrame, supplier: DataFrame) -> DataFrame:
+    """Placed orders with customer, merchant and what follows from the order's key."""
+    key = F.col("key")
     supplier_count = supplier.select(F.count(F.lit(1))).scalar()
     return (
-        orders.select(
-            key.alias("key"),
-            F.col("o_custkey").alias("c_custkey"),
-            (key % supplier_count).alias("s_suppkey"),
-            padded_id("txn_", key, 12).alias("transaction_id"),
-            F.col("o_totalprice").alias("amount"),
-            pick(CURRENCIES, key).alias("currency"),
-            F.col("o_orderdate").alias("ordered_at"),
-        )
+        placed.withColumn("s_suppkey", key % supplier_count)
         .join(customers(customer), "c_custkey")
         .join(merchants(supplier), "s_suppkey")
-        .withColumn("payment_method", payment_method(F.col("key")))
+        .withColumns({
+            "transaction_id": padded_id("txn_", key, 12),
+            "currency": pick(CURRENCIES, key),
+            "payment_method": payment_method(key),
+        })
     )
 
 
@@ -181,9 +189,15 @@ def payment_events(
     return stamped.select(*[F.col(c.path).alias(c.name) for c in FLAT_COLUMNS])
 
 
-def flat_merchants(orders: DataFrame, customer: DataFrame, supplier: DataFrame) -> DataFrame:
-    """The merchant columns of every transaction, before it is multiplied into events."""
-    paid = paid_orders(orders, customer, supplier)
+def flat_roster(
+    orders: DataFrame, customer: DataFrame, supplier: DataFrame, part: str
+) -> DataFrame:
+    """The ``merchant`` or ``customer`` columns of every transaction.
+
+    Every order has events, so these are those of the log, without its lines and before
+    a transaction is multiplied into events.
+    """
+    paid = with_roster(placed_orders(orders), customer, supplier)
     return paid.select(
-        *[F.col(c.path).alias(c.name) for c in FLAT_COLUMNS if c.path.startswith("merchant.")]
+        *[F.col(c.path).alias(c.name) for c in FLAT_COLUMNS if c.path.startswith(f"{part}.")]
     )

@@ -7,13 +7,14 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.functions import event_day, parse_event_time
 from tallyhouse.operators import quality
-from tallyhouse.schemas import NO_DAY
+from tallyhouse.operators.flatten import flatten
+from tallyhouse.schemas import EVENT_DAY, NO_DAY
 from tallyhouse.session import require_utc
 from tallyhouse.sizing import SHUFFLED_PER_STORED, sized_for
-from tallyhouse.sources.bronze import read_bronze
+from tallyhouse.sources.bronze import folder_day, read_bronze
 from tallyhouse.sources.catalog import Lake, registered_days, stored_bytes
+from tallyhouse.sources.manifest import manifest, record_landings
 
 
 def quality_violations(lake: Lake) -> DataFrame:
@@ -36,30 +37,49 @@ def _days(lake: Lake, days: set[str]) -> DataFrame:
     return lake.spark.range(1).select(F.explode(listed).alias("dt")).where("dt != ''")
 
 
-def _bronze_times(lake: Lake, multi_line: bool) -> DataFrame:
-    """The time of every event in bronze. Folders need not be the days of what is in them."""
-    bronze = read_bronze(lake.spark, lake.bronze, multi_line)
-    return bronze.select(parse_event_time(F.col("event_timestamp")).alias("at"))
-
-
 def unpromoted_days(lake: Lake, multi_line: bool = False) -> DataFrame:
-    """Days of events in bronze that silver does not have; reads all of bronze."""
+    """Days of events in bronze that silver does not have.
+
+    From the manifest, after it has been given the files it lacks; bronze itself is not read.
+    """
     require_utc(lake.spark)
-    day = F.coalesce(event_day(F.col("at")), F.lit(NO_DAY)).alias("dt")
-    landed = _bronze_times(lake, multi_line).select(day).distinct()
-    return quality.days_behind(landed, _days(lake, registered_days(lake, "payments_events")))
+    record_landings(lake, multi_line)
+    landed = manifest(lake).where("n_events > 0").select(
+        F.coalesce(EVENT_DAY.name, F.lit(NO_DAY)).alias(EVENT_DAY.name)
+    )
+    promoted = registered_days(lake, "payments_events")
+    return quality.days_behind(landed.distinct(), _days(lake, promoted))
+
+
+def events_of_unpromoted_days(lake: Lake, multi_line: bool = False) -> DataFrame:
+    """The events, flat, of the days that silver does not have.
+
+    The manifest says which folders of bronze hold such days; Spark prunes the scan by
+    them as it runs, so the others are not listed or opened. Events without a time are in
+    no day.
+    """
+    record_landings(lake, multi_line)
+    promoted = sorted(registered_days(lake, "payments_events"))
+    behind = ~F.col(EVENT_DAY.name).isin(promoted) if promoted else F.lit(True)
+    noted = manifest(lake).where(behind & (F.col("n_events") > 0))
+    folders = noted.select(folder_day(F.col("file")).alias("folder")).distinct()
+    bronze = read_bronze(lake.spark, lake.bronze, multi_line)
+    events = flatten(bronze.join(folders, F.col(EVENT_DAY.name) == F.col("folder"), "left_semi"))
+    return events.where(behind & F.col(EVENT_DAY.name).isNotNull())
 
 
 def layer_freshness(lake: Lake, multi_line: bool = False) -> DataFrame:
     """The newest event of each layer.
 
-    All of bronze is read; silver lies by event day, so its newest day is enough.
+    Of bronze from the manifest, after it has been given the files it lacks; silver lies
+    by event day, so its newest day is enough.
     """
     require_utc(lake.spark)
+    record_landings(lake, multi_line)
     newest_stored = max(registered_days(lake, "payments_events") - {NO_DAY}, default=None)
     silver = lake.table("payments_events").where(F.col("dt") == newest_stored)
     layers = [
-        quality.newest_event("bronze", F.col("at"), _bronze_times(lake, multi_line)),
+        quality.newest_event("bronze", F.col("newest"), manifest(lake)),
         quality.newest_event("silver", F.col("event_timestamp"), silver),
         quality.newest_event(
             "gold", F.col("event_timestamp"), lake.table("payments_current")

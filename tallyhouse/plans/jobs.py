@@ -29,6 +29,7 @@ from tallyhouse.sources.catalog import (
     stage,
     stored_bytes,
 )
+from tallyhouse.sources.manifest import record_landings
 
 # Marts are independent of each other; two are built at a time.
 MART_THREADS = 2
@@ -42,8 +43,11 @@ def has_rows(frame: DataFrame) -> bool:
     return bool(frame.select(F.lit(1)).head(1))
 
 
-def ingest(lake: Lake, events: DataFrame) -> None:
+def ingest(lake: Lake, events: DataFrame, record: bool = True) -> None:
+    """Land events and record them in the manifest, which reads the new files once."""
     land_bronze(events, lake.bronze)
+    if record:
+        record_landings(lake)
 
 
 def promote_silver(
@@ -138,7 +142,7 @@ def serve(lake: Lake) -> DataFrame:
 
 def run(lake: Lake, events: DataFrame) -> DataFrame:
     """All steps in order, stopping at the first that fails."""
-    ingest(lake, events)
+    ingest(lake, events, record=False)
     if promote_silver_and_current(lake) is None:
         raise ValueError(f"no events under {lake.bronze}")
     build_marts(lake, lake.table("payments_current"))

@@ -9,16 +9,26 @@ from __future__ import annotations
 
 import threading
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.operators import activity, current_state, dimensions, flatten, quality, revenue
-from tallyhouse.plans import checks, jobs
+from tallyhouse.functions import landing_day
+from tallyhouse.operators import (
+    activity,
+    bitmaps,
+    current_state,
+    dimensions,
+    flatten,
+    quality,
+    revenue,
+)
+from tallyhouse.plans import checks, jobs, layouts, lenient
 from tallyhouse.schemas import EVENT, REVENUE
 from tallyhouse.session import configure
 from tallyhouse.sources import export, tables
-from tallyhouse.sources.bronze import bronze_files, read_bronze
+from tallyhouse.sources.bronze import bronze_files, land_bronze, read_bronze
 from tallyhouse.sources.catalog import (
     TABLES,
     Lake,
@@ -37,6 +47,8 @@ _LANDED: dict[tuple[str, str], Lake] = {}
 _LAGGING: dict[tuple[str, str], Lake] = {}
 _PROMOTED: set[Lake] = set()
 _BUILT: set[Lake] = set()
+_OWN: dict[tuple[str, str, str], Lake] = {}
+_DONE: set[tuple[Lake, str]] = set()
 # One thread at a time builds a lake; others wait for it and then share it.
 _BUILDING = threading.RLock()
 
@@ -92,6 +104,26 @@ def lagging_lake(spark: SparkSession, sf_dir: str) -> Lake:
         return _LAGGING[key]
 
 
+def _own_lake(spark: SparkSession, sf_dir: str, name: str, build: Callable[[Lake], None]) -> Lake:
+    """A lake of one query's own, built once."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    with _BUILDING:
+        if key not in _OWN:
+            lake = new_lake(spark)
+            build(lake)
+            _OWN[key] = lake
+        return _OWN[key]
+
+
+def _once(lake: Lake, job: Callable[[Lake], object]) -> Lake:
+    """A shared lake after a job that is run on it once."""
+    with _BUILDING:
+        if (lake, job.__name__) not in _DONE:
+            job(lake)
+            _DONE.add((lake, job.__name__))
+        return lake
+
+
 def _events(spark: SparkSession, sf_dir: str, created: str = "window") -> DataFrame:
     return tables.payment_events(configure(spark), sf_dir, created)
 
@@ -124,11 +156,11 @@ def payments_current_max_by(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dim_merchants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dimensions.dim_merchants(_events(spark, sf_dir))
+    return dimensions.dim_merchants(tables.merchants_of_orders(configure(spark), sf_dir))
 
 
 def dim_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dimensions.dim_customers(_events(spark, sf_dir))
+    return dimensions.dim_customers(tables.customers_of_orders(configure(spark), sf_dir))
 
 
 def settled_revenue_by_merchant(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -261,6 +293,99 @@ def revenue_from_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# What landed broken, or with fields nobody declared; other layouts of silver.
+
+BROKEN_FILES = "*.txt"
+
+
+def _order_number() -> Column:
+    return F.substring("transaction_id", 5, 18).cast("long")
+
+
+def quarantined_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records that a bronze with cut lines and unreadable times leaves in quarantine.
+
+    Of every fifty orders the lines of one are cut off, and the times of one are no times.
+    """
+
+    def build(lake: Lake) -> None:
+        events = tables.bronze_events(lake.spark, sf_dir)
+        kind, day = _order_number() % 50, landing_day(F.col("event_timestamp"))
+        at = F.when(kind == 1, "soon").otherwise(F.col("event_timestamp"))
+        line = F.to_json(F.struct(*[
+            at.alias(c) if c == "event_timestamp" else F.col(c) for c in events.columns
+        ]))
+        cut = F.when(kind == 0, F.substring(line, F.lit(1), F.length(line) - 10)).otherwise(line)
+        lines = events.select(cut.alias("value"), day.alias("dt"))
+        lines.write.mode("append").partitionBy("dt").text(lake.bronze)
+        lenient.promote_with_quarantine(lake, pattern=BROKEN_FILES)
+
+    lake = _own_lake(spark, sf_dir, "quarantine", build)
+    return lake.table(lenient.QUARANTINED_EVENTS).select(
+        F.regexp_extract("record", "txn_[0-9]+", 0).alias("transaction_id"), "reason", "dt"
+    )
+
+
+def events_without_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The silver that the same promotion leaves: every event that could be read."""
+    quarantined_events(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, "quarantine")
+    return _OWN[key].table("payments_events")
+
+
+def unknown_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields that no schema declares, asked for after promotion.
+
+    Every third order has a device, and every merchant a terminal.
+    """
+
+    def build(lake: Lake) -> None:
+        events, number = tables.bronze_events(lake.spark, sf_dir), _order_number()
+        os = F.get(F.array(*map(F.lit, ("ios", "android", "web"))), (number % 9 / 3).cast("int"))
+        device = F.struct(os.alias("os"), F.struct(number.alias("number")).alias("session"))
+        grown = events.withColumn("device", F.when(number % 3 == 0, device)).withColumn(
+            "merchant", F.col("merchant").withField("terminal", number % 7)
+        )
+        land_bronze(grown, lake.bronze)
+        lenient.promote_openly(lake)
+
+    events = _own_lake(spark, sf_dir, "unknown", build).table(lenient.OPEN_EVENTS)
+    return events.select(
+        "transaction_id", "event_type", "event_timestamp",
+        F.variant_get("unknown", "$.device.os", "string").alias("device_os"),
+        F.variant_get("unknown", "$.device.session.number", "bigint").alias("device_session"),
+        F.variant_get("unknown", "$.merchant.terminal", "bigint").alias("terminal"),
+    )
+
+
+def compacted_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Silver after three landings, promoted as they lie and then compacted."""
+
+    def build(lake: Lake) -> None:
+        events = tables.bronze_events(lake.spark, sf_dir)
+        for nth in range(3):
+            jobs.ingest(lake, events.where(_order_number() % 3 == nth), record=False)
+        jobs.promote_silver(lake, compact=False)
+        layouts.compact_silver(lake)
+
+    return _own_lake(spark, sf_dir, "compacted", build).table("payments_events")
+
+
+def current_from_clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The current state from silver that lies by transaction: ranked without a shuffle."""
+    lake = _once(promoted_lake(spark, sf_dir), layouts.cluster_events)
+    return current_state.current_state(lake.table(layouts.CLUSTERED))
+
+
+def distinct_transactions_by_bitmap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lake = _once(promoted_lake(spark, sf_dir), layouts.note_bitmaps)
+    return bitmaps.distinct_from_bitmaps(lake.table(layouts.BITMAPS))
+
+
+def events_of_unpromoted_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.events_of_unpromoted_days(lagging_lake(spark, sf_dir))
+
+
 REGISTERED = [
     payment_events,
     payment_events_history,
@@ -292,4 +417,11 @@ REGISTERED = [
     given_table_violations,
     current_from_arrivals,
     revenue_from_arrivals,
+    quarantined_events,
+    events_without_quarantine,
+    unknown_fields,
+    compacted_events,
+    current_from_clustered,
+    distinct_transactions_by_bitmap,
+    events_of_unpromoted_days,
 ]

@@ -18,6 +18,7 @@ from pyspark.sql.types import (
     StructField,
     StructType,
     TimestampNTZType,
+    VariantType,
 )
 
 
@@ -43,6 +44,11 @@ EVENT_DAY = StructField("dt", StringType())
 # The folder Spark puts rows without a day in; they read back with a null day.
 NO_DAY = "__HIVE_DEFAULT_PARTITION__"
 
+# Text of bronze that is not JSON of the declared types, while it is read.
+CORRUPT = StructField("_corrupt_record", StringType())
+# What bronze has that is not declared, as it came.
+UNKNOWN = StructField("unknown", VariantType())
+
 # The part of the current state a transaction belongs to, where it is kept in parts.
 BUCKET = StructField("bucket", IntegerType())
 
@@ -83,6 +89,17 @@ EVENT = _struct([(c.name, c.data_type) for c in FLAT_COLUMNS])
 # Bronze and silver as stored: the event plus its day partition.
 BRONZE_STORED = StructType([*BRONZE_EVENT.fields, EVENT_DAY])
 SILVER_STORED = StructType([*EVENT.fields, EVENT_DAY])
+SILVER_OPEN = StructType([*EVENT.fields, UNKNOWN, EVENT_DAY])
+QUARANTINE = StructType([*_strings("reason", "record").fields, EVENT_DAY])
+MANIFEST = StructType(
+    [
+        StructField("file", StringType()),
+        EVENT_DAY,
+        StructField("n_events", LongType()),
+        StructField("oldest", TimestampNTZType()),
+        StructField("newest", TimestampNTZType()),
+    ]
+)
 
 # Descriptive columns live in the dimensions; the fact keeps their keys.
 MERCHANT_COLUMNS = [c.name for c in FLAT_COLUMNS if c.path.startswith("merchant.")]

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tallyhouse.functions import landing_day
-from tallyhouse.schemas import BRONZE_STORED, EVENT_DAY
+from tallyhouse.schemas import BRONZE_EVENT, BRONZE_STORED, CORRUPT, EVENT_DAY
 from tallyhouse.sizing import day_partitions
 
 JSON_FILES = "*.json"
@@ -31,40 +32,78 @@ def land_bronze(events: DataFrame, path: str) -> None:
     )
 
 
-def read_bronze(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def _read(
+    spark: SparkSession, path: str | list[str], schema: StructType, base: str, **options: object
+) -> DataFrame:
+    reader = spark.read.schema(schema).option("basePath", base)
+    options = {"pathGlobFilter": JSON_FILES, **options}
+    try:
+        return reader.options(**options).json(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def read_bronze(
+    spark: SparkSession, path: str, multi_line: bool = False, files: list[str] | None = None
+) -> DataFrame:
     """Every event under ``path``, with the day folder it lies in as ``dt``.
 
     A file holds one event or one array of events per line; ``multi_line`` is
     for pretty-printed arrays only, since it reads one value per file. Unknown
     fields are ignored, absent ones are null, and anything that is not JSON of
-    the declared types fails the job.
+    the declared types fails the job. ``files`` are the only ones to read.
     """
-    reader = (
-        spark.read.schema(BRONZE_STORED)
-        .option("pathGlobFilter", JSON_FILES)
-        .option("mode", "FAILFAST")
-        .option("multiLine", multi_line)
+    return _read(
+        spark, files or path, BRONZE_STORED, path, mode="FAILFAST", multiLine=multi_line
     )
-    try:
-        return reader.json(path)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], BRONZE_STORED)
 
 
-def bronze_files(spark: SparkSession, path: str) -> DataFrame:
+def read_bronze_leniently(
+    spark: SparkSession, path: str, multi_line: bool = False, pattern: str = JSON_FILES
+) -> DataFrame:
+    """The same, but text that is not JSON of the declared types is a row of its own.
+
+    Such a row has the text in ``_corrupt_record``, which is null for all others.
+    ``pattern`` says which files are read.
+    """
+    schema = StructType([*BRONZE_EVENT.fields, CORRUPT, EVENT_DAY])
+    return _read(
+        spark, path, schema, path, mode="PERMISSIVE", multiLine=multi_line,
+        columnNameOfCorruptRecord=CORRUPT.name, pathGlobFilter=pattern,
+    )
+
+
+def read_bronze_texts(spark: SparkSession, path: str) -> DataFrame:
+    """Every event as the JSON text it came as (``value``), arrays on a line taken apart."""
+    schema = StructType([StructField("value", StringType()), EVENT_DAY])
+    reader = spark.read.schema(schema).option("pathGlobFilter", JSON_FILES)
+    lines = reader.text(path).where("trim(value) != ''")
+    elements = F.when(
+        F.ltrim("value").startswith("["),
+        F.from_json("value", "array<string>", {"mode": "FAILFAST"}),
+    ).otherwise(F.array("value"))
+    return lines.select(F.explode(elements).alias("value"), EVENT_DAY.name)
+
+
+def bronze_files(spark: SparkSession, path: str, pattern: str = JSON_FILES) -> DataFrame:
     """Bronze objects by day and size, from their listing; no file is opened."""
     try:
         listing = (
-            spark.read.format("binaryFile").option("pathGlobFilter", JSON_FILES).load(path)
+            spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
         )
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], "dt string, length bigint")
-    day = F.regexp_extract("path", f"/{EVENT_DAY.name}=([^/]+)/", 1)
-    return listing.select(day.alias(EVENT_DAY.name), "length")
+        return spark.createDataFrame([], "dt string, length bigint, file string")
+    file = F.col("_metadata.file_path").alias("file")
+    return listing.select(folder_day(F.col("path")).alias(EVENT_DAY.name), "length", file)
+
+
+def folder_day(path: Column) -> Column:
+    """The day of the bronze folder a file lies in."""
+    return F.regexp_extract(path, f"/{EVENT_DAY.name}=([^/]+)/", 1)
 
 
 def total_bytes(files: DataFrame) -> int:

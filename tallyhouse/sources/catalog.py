@@ -334,6 +334,12 @@ def _swap(lake: Lake, table: str) -> None:
     lake.spark.sql(f"ALTER TABLE {lake.name(_building(table))} RENAME TO {lake.name(table)}")
 
 
+def swap_in(lake: Lake, table: str) -> None:
+    """Put a table that was built under its building name in the table's place."""
+    set_properties(lake, _building(table), {COMPLETE: "true"})
+    _swap(lake, table)
+
+
 def _settle_interrupted_swap(lake: Lake, table: str) -> None:
     """Finish the swap of a job that died in it; forget a table that died half built."""
     building = _building(table)

@@ -33,4 +33,9 @@ def payment_events(spark: SparkSession, sf_dir: str, created: str = "window") ->
 
 def merchants_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, customer, supplier, _ = _roster(spark, sf_dir)
-    return derive_events.flat_merchants(orders, customer, supplier)
+    return derive_events.flat_roster(orders, customer, supplier, "merchant")
+
+
+def customers_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders, customer, supplier, _ = _roster(spark, sf_dir)
+    return derive_events.flat_roster(orders, customer, supplier, "customer")

@@ -13,6 +13,13 @@ from tallyhouse.streaming import arrivals
 from tests.conftest import SF, bronze_frame, event, plan_of, rows_of, write_bronze, write_text
 
 
+@pytest.fixture(autouse=True)
+def few_buckets(request, monkeypatch):
+    """Two buckets, for the tests that are not about them."""
+    if "buckets" not in request.node.name:
+        monkeypatch.setattr(arrivals, "BUCKETS", (2, 4_096))
+
+
 def promoted(lake):
     return rows_of(arrivals.arrived_log(lake)), rows_of(arrivals.arrived_current(lake))
 
