@@ -97,6 +97,18 @@ def text_key(text: Column) -> Column:
     )
 
 
+#: Bytes of a batch that are turned into Python objects at a time.
+PART_BYTES = 2 << 20
+
+
+def in_parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of bounded bytes, of one row at least."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * PART_BYTES // max(batch.nbytes, 1))
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def column_lists(batches: Iterable[pa.RecordBatch]) -> Iterator[list[list]]:
     """The columns of each batch as Python lists."""
     for batch in batches:

@@ -33,6 +33,7 @@ from tallyhouse.llm.common import (
     SHINGLE_WORDS,
     SIMILARITY,
     components,
+    in_parts,
     runs,
     sent_if_small,
     stored,
@@ -47,7 +48,7 @@ TOLERANCE = 1e-6
 #: themselves are.
 CANDIDATE_BLOCK, BLOCK = 2_048, 256
 #: Words whose hashes a worker remembers; a full memory is emptied.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 
 # Bytes of words as they are, capitals lowered, all others blanks: the word rule of
 # ``common.WORD`` on UTF-8.
@@ -138,7 +139,7 @@ _SETS = "doc_id long, key struct<a: long, b: long>, set_key binary, n int, signa
 
 
 def _signatures(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in in_parts(batches):
         keys, sizes, marks = [], [], []
         for text in batch.column(2).to_pylist():
             shingles = shingle_set(text or "")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.common import held_out, sent_if_small, stored, text_key
+from tallyhouse.llm.common import held_out, in_parts, sent_if_small, stored, text_key
 
 # Names of groups that are swapped for one another.
 IDENTITY_TERMS = (
@@ -46,7 +46,7 @@ ROUNDS, RATE, RIDGE = 300, 0.1, 1e-5
 #: Weight of the squared change under a swap of names.
 COUNTERFACTUAL = 10.0
 #: Features a task counts before it passes the counts on. No effect on results.
-HELD, REMEMBERED = 400_000, 200_000
+HELD, REMEMBERED = 200_000, 100_000
 
 _WORDS = re.compile(r"[^\W_]+")
 _SENTENCES = re.compile(r"[.!?\n]+")
@@ -75,7 +75,7 @@ def swapped(words: list[str], terms: tuple[str, ...]) -> list[str]:
 
 def _distinct_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document its distinct words, spaced: what of a text may have to be shuffled."""
-    for batch in batches:
+    for batch in in_parts(batches):
         words = [" ".join(words_of(text or "")) for text in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(words, pa.string())], names=["doc_id", "words"]
@@ -97,7 +97,7 @@ def _feature_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         toxic.clear()
         return out
 
-    for batch in batches:
+    for batch in in_parts(batches):
         for label, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             found = features_of(words.split())
             found.add("")
@@ -114,7 +114,7 @@ def _holders(features: set[str]):
 
     def hold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least: dict[str, list[tuple[int, int]]] = {}
-        for batch in batches:
+        for batch in in_parts(batches):
             for rank, of, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for feature in features_of(words.split()) & features:
                     held = least.setdefault(feature, [])
@@ -140,7 +140,7 @@ def _sparse(place: dict[str, int], terms: tuple[str, ...]):
         return sorted(place[f] for f in features_of(words) if f in place)
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             features, pairs = [], []
             for text in batch.column(2).to_pylist():
                 words = words_of(text or "")
@@ -322,7 +322,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        for batch in batches:
+        for batch in in_parts(batches):
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1),
                  pa.array([own.score(t) for t in batch.column(2).to_pylist()], pa.float64())],
@@ -343,7 +343,7 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -
 
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        for batch in batches:
+        for batch in in_parts(batches):
             scores = [own.score(t) for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array([s < threshold for s in scores], pa.bool_()))
 
