@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.operators.quality import require_quality
-from tallyhouse.plans import checks, jobs
+from tallyhouse.plans import checks, jobs, layouts, lenient
 from tallyhouse.schemas import REVENUE
 from tallyhouse.session import build_session
 from tallyhouse.sources.catalog import Lake
@@ -63,6 +63,28 @@ def arrived_marts(lake: Lake, multi_line: bool) -> None:
     _report(jobs.table_counts(lake, "fct_transactions", "dim_merchants", "dim_customers"))
 
 
+def sorted_silver(lake: Lake, multi_line: bool) -> None:
+    """Silver and quarantine from one reading of bronze."""
+    if lenient.promote_with_quarantine(lake, multi_line) is None:
+        print("no readable bronze events; silver is left as it is")
+        return
+    _report(jobs.table_counts(lake, "payments_events", lenient.QUARANTINED_EVENTS))
+
+
+def open_silver(lake: Lake, multi_line: bool) -> None:
+    if lenient.promote_openly(lake) is not None:
+        _report(jobs.table_counts(lake, lenient.OPEN_EVENTS))
+
+
+def compact(lake: Lake, multi_line: bool) -> None:
+    print(f"days compacted {len(layouts.compact_silver(lake))}")
+
+
+def cluster(lake: Lake, multi_line: bool) -> None:
+    layouts.cluster_events(lake)
+    _report(jobs.table_counts(lake, layouts.CLUSTERED))
+
+
 def quality(lake: Lake, multi_line: bool) -> None:
     require_quality(checks.quality_violations(lake))
 
@@ -75,7 +97,11 @@ def serve(lake: Lake, multi_line: bool) -> None:
 
 
 STEPS = {
-    step.__name__: step for step in (silver, arrivals, current, marts, arrived_marts, quality, serve)
+    step.__name__: step
+    for step in (
+        silver, sorted_silver, open_silver, compact, cluster, arrivals, current, marts,
+        arrived_marts, quality, serve,
+    )
 }
 
 
