@@ -138,8 +138,9 @@ def learn_profiles(docs: DataFrame, text: str = "text", lang: str = "lang",
     )
     by_count = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     return (
-        grams.withColumn("rank", F.row_number().over(by_count) - 1)
-        .where(F.col("rank") < size).select("lang", "gram", "rank")
+        # A filter on the row number itself drops what can't be kept before the shuffle.
+        grams.withColumn("nth", F.row_number().over(by_count)).where(F.col("nth") <= size)
+        .select("lang", "gram", (F.col("nth") - 1).alias("rank"))
     )
 
 
