@@ -167,7 +167,9 @@ def _shares(docs: DataFrame, doc_id: str, text: str, source: str,
 
 
 def _times(its_ticket: Column) -> Column:
-    return F.col("copies") + F.when(its_ticket < F.col("below"), 1).otherwise(0)
+    more = F.when(its_ticket < F.col("below"), 1).otherwise(0)
+    # Texts without words may lie below a threshold that takes no words.
+    return F.least(F.col("copies") + more, F.lit(CAP).cast("long"))
 
 
 def mix(
