@@ -33,9 +33,11 @@ BLOCK_TAGS = frozenset(
 VOID_TAGS = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
 )
-RAW_TAGS = frozenset("script style textarea title iframe noembed noframes xmp".split())
+RAW_TAGS = frozenset(
+    "script style textarea title iframe noembed noframes xmp annotation".split()
+)
 DROPPED_TAGS = frozenset(
-    "head template svg math object audio video canvas button select datalist".split()
+    "head template svg object audio video canvas button select datalist".split()
 )
 BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog noscript fieldset search".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
@@ -61,8 +63,11 @@ WRAPPER_NAMES = re.compile(r".+[_-](?:wrap|wrapper)")
 COMMENT_NAMES = re.compile(
     r"(?:^|[\s_-])(?:comment|comments|commentlist|respond|reply|replies|disqus)(?:$|[\s_\d-])"
 )
-_NAMED = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none""", re.I)
+_PART = re.compile(r"[\s_\d-]+")
+_ATTRIBUTE = re.compile(
+    r"""([^\s"'>/=]+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?+"""
+)
+_UNSEEN = re.compile(r"display\s*:\s*none", re.I)
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+')*+)>""")
 _LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 
@@ -71,8 +76,12 @@ _LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 ADJACENT, SAME_CONTAINER, SAME_PARENT = 0.4, 0.6, 0.3
 
 UNKNOWN, CONTENT, BOILERPLATE, DROPPED = 0, 1, -1, -2
-#: In an article; in a form around more; boilerplate that no article in it undoes.
-ARTICLE, FORM, FIXED = 2, -4, -3
+#: In an article; boilerplate that no article in it undoes.
+ARTICLE, FIXED = 2, -3
+#: In a form around more; under a name that is boilerplate in part only ("legal-news"),
+#: outside of an article or in one. How much of the page they hold decides.
+FORM, DOUBTFUL, DOUBTFUL_WITHIN = -4, -5, -6
+SOFT = frozenset((FORM, DOUBTFUL, DOUBTFUL_WITHIN))
 
 
 @dataclass
@@ -83,6 +92,7 @@ class Block:
     container: int
     parent: int
     linked: int  # characters in links
+    mark: int = 0  # the container that a soft place comes from
 
 
 @dataclass
@@ -90,55 +100,77 @@ class _Open:
     tag: str
     place: int
     number: int
+    mark: int = 0
 
 
-def _names(attributes: str) -> str:
+def _attributes(text: str) -> dict[str, str]:
+    """Attributes of a tag by lowered name; the first of a name counts."""
+    out: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(text):
+        out.setdefault(name.lower(), "".join(values))
+    return out
+
+
+def _names(attributes: dict[str, str]) -> list[str]:
     """The lowered names of a container, without those of layout."""
-    given = " ".join(a or b or c for a, b, c in _NAMED.findall(attributes)).lower().split()
+    named = " ".join(attributes.get(key, "") for key in ("class", "id", "role", "itemprop"))
     kept = []
-    for name in given:
-        own = f" {name} "
+    for name in named.lower().split():
         if LAYOUT_NAMES.fullmatch(name) or (
-            WRAPPER_NAMES.fullmatch(name) and CONTENT_NAMES.search(own)
-            and BOILERPLATE_NAMES.search(own) and not COMMENT_NAMES.search(own)
+            WRAPPER_NAMES.fullmatch(name) and CONTENT_NAMES.search(name)
+            and BOILERPLATE_NAMES.search(name) and not COMMENT_NAMES.search(name)
         ):
             continue
         kept.append(name)
-    return f" {' '.join(kept)} "
+    return kept
+
+
+def _certain(name: str) -> bool:
+    """Whether every part of a name tells boilerplate or where on the page it stands."""
+    return all(
+        BOILERPLATE_NAMES.search(part) or HEADER_NAMES.search(part) for part in _PART.split(name)
+        if part
+    )
 
 
-def _place(tag: str, attributes: str, outer: int) -> int:
-    """What a container says of the text in it; the innermost word counts.
+def _place(tag: str, written: str, outer: int) -> tuple[int, bool]:
+    """What a container says of the text in it, and whether it says so itself.
 
-    A main, or an article that is not in comments, an aside or another article, undoes the
-    mark of a wrapper, and a content name that of a form.
+    The innermost word counts. A main, or an article that is not in comments, an aside or
+    another article, undoes the mark of a wrapper, and a content name that of a form.
     """
-    if outer == DROPPED or tag in DROPPED_TAGS or _HIDDEN.search(attributes):
-        return DROPPED
+    attributes = _attributes(written) if written else {}
+    if (outer == DROPPED or tag in DROPPED_TAGS or "hidden" in attributes
+            or _UNSEEN.search(attributes.get("style", ""))):
+        return DROPPED, False
     if tag in ("html", "body"):
-        return outer
+        return outer, False
     if tag == "main":
-        return CONTENT
+        return CONTENT, False
     if outer == FIXED:
-        return FIXED
-    names = _names(attributes) if attributes else " "
-    marked = BOILERPLATE_NAMES.search(names)
-    if tag == "form" and not marked and outer not in (CONTENT, ARTICLE):
-        return FORM if outer in (UNKNOWN, FORM) else outer
+        return FIXED, False
+    each = _names(attributes)
+    names = " ".join(each)
+    marks = [name for name in each if BOILERPLATE_NAMES.search(name)]
+    if tag == "form" and not marks and outer not in (CONTENT, ARTICLE):
+        return (FORM, outer != FORM) if outer in (UNKNOWN, FORM) else (outer, False)
     if tag in BOILERPLATE_TAGS or COMMENT_NAMES.search(names):
         # Reader comments are often articles of their own.
-        return FIXED
-    if tag == "article":
-        return BOILERPLATE if marked and not CONTENT_NAMES.search(names) else ARTICLE
-    if marked:
-        return FIXED if outer == ARTICLE else BOILERPLATE
-    if outer in (BOILERPLATE, ARTICLE):
-        return outer
-    if CONTENT_NAMES.search(names):
-        return CONTENT
+        return FIXED, False
+    content = CONTENT_NAMES.search(names)
+    if marks and not any(map(_certain, marks)) and not (tag == "article" and content):
+        return (DOUBTFUL_WITHIN if outer in (ARTICLE, DOUBTFUL_WITHIN) else DOUBTFUL), True
+    if tag == "article" and outer != DOUBTFUL_WITHIN:
+        return (BOILERPLATE if marks and not content else ARTICLE), False
+    if marks:
+        return (FIXED if outer == ARTICLE else BOILERPLATE), False
+    if outer in (BOILERPLATE, ARTICLE, DOUBTFUL, DOUBTFUL_WITHIN):
+        return outer, False
+    if content:
+        return CONTENT, False
     if outer != CONTENT and (HEADER_NAMES.search(names) or tag == "header"):
-        return BOILERPLATE
-    return outer
+        return BOILERPLATE, False
+    return outer, False
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -159,7 +191,7 @@ def blocks_of(page: str) -> list[Block]:
                 own = (parent, stack[-3].number if len(stack) > 2 else 0)
                 if top.tag not in ("p", "li", *HEADINGS):
                     own = (top.number, parent)
-                out.append(Block(text, top.place, top.tag, *own, linked))
+                out.append(Block(text, top.place, top.tag, *own, linked, top.mark))
             pieces.clear()
         linked = 0
 
@@ -227,16 +259,48 @@ def blocks_of(page: str) -> list[Block]:
                 stack.pop()
             if tag not in VOID_TAGS and not attributes.endswith("/"):
                 number += 1
-                stack.append(_Open(tag, _place(tag, attributes, stack[-1].place), number))
+                place, own = _place(tag, attributes, stack[-1].place)
+                mark = number if own else stack[-1].mark if place in SOFT else 0
+                stack.append(_Open(tag, place, number, mark))
     close()
     return out
 
 
-def evidence(block: Block) -> float:
+def _words(block: Block) -> int:
+    return block.text.count(" ") + 1
+
+
+def bodies(blocks: list[Block]) -> set[int]:
+    """The marked containers that are the page's body all the same.
+
+    One that holds at least half of the words outside of certain boilerplate, where no
+    other text stands in a container for content.
+    """
+    words: dict[int, int] = {}
+    for block in blocks:
+        if block.place >= 0 or block.place in SOFT:
+            mark = block.mark if block.place in SOFT else -1 if block.place > 0 else 0
+            words[mark] = words.get(mark, 0) + _words(block)
+    whole = sum(words.values())
+    inside = {
+        block.mark for block in blocks if block.place == DOUBTFUL_WITHIN
+    }
+    return {
+        mark for mark, n in words.items()
+        if mark > 0 and 2 * n >= whole and (-1 not in words or mark in inside)
+    }
+
+
+def evidence(block: Block, body: bool = False) -> float:
     """The classifier: log odds that a block is content."""
-    words = block.text.count(" ") + 1
+    words = _words(block)
     links = block.linked / max(1, len(block.text))
-    odds = 4.0 if block.place > 0 else -1.0 if block.place == UNKNOWN else -8.0
+    if block.place > 0:
+        odds = 4.0
+    elif block.place == UNKNOWN or body:
+        odds = -1.0
+    else:
+        odds = -5.0 if block.place in SOFT else -8.0
     odds += 2.5 if words >= 25 else 1.5 if words >= 10 else 0.0 if words >= 4 else -0.5
     odds += 1.0 if block.text[-1] in ".!?…。！？:;\"'”’)" else 0.0
     odds += 1.5 if block.tag in HEADINGS else 0.0
@@ -311,9 +375,15 @@ def minimum_cut(
                     room[arc ^ 1] += flow
 
 
+def judged(blocks: list[Block]) -> list[float]:
+    """The classifier's log odds of each block."""
+    own = bodies(blocks)
+    return [evidence(block, block.place in SOFT and block.mark in own) for block in blocks]
+
+
 def labelled(blocks: list[Block]) -> list[bool]:
     """Whether each block is content."""
-    odds = [evidence(block) for block in blocks]
+    odds = judged(blocks)
     source = [math.log1p(math.exp(z)) for z in odds]
     sink = [math.log1p(math.exp(-z)) for z in odds]
     arcs: list[tuple[int, int, float]] = []

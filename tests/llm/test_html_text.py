@@ -110,3 +110,48 @@ def test_names_of_layout_do_not_lose_the_article(before, after):
 def test_related_articles_in_an_article_stay_out():
     page = f'<article><p>{LONG}</p><div class="related"><article><p>{LONG}</p></article></div></article>'
     assert main_text(page) == LONG
+
+
+@pytest.mark.parametrize("before, after", [
+    ("<body><form method=post>", "</form>"),
+    ('<body><article data-title="A hidden history">', "</article>"),
+    ('<body><article class="prose hidden md:block">', "</article>"),
+    ('<body><article class="social-science">', "</article>"),
+    ('<body><div class="social-science">', "</div>"),
+    ('<body><div id="search-results">', "</div>"),
+    ('<body><div class="legal-news"><section>', "</section></div>"),
+    ('<body><article><div class="legal-analysis">', "</div></article>"),
+])
+def test_values_and_names_in_part_do_not_lose_the_article(before, after):
+    others = f"""<div class="comments-wrap"><article class="comment-body"><p>{LONG}</p></article></div>
+    <div class="sidebar"><p>{LONG}</p></div><nav><p>{LONG}</p></nav>"""
+    page = f"<html>{before}<h1>Title</h1><p>{LONG}</p><p>{LONG}</p>{after}{others}</body></html>"
+    assert main_text(page) == f"Title\n\n{LONG}\n\n{LONG}"
+
+
+@pytest.mark.parametrize("other", [
+    f'<div class="promo-box"><p>{LONG}</p></div>',
+    f'<div class="related-items"><section><p>{LONG}</p></section></div>',
+    f'<form class="plain"><p>{LONG}</p></form>',
+    f'<div hidden><p>{LONG}</p></div>',
+    f'<div style="color: red; Display:none"><p>{LONG}</p></div>',
+    f'<div class="ad"><p>{LONG}</p></div>',
+])
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_names_in_part_around_less_stay_out(tag, other):
+    page = f"<body><{tag}><h1>Title</h1><p>{LONG}</p><p>{LONG}</p></{tag}>{other}</body>"
+    assert main_text(page) == f"Title\n\n{LONG}\n\n{LONG}"
+
+
+def test_formulas_stay_in_their_sentence():
+    page = f"<article><p>So <math><mi>x</mi><annotation>\\x</annotation></math> is it.</p><p>{LONG}</p></article>"
+    assert main_text(page) == f"So x is it.\n\n{LONG}"
+
+
+def test_cut_changes_what_the_classifier_says():
+    """Short lines between paragraphs are lost to the classifier and kept by their neighbours."""
+    lines = "".join(f"<p>{LONG}</p><p>He said so</p>" for _ in range(5)) + f"<p>{LONG}</p>"
+    blocks = html_text.blocks_of(f"<body><div>{lines}</div><div><p>Imprint page</p></div></body>")
+    alone = [odds > 0 for odds in html_text.judged(blocks)]
+    assert alone == [True, False] * 5 + [True, False]
+    assert html_text.labelled(blocks) == [True] * 11 + [False]
