@@ -3,8 +3,8 @@
 Vectors are dealt to shards by hash; a shard's tree is built by the task that holds it
 and stored as one row. Vectors of length one have a Euclidean distance that falls as
 their cosine rises, so the triangle inequality tells which side of a vantage point can
-still hold a nearer vector. Blocks of queries meet every shard; each block keeps its
-best of a shard, and the best of all shards remain.
+still hold a nearer vector. Slices of queries meet every shard and go through its tree in
+blocks; each keeps its best of a shard, and the best of all shards remain.
 
 The side away from a query is skipped where the inequality, relaxed by a factor, rules
 it out: at 1 nothing nearer can be missed, above 1 more is skipped.
@@ -24,56 +24,88 @@ from tallyhouse.llm.common import runs, stored
 
 K = 5
 RELAX = 1.05
-#: Distinct vectors of a shard, queries of a block, vectors of a leaf.
-SHARD, QUERIES, LEAF = 20_000, 1_024, 128
+#: Distinct vectors of a shard, queries that one copy of its tree is sent for, queries
+#: that go through it together, vectors of a leaf.
+SHARD, SLICE, QUERIES, LEAF = 20_000, 16_384, 1_024, 512
 
 
 class Tree:
-    """A vantage-point tree over the rows of a matrix of unit vectors.
+    """A vantage-point tree over the rows of a matrix.
 
-    A node is a leaf, an array of rows, or (vantage row, radius, inside, outside).
+    Rows are put in tree order, so that a leaf is a range of them. A node is a leaf,
+    (start, end), or (vantage row, radius, inside, outside).
     """
 
-    def __init__(self, units: np.ndarray, leaf: int = LEAF) -> None:
-        self.units, self.leaf = units, leaf
-        self.root = self._grown(np.arange(len(units)))
-
-    def _grown(self, rows: np.ndarray):
-        if len(rows) <= self.leaf:
-            return rows
-        # The row farthest from the first one sees the others at the most distances.
-        far = np.argmin(self.units[rows] @ self.units[rows[0]])
-        vantage, rest = rows[far], np.delete(rows, far)
-        apart = _distances(self.units[rest], self.units[vantage])
-        radius = float(np.median(apart))
-        inside = apart <= radius
-        if inside.all():
-            return rows
-        return vantage, radius, self._grown(rest[inside]), self._grown(rest[~inside])
-
-    def nearest(self, queries: np.ndarray, k: int, relax: float) -> np.ndarray:
-        """Rows of the k nearest of each unit query, -1 where there are fewer."""
+    def __init__(self, vectors: np.ndarray, leaf: int = LEAF) -> None:
+        self.leaf, self.order = leaf, []
+        units = _units(vectors)
+        self.root = self._grown(units, np.arange(len(units)))
+        self.order = np.array(self.order, np.int64)
+        single = vectors.astype(np.float32)
+        # What came as floats is kept as floats.
+        self.vectors = (single if (single == vectors).all() else vectors)[self.order]
+
+    def _grown(self, units: np.ndarray, rows: np.ndarray) -> tuple:
+        start = len(self.order)
+        if len(rows) > self.leaf:
+            # The row farthest from the first one sees the others at the most distances.
+            far = np.argmin(units[rows] @ units[rows[0]])
+            vantage, rest = rows[far], np.delete(rows, far)
+            apart = _distances(units[rest], units[vantage])
+            radius = float(np.median(apart))
+            inside = apart <= radius
+            if not inside.all():
+                self.order.append(vantage)
+                return (start, radius, self._grown(units, rest[inside]),
+                        self._grown(units, rest[~inside]))
+        self.order.extend(rows)
+        return start, len(self.order)
+
+    def ready(self) -> Tree:
+        """The tree with its unit vectors, which are not stored."""
+        self.vectors = self.vectors.astype(np.float64)
+        self.units = _units(self.vectors)
+        return self
+
+    def nearest(self, queries: np.ndarray, k: int, relax: float) -> tuple[np.ndarray, int]:
+        """Places in tree order of the k nearest of each unit query, -1 where there are
+        fewer, and how many distances to rows of leaves were computed."""
         best = np.full((len(queries), k), np.inf)
         found = np.full((len(queries), k), -1)
-
-        def offer(who: np.ndarray, rows: np.ndarray, apart: np.ndarray) -> None:
+        compared = 0
+
+        def offer(who: np.ndarray, start: int, end: int) -> None:
+            squares = np.maximum(0, 2 - 2 * (queries[who] @ self.units[start:end].T))
+            bound = best[who, -1]
+            # Few queries find anything nearer once the first leaves are done.
+            better = np.flatnonzero(squares.min(axis=1) < bound * bound)
+            if not len(better):
+                return
+            who, squares = who[better], squares[better]
+            if end - start > k:
+                near = np.argpartition(squares, k - 1, axis=1)[:, :k]
+            else:
+                near = np.broadcast_to(np.arange(end - start), squares.shape)
+            apart = np.sqrt(np.take_along_axis(squares, near, axis=1))
             both = np.concatenate([best[who], apart], axis=1)
-            names = np.concatenate([found[who], np.broadcast_to(rows, apart.shape)], axis=1)
+            names = np.concatenate([found[who], near + start], axis=1)
             first = np.argsort(both, axis=1, kind="stable")[:, :k]
             best[who] = np.take_along_axis(both, first, axis=1)
             found[who] = np.take_along_axis(names, first, axis=1)
 
-        def visit(node, who: np.ndarray) -> None:
+        def visit(node: tuple, who: np.ndarray) -> None:
+            nonlocal compared
             if not len(who):
                 return
-            if isinstance(node, np.ndarray):
-                if len(node):
-                    dots = queries[who] @ self.units[node].T
-                    offer(who, node, np.sqrt(np.maximum(0, 2 - 2 * dots)))
+            if len(node) == 2:
+                for start in range(*node, self.leaf):
+                    end = min(node[1], start + self.leaf)
+                    compared += len(who) * (end - start)
+                    offer(who, start, end)
                 return
             vantage, radius, inside, outside = node
             apart = _distances(queries[who], self.units[vantage])
-            offer(who, np.array([vantage]), apart[:, None])
+            offer(who, vantage, vantage + 1)
             within = apart <= radius
             visit(inside, who[within])
             visit(outside, who[~within])
@@ -83,7 +115,7 @@ class Tree:
             visit(inside, who[~within & reach])
 
         visit(self.root, np.arange(len(queries)))
-        return found
+        return found, compared
 
 
 def _distances(units: np.ndarray, point: np.ndarray) -> np.ndarray:
@@ -116,10 +148,10 @@ def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
 
 
 def _build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per shard and width of vectors: its tree, vectors and ids."""
+    """A row per shard and width of vectors: its tree with vectors, and ids."""
     for (shard, width), rows in runs(batches, 2):
-        vectors = np.array([r[0] for r in rows], np.float64)
-        packed = pickle.dumps((Tree(_units(vectors)), vectors, [r[1] for r in rows]))
+        tree = Tree(np.array([r[0] for r in rows], np.float64))
+        packed = pickle.dumps((tree, [rows[at][1] for at in tree.order]))
         yield pa.RecordBatch.from_arrays(
             [pa.array([shard], pa.int32()), pa.array([width], pa.int32()),
              pa.array([packed], pa.binary())],
@@ -127,26 +159,46 @@ def _build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _asked(
+    batches: Iterable[pa.RecordBatch],
+) -> Iterator[tuple[Tree, list[list[int]], list[tuple[int, list[float]]]]]:
+    """Tree, ids and a block of queries; a tree's row comes before its queries."""
+    packed, tree, ids = None, None, []
+    block: list[tuple[int, list[float]]] = []
+    for batch in batches:
+        for query_id, q, its_tree in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if its_tree is not None:
+                if block:
+                    yield tree, ids, block
+                packed, block = its_tree, []
+                continue
+            if packed is not None:
+                tree, ids = pickle.loads(packed)
+                tree.ready()
+                packed = None
+            block.append((query_id, q))
+            if len(block) == QUERIES:
+                yield tree, ids, block
+                block = []
+    if block:
+        yield tree, ids, block
+
+
 def _search(k: int, relax: float):
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in runs(batches, 3):
-            # The tree comes first: a query has no tree.
-            tree, vectors, ids = pickle.loads(rows[0][3])
-            asked = rows[1:]
-            if not asked:
-                continue
-            queries = np.array([r[2] for r in asked], np.float64)
+        for tree, ids, asked in _asked(batches):
+            queries = np.array([q for _, q in asked], np.float64)
             # One more than k: a query's own vector may be among them.
-            found = tree.nearest(_units(queries), k + 1, relax)
+            found, _ = tree.nearest(_units(queries), k + 1, relax)
             who, nth = np.nonzero(found >= 0)
             rows_of = found[who, nth]
-            scores = cosines(queries[who], vectors[rows_of])
+            scores = cosines(queries[who], tree.vectors[rows_of])
             out: dict[int, list[tuple[float, int]]] = {}
             for q, row, value in zip(who.tolist(), rows_of.tolist(), scores.tolist(), strict=True):
                 out.setdefault(q, []).extend(
-                    (-value, name) for name in ids[row] if name != asked[q][1]
+                    (-value, name) for name in ids[row] if name != asked[q][0]
                 )
-            kept = [(asked[q][1], name, -value)
+            kept = [(asked[q][0], name, -value)
                     for q, near in out.items() for value, name in sorted(near)[:k]]
             columns = zip(*kept, strict=True) if kept else ([], [], [])
             yield pa.RecordBatch.from_arrays(
@@ -193,19 +245,19 @@ def nearest_neighbours(
         "trees",
     )
     asked = stored(usable(queries, vec_id, embedding).distinct(), "asked")
-    blocks = max(1, -(-asked.count() // QUERIES))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
-    kept = trees.select("shard", every, "width", F.lit(True).alias("is_tree"), "tree")
+    slices = max(1, -(-asked.count() // SLICE))
+    every = F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice")
+    kept = trees.select("shard", every, "width", "tree")
     put = asked.select(
         F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"),
-        F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"),
+        F.pmod(F.xxhash64("vec_id"), F.lit(slices)).cast("int").alias("slice"),
         F.size("v").alias("width"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"),
     ).join(trees.select("shard", "width"), ["shard", "width"], "left_semi")
-    met = kept.unionByName(put.withColumn("is_tree", F.lit(False)), allowMissingColumns=True)
+    met = kept.unionByName(put, allowMissingColumns=True)
     found = (
-        met.select("shard", "block", "width", "is_tree", "query_id", "q", "tree")
-        .repartition("shard", "block", "width")
-        .sortWithinPartitions("shard", "block", "width", F.desc("is_tree"), "query_id")
+        met.repartition("shard", "slice", "width")
+        .sortWithinPartitions("shard", "slice", "width", F.col("tree").isNull(), "query_id")
+        .select("query_id", "q", "tree")
         .mapInArrow(_search(k, relax), "query_id long, vec_id long, score double")
     )
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

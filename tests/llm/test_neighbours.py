@@ -40,18 +40,40 @@ def rows():
             for k in range(900)]
 
 
-@pytest.mark.parametrize("shard, block", [(20_000, 1024), (100, 16)])
-def test_factor_one_is_exact(spark, rows, monkeypatch, shard, block):
+@pytest.mark.parametrize("shard, share", [(20_000, 16_384), (100, 16)])
+def test_factor_one_is_exact(spark, rows, monkeypatch, shard, share):
     monkeypatch.setattr(neighbours, "SHARD", shard)
-    monkeypatch.setattr(neighbours, "QUERIES", block)
+    monkeypatch.setattr(neighbours, "SLICE", share)
     same(found(spark, rows, relax=1.0), brute(rows, lambda i: i % 7 == 0))
 
 
 def test_small_leaves_are_exact_too(rows):
     units = neighbours._units(np.array([r[1] for r in rows], float))
-    got = neighbours.Tree(units, leaf=4).nearest(units[:50], 6, 1.0)
+    tree = neighbours.Tree(units, leaf=4).ready()
+    got, compared = tree.nearest(units[:50], 6, 1.0)
     want = np.argsort(-(units[:50] @ units.T), axis=1)[:, :6]
-    assert (np.sort(got, axis=1) == np.sort(want, axis=1)).all()
+    assert (np.sort(tree.order[got], axis=1) == np.sort(want, axis=1)).all()
+    assert compared < 50 * len(rows)
+
+
+def test_a_tree_meets_its_queries_in_blocks(rows, monkeypatch):
+    """Two trees, the first with three blocks and the second without a query, in two batches."""
+    import pickle
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(neighbours, "QUERIES", 20)
+    vectors = np.array([r[1] for r in rows], float)
+    packed = [pickle.dumps((neighbours.Tree(v), v.shape)) for v in (vectors, vectors[:7])]
+    batch = pa.record_batch({
+        "query_id": pa.array([None, *range(50), None], pa.int64()),
+        "q": pa.array([None, *vectors[:50].tolist(), None], pa.list_(pa.float64())),
+        "tree": pa.array([packed[0], *[None] * 50, packed[1]], pa.binary()),
+    })
+    got = list(neighbours._asked([batch.slice(0, 30), batch.slice(30)]))
+    assert [len(block) for *_, block in got] == [20, 20, 10]
+    assert {ids for _, ids, _ in got} == {vectors.shape}
+    assert [i for *_, block in got for i, _ in block] == list(range(50))
 
 
 def test_recall_of_the_production_factor(spark, rows):
