@@ -11,17 +11,21 @@ often a task is tried, in any store Spark can write.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyhouse.llm.common import in_parts
 from tallyhouse.workspace import fresh_folder
 
 CHUNK_IDS = 1 << 16
@@ -30,8 +34,33 @@ LEVEL = 3
 #: Pieces between spaces whose ids are remembered, and the longest one that is; a full
 #: memory is emptied. Neither changes a result.
 REMEMBERED, LONGEST = 700_000, 48
-#: Texts that are looked up together.
-TOGETHER = 100
+
+# The rules of a tokenizer file under which texts are encoded by pieces.
+PIECEWISE = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [
+            {"type": "NFC"},
+            {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+            {"type": "Lowercase"},
+        ],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "behavior": "Removed", "invert": True, "pattern": {
+                "Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True,
+             "use_regex": False},
+        ],
+    },
+}
+WORD_END = "</w>"
+#: Texts in which lowering ASCII capitals first could change the ids: marks that compose
+#: with small letters alone, and names of special tokens.
+_AS_IT_IS = r"\p{M}|<\|"
+_BEFORE_STOP = "([a-z0-9\u00df-\u00f6\u00f8-\u00ff])([.,])"
+_PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 
 BIT_PLANES = 16  # of the low half of an id; the high half goes by bytes
 
@@ -71,12 +100,13 @@ def unpack(planes: list[bytes], n_ids: int, decompressor: zstandard.ZstdDecompre
 class Encoder:
     """Ids of whole texts from a tokenizer file.
 
-    The tokenizer's rules look at no more than what lies between two spaces or line
-    ends: its pattern matches within them, white space makes no ids and composition of
-    characters does not cross it. So the ids of a text are those of its pieces in turn,
-    and a piece that was seen before need not be encoded again. Nor does the pattern
-    cross from a letter or digit to a full stop or comma, and capitals are lowered, so
-    pieces that differ in these share what is encoded.
+    Under the rules of ``PIECEWISE`` a tokenizer looks at no more than what lies between
+    two spaces or line ends: its pattern matches within them, white space makes no ids
+    and composition of characters does not cross it. So the ids of a text are those of
+    its pieces in turn, and a piece that was seen before need not be encoded again. Nor
+    does the pattern cross from a letter or digit to a full stop or comma, and capitals
+    are lowered, so a space may stand there and ASCII capitals be lowered first. Files
+    with other rules have their texts encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -84,45 +114,80 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        rules = json.loads(self.tokenizer.to_str())
+        self.by_pieces = (
+            all(rules[name] == rule for name, rule in PIECEWISE.items())
+            and rules["model"].get("end_of_word_suffix") == WORD_END
+            and all(" " not in t["content"] and t["content"].startswith("<|")
+                    for t in rules["added_tokens"])
+        )
+        ids = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(ids.values(), default=0) + 1, bool)
+        self.ends[[i for piece, i in ids.items() if piece.endswith(WORD_END)]] = True
         self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
 
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
+    def __call__(self, texts: list[str | None] | pa.Array) -> Iterator[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers; null is empty."""
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.string())
+        texts = texts.fill_null("")
+        if not self.by_pieces:
+            yield from self._encoded(texts.to_pylist())
+        elif len(texts):
+            yield from self._joined(pc.split_pattern(self._tidied(texts), " "))
+
+    @staticmethod
+    def _tidied(texts: pa.Array) -> pa.Array:
+        texts = pc.replace_substring(texts, "\n", " ")
+        lowered = pc.if_else(
+            pc.match_substring_regex(texts, _AS_IT_IS), texts, pc.ascii_lower(texts)
+        )
+        return pc.replace_substring_regex(lowered, _BEFORE_STOP, r"\1 \2")
+
+    def _joined(self, split: pa.ListArray) -> Iterator[bytes]:
+        """Ids of texts from those of their different pieces."""
+        coded = split.flatten().dictionary_encode()
+        pieces = coded.dictionary.to_pylist()
         known = self.known
-        for at in range(0, len(texts), TOGETHER):
-            split = [t.replace("\n", " ").split(" ") for t in texts[at : at + TOGETHER]]
-            if len(known) > REMEMBERED:
-                known.clear()
-                self.parts.clear()
-            new = set().union(*split).difference(known)
-            if new:
-                self._learn(new)
-            for pieces in split:
-                yield b"".join(map(known.__getitem__, pieces))
-            for piece in new:
-                if len(piece) > LONGEST:
-                    del known[piece]
-
-    def _learn(self, pieces: set[str]) -> None:
-        parts, cut = self.parts, {}
-        for piece in pieces:
-            head = piece.rstrip(".,")
-            if not head or not head[-1].lower()[-1].isalnum():
-                head = piece
-            tail = piece[len(head) :]
-            if head.isascii() and head.isalpha():
-                head = head.lower()
-            cut[piece] = head, tail
-        wanted = [p for p in {p for both in cut.values() for p in both} if p not in parts]
-        encoded = self.tokenizer.encode_batch_fast(wanted, add_special_tokens=False)
-        for part, one in zip(wanted, encoded, strict=True):
-            parts[part] = array("I", one.ids).tobytes()
-        for piece, (head, tail) in cut.items():
-            self.known[piece] = parts[head] + parts[tail]
-        for part in wanted:
-            if len(part) > LONGEST:
-                del parts[part]
+        if len(known) > REMEMBERED:
+            known.clear()
+        new = [piece for piece in pieces if piece not in known]
+        if new:
+            self._learn(new)
+        found = [known[piece] for piece in pieces]
+        for piece in new:
+            if len(piece) > LONGEST:
+                del known[piece]
+        table = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        starts = np.cumsum(sizes) - sizes
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        lengths = sizes[codes]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        # Each id's place in the table: where its piece starts, and how far it is in it.
+        at = np.repeat(starts[codes] - ends[:-1], lengths)
+        at += np.arange(len(at))
+        ids = table[at]
+        cuts = ends[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
+        for start, end in zip(cuts, cuts[1:], strict=False):
+            yield ids[start:end].tobytes()
+
+    def _encoded(self, texts: list[str]) -> Iterator[bytes]:
+        for one in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            yield array("I", one.ids).tobytes()
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Remember the ids of pieces; plain words are one match each, so encoded as one text."""
+        plain = [piece for piece in pieces if _PLAIN.fullmatch(piece)]
+        raw = b"".join(self._encoded([" ".join(plain)]))
+        bounds = np.flatnonzero(self.ends[np.frombuffer(raw, "<u4")]) * 4 + 4
+        if len(bounds) == len(plain):
+            start = 0
+            for piece, end in zip(plain, bounds.tolist(), strict=True):
+                self.known[piece] = raw[start:end]
+                start = end
+        rest = [piece for piece in pieces if piece not in self.known]
+        self.known.update(zip(rest, self._encoded(rest), strict=True))
 
 
 def _writer(tokenizer: str) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -145,10 +210,9 @@ def _writer(tokenizer: str) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.
                 [pa.array([v], f.type) for v, f in zip(row, _CHUNKS, strict=True)], schema=_CHUNKS
             )
 
-        for batch in batches:
+        for batch in in_parts(batches):
             names = batch.column(0).to_pylist()
-            texts = [text or "" for text in batch.column(1).to_pylist()]
-            for name, ids in zip(names, encoder(texts), strict=True):
+            for name, ids in zip(names, encoder(batch.column(1)), strict=True):
                 held += ids
                 held += end
                 while len(held) > 4 * CHUNK_IDS:

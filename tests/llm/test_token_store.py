@@ -34,7 +34,7 @@ def test_planes_round_trip(ids):
 def test_pieces_encode_as_whole_texts(tokenizer):
     pick = random.Random(3)
     letters = [*"abcXYZ .,,'\n\t'sSİΣσḈ̧\xa0 \x1c\x850129!?<|>", "<|endoftext|>",
-               "<|ENDOFTEXT|>", "'ve", "ΑΣ", "ﬁ", "Ⅷ", "漢字", "각", "\U0001F600"]
+               "<|ENDOFTEXT|>", "'ve", "ΑΣ", "É.", "é,", "ÿ.", "J\u030c", "T\u0308", "K", "\u0301", "\u0338", "µ.", "ﬁ", "Ⅷ", "漢字", "각", "\U0001F600"]
     texts = ["".join(pick.choice(letters) for _ in range(pick.randint(0, 50))) for _ in range(3000)]
     texts += ["", ".", ",.,", "a.", "x" * 500 + "."]
     encoded = token_store.Encoder(PATH)(texts)
@@ -45,11 +45,37 @@ def test_pieces_encode_as_whole_texts(tokenizer):
 
 def test_memory_is_emptied_without_effect(monkeypatch, tokenizer):
     monkeypatch.setattr(token_store, "REMEMBERED", 2)
-    monkeypatch.setattr(token_store, "TOGETHER", 1)
-    texts = ["a b c d", "e f, g.", "a b c d"]
-    for text, ids in zip(texts, token_store.Encoder(PATH)(texts), strict=True):
+    encoder = token_store.Encoder(PATH)
+    for text in ["a b c d", "e f, g.", "a b c d", "y" * 99 + " a"]:
+        (ids,) = encoder([text])
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(
             text, add_special_tokens=False).ids
+    assert "y" * 99 not in encoder.known
+
+
+def test_slices_nulls_and_no_texts(tokenizer):
+    import pyarrow as pa
+
+    encoder = token_store.Encoder(PATH)
+    assert list(encoder([])) == [] and list(encoder([None, ""])) == [b"", b""]
+    texts = pa.array(["left out", "One, two.", None, "", "three"])
+    got = [np.frombuffer(ids, "<u4").tolist() for ids in encoder(texts.slice(1))]
+    assert got == [tokenizer.encode(t, add_special_tokens=False).ids
+                   for t in ("One, two.", "", "", "three")]
+
+
+def test_files_with_other_rules_encode_whole_texts(tokenizer, tmp_path):
+    from tokenizers import normalizers
+
+    other = Tokenizer.from_file(PATH)
+    other.normalizer = normalizers.NFC()
+    other.save(str(tmp_path / "other.json"))
+    encoder = token_store.Encoder(str(tmp_path / "other.json"))
+    texts = ["Some Capitals. And more,", None, "plain"]
+    got = [np.frombuffer(ids, "<u4").tolist() for ids in encoder(texts)]
+    want = [other.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert got == want and not encoder.by_pieces and token_store.Encoder(PATH).by_pieces
+    assert want[0] != tokenizer.encode(texts[0], add_special_tokens=False).ids
 
 
 def expected(rows, tokenizer):
