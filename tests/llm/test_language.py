@@ -105,3 +105,9 @@ def test_held_out_rows_teach_nothing(spark, documents):
 
     got = {r["doc_id"]: r["o"] for r in docs.select("doc_id", held_out(F.col("doc_id")).alias("o")).collect()}
     assert got == {k: zlib.crc32(str(k).encode()) % 3 == 1 for k in range(30)}
+
+
+def test_ranks_are_limited_before_the_shuffle(spark, documents):
+    docs = documents([(1, "some words", "en")])
+    plan = language.learn_profiles(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
