@@ -54,3 +54,14 @@ def test_rows_come_as_often_as_taken(documents):
     got = mixing.mixed(docs)
     assert got.columns == docs.columns
     assert {r[0]: r[1] for r in want} == {r[0]: r[1] for r in got.groupBy("doc_id").count().collect()}
+
+
+def test_no_empty_document_is_copied_beyond_the_cap(spark, documents):
+    """A source at its cap has no budget left, so texts without words need no further copy."""
+    rows = [(1, "word " * 1000, None, "a"), (2, "two words", None, "b")]
+    rows += [(k, "", None, "b") for k in range(3, 60)]
+    docs = documents(rows)
+    times = {r["doc_id"]: r["count"] for r in mixing.mixed(docs).groupBy("doc_id").count().collect()}
+    assert times[2] == mixing.CAP and set(times) >= set(range(2, 60))
+    assert max(times[k] for k in range(3, 60)) == mixing.CAP
+    assert {r["times"] for r in mixing.mix(docs).where("source = 'b'").collect()} == {mixing.CAP}
