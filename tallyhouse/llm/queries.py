@@ -76,7 +76,7 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages.without_repeats(table(spark, sf_dir, "documents"))
+    return passages.without_repeated_passages(table(spark, sf_dir, "documents"))
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,29 +220,69 @@ from texts left join shingled using (r) left join sets using (shingles)
      left join classes using (s) left join counts using (s)
 """,
     "op8_line_dedup": r"""
-with lines as (
-    select row_number() over () as r, doc_id,
-           string_split(coalesce(text, ''), chr(10)) as lines
+with docs as materialized (
+    select row_number() over () as r, doc_id, coalesce(text, '') as text,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+               'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+               'abcdefghijklmnopqrstuvwxyz'),
+               '[\x00-\x2F\x3A-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as pieces
     from documents
-), units as (
-    select r, doc_id, unnest(lines) as line, generate_subscripts(lines, 1) as nth from lines
 ), worded as (
-    select *, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-                  'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words,
-           sum(length(line) + 1) over (partition by r order by nth) - length(line) - 1 as start
-    from units
-), judged as (
-    select *, len(words) >= 5 and row_number() over (
-                  partition by words order by doc_id nulls last, nth) > 1 as gone,
-           start::bigint || ':' || (start + length(line))::bigint as span
+    select r, unnest(words) as word, unnest(pieces) as piece,
+           generate_subscripts(words, 1) as nth, len(words) as n
+    from docs
+), hashed as (
+    select *, ('0x' || substr(md5(word), 1, 8))::bigint::hugeint * 4294967296 + n + 1 - nth as code,
+           sum(length(piece)) over (partition by r order by nth) - length(word) as start
     from worded
+), least_of as (
+    select r, nth, n, min(code) over (
+               partition by r order by nth rows between 11 preceding and current row) as code
+    from hashed
+), cuts as (
+    select r, (n - code % 4294967296)::bigint as cut from least_of where nth >= least(12, n)
+    union select r, 0 from worded union select r, n from worded
+), units as (
+    select r, cut, lead(cut, 2) over (partition by r order by cut) as stop from cuts
+), ranked as (
+    select r, cut, stop, rank() over (
+               partition by words[cut + 1 : stop] order by doc_id nulls last, text, cut) as place
+    from units join docs using (r) where stop is not null
+), reached as (
+    select r, cut, stop, max(stop) over (
+               partition by r order by cut rows between unbounded preceding and 1 preceding) as upto
+    from ranked where place > 1
+), numbered as (
+    select *, count(*) filter (upto is null or cut > upto) over (
+               partition by r order by cut) as run
+    from reached
+), gone as (
+    select r, run, min(cut) as first, max(stop) as stop from numbered
+    group by r, run having max(stop) - min(cut) >= 28
+), placed as (
+    select gone.*, case when first = 0 then 0 else a.start end::bigint as from_char,
+           coalesce(b.start, length(text))::bigint as to_char, text
+    from gone join docs using (r)
+    join hashed a on a.r = gone.r and a.nth = first + 1
+    left join hashed b on b.r = gone.r and b.nth = gone.stop + 1
+), pieces as (
+    select r, from_char as a, to_char as b, true as removed, stop - first as n_gone from placed
+    union all
+    select r, to_char, coalesce(lead(from_char) over (partition by r order by run), length(text)),
+           false, 0
+    from placed
+    union all
+    select r, 0, coalesce(min(from_char), any_value(length(docs.text))), false, 0
+    from docs left join placed using (r) group by r
 )
 select doc_id,
-       coalesce(string_agg(line, chr(10) order by nth) filter (not gone), '') as text,
-       count(*) as n_units, count(*) filter (gone) as n_removed,
-       coalesce(string_agg(span, ',' order by nth) filter (not gone), '') as kept,
-       coalesce(string_agg(span, ',' order by nth) filter (gone), '') as removed
-from judged group by r, doc_id
+       coalesce(string_agg(text[a + 1 : b], '' order by a) filter (not removed), '') as text,
+       count(*) filter (removed) as n_spans,
+       coalesce(sum(n_gone), 0)::bigint as n_removed,
+       coalesce(string_agg(a || ':' || b, ',' order by a) filter (not removed), '') as kept,
+       coalesce(string_agg(a || ':' || b, ',' order by a) filter (removed), '') as removed
+from docs left join (select * from pieces where a < b) using (r) group by r, doc_id
 """,
     "op9_decontaminate": r"""
 with docs as (

@@ -1,7 +1,11 @@
 """Line dedup against a direct loop, and offsets that give back what they cut."""
 
+import hashlib
+import itertools
 import random
 
+import pytest
+
 from tallyhouse.llm import passages
 from tallyhouse.llm.common import ship
 from tallyhouse.llm.ngram_join import words_of
@@ -59,3 +63,86 @@ def test_repeated_rows_keep_the_same(spark, documents):
 
 def test_no_rows(documents):
     assert run(documents, []) == []
+
+
+def direct_passages(rows):
+    """Kept words by (doc_id, text): each cut judged on every window that holds it."""
+    ranked = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0))
+    seen, kept = set(), {}
+    for doc_id, text in ranked:
+        words = words_of(text or "")
+        n = len(words)
+        hashes = [int(hashlib.md5(word).hexdigest()[:8], 16) for word in words]
+        at = {0, n} if n else set()
+        for k in range(max(n - 11, 1) if n else 0):
+            window = hashes[k:k + 12]
+            at.add(k + max(i for i, h in enumerate(window) if h == min(window)))
+        at = sorted(at)
+        gone = [False] * n
+        for a, b in zip(at, at[2:], strict=False):
+            unit = tuple(words[a:b])
+            if unit in seen:
+                gone[a:b] = [True] * (b - a)
+            seen.add(unit)
+        for flag, run in itertools.groupby(range(n), key=lambda k: gone[k]):
+            run = list(run)
+            if flag and len(run) < 28:
+                for k in run:
+                    gone[k] = False
+        kept[doc_id, text] = [w for w, g in zip(words, gone, strict=True) if not g]
+    return kept
+
+
+def test_passages_equal_a_direct_loop(spark, documents):
+    ship(spark)
+    word = lambda: "".join(PICK.choice("abcdefgh") for _ in range(3))
+    text = lambda n: " ".join(word() for _ in range(n))
+    shared = [text(n) for n in (20, 40, 50, 51, 90, 300)]
+    rows = [(k, text(PICK.randint(0, 40)) + " " + PICK.choice(shared) + ",\n " + text(k % 50))
+            for k in range(60)]
+    rows += [(100, shared[5].upper() + "!"), (101, rows[3][1]), (102, "x " * 20_000),
+             (103, "x " * 40), (104, None), (105, ""), (106, " ,.\n"), (None, shared[4])]
+    rows += [(107, "ü" * 30), (108, shared[4] + ". " + shared[4])]
+    rows += [rows[5]]
+    got = passages.without_repeated_passages(
+        documents(rows, "1 as digest").withColumnRenamed("lang", "start")).collect()
+    want, texts = direct_passages(rows), dict(rows)
+    assert len(got) == len(rows)
+    for r in got:
+        text = texts[r["doc_id"]] or ""
+        cut = lambda s: [text[int(a):int(b)] for a, b in (p.split(":") for p in s.split(",") if p)]
+        assert words_of(r["text"]) == want[r["doc_id"], texts[r["doc_id"]]]
+        assert "".join(cut(r["kept"])) == r["text"]
+        assert len(cut(r["removed"])) == r["n_spans"]
+        assert sum(len(words_of(s)) for s in cut(r["removed"])) == r["n_removed"]
+    assert sum(r["n_removed"] > 0 for r in got) > 30
+    by_id = {r["doc_id"]: r for r in got}
+    assert by_id[101]["text"] == "" and 278 <= by_id[100]["n_removed"] <= 300
+
+
+@pytest.mark.parametrize("before, after", [(0, 0), (0, 70), (70, 0), (5, 9), (200, 200)])
+def test_a_passage_of_fifty_words_is_found_wherever_it_stands(spark, documents, before, after):
+    ship(spark)
+    own = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    rows = []
+    for k in range(40):
+        passage = own(f"p{k}", 50)
+        rows.append((2 * k, f"{own(f'a{k}', 33)} {passage} {own(f'b{k}', 33)}"))
+        rows.append((2 * k + 1, f"{own(f'c{k}', before)} {passage.title()}; {own(f'd{k}', after)}"))
+    got = {r["doc_id"]: r for r in passages.without_repeated_passages(documents(rows)).collect()}
+    for k in range(40):
+        assert got[2 * k]["n_removed"] == 0
+        assert 28 <= got[2 * k + 1]["n_removed"] <= 50
+        assert got[2 * k + 1]["n_spans"] == 1
+
+
+def test_shorter_repeats_stay(spark, documents):
+    ship(spark)
+    line = " ".join(f"w{i}" for i in range(27))
+    rows = [(k, f"own{k} words{k} {line} end{k} of{k} it{k}") for k in range(5)]
+    got = passages.without_repeated_passages(documents(rows)).collect()
+    assert all(r["n_removed"] == 0 and r["text"] == dict(rows)[r["doc_id"]] for r in got)
+
+
+def test_no_passages(documents):
+    assert passages.without_repeated_passages(documents([])).collect() == []
