@@ -102,11 +102,15 @@ PART_BYTES = 2 << 20
 
 
 def in_parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of bounded bytes, of one row at least."""
+    """The same rows in batches of bounded bytes, of one row at least.
+
+    Workers serve many tasks: at the end of one, unused memory goes back to the system.
+    """
     for batch in batches:
         rows = max(1, batch.num_rows * PART_BYTES // max(batch.nbytes, 1))
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def column_lists(batches: Iterable[pa.RecordBatch]) -> Iterator[list[list]]:

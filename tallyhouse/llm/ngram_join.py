@@ -48,7 +48,7 @@ TOLERANCE = 1e-6
 #: themselves are.
 CANDIDATE_BLOCK, BLOCK = 2_048, 256
 #: Words whose hashes a worker remembers; a full memory is emptied.
-REMEMBERED = 150_000
+REMEMBERED = 40_000
 
 # Bytes of words as they are, capitals lowered, all others blanks: the word rule of
 # ``common.WORD`` on UTF-8.

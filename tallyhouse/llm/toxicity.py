@@ -46,7 +46,7 @@ ROUNDS, RATE, RIDGE = 300, 0.1, 1e-5
 #: Weight of the squared change under a swap of names.
 COUNTERFACTUAL = 10.0
 #: Features a task counts before it passes the counts on. No effect on results.
-HELD, REMEMBERED = 200_000, 100_000
+HELD, REMEMBERED = 50_000, 30_000
 
 _WORDS = re.compile(r"[^\W_]+")
 _SENTENCES = re.compile(r"[.!?\n]+")
