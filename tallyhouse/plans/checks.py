@@ -11,7 +11,7 @@ from tallyhouse.operators import quality
 from tallyhouse.operators.flatten import flatten
 from tallyhouse.schemas import EVENT_DAY, NO_DAY
 from tallyhouse.session import require_utc
-from tallyhouse.sizing import SHUFFLED_PER_STORED, sized_for
+from tallyhouse.sizing import sized_for_stored
 from tallyhouse.sources.bronze import folder_day, read_bronze
 from tallyhouse.sources.catalog import Lake, registered_days, stored_bytes
 from tallyhouse.sources.manifest import manifest, record_landings
@@ -20,7 +20,7 @@ from tallyhouse.sources.manifest import manifest, record_landings
 def quality_violations(lake: Lake) -> DataFrame:
     """Counts per rule, computed here under sizes fit to the fact."""
     size = stored_bytes(lake, "fct_transactions")
-    with sized_for(lake.spark, size, size * SHUFFLED_PER_STORED):
+    with sized_for_stored(lake.spark, size):
         report = quality.quality_violations(
             lake.table("fct_transactions"), lake.table("dim_merchants"), lake.table("dim_customers")
         ).collect()

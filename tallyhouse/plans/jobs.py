@@ -19,8 +19,8 @@ from tallyhouse.operators.flatten import flatten
 from tallyhouse.operators.revenue import settled_revenue_by_merchant
 from tallyhouse.schemas import EVENT_DAY
 from tallyhouse.session import require_utc
-from tallyhouse.sizing import SHUFFLED_PER_STORED, day_partitions, sized_for
-from tallyhouse.sources.bronze import bronze_files, land_bronze, read_bronze, total_bytes
+from tallyhouse.sizing import day_partitions, sized_for, sized_for_stored
+from tallyhouse.sources.bronze import bronze_files, land_bronze, listing_of, read_bronze
 from tallyhouse.sources.catalog import (
     Lake,
     PartitionChange,
@@ -43,9 +43,11 @@ def has_rows(frame: DataFrame) -> bool:
     return bool(frame.select(F.lit(1)).head(1))
 
 
-def ingest(lake: Lake, events: DataFrame, record: bool = True) -> None:
+def ingest(
+    lake: Lake, events: DataFrame, record: bool = True, compression: str | None = None
+) -> None:
     """Land events and record them in the manifest, which reads the new files once."""
-    land_bronze(events, lake.bronze)
+    land_bronze(events, lake.bronze, compression)
     if record:
         record_landings(lake)
 
@@ -56,19 +58,19 @@ def promote_silver(
     """Rebuild the silver event log from all of bronze; None if there is none.
 
     ``compact`` shuffles events to their day so that a day's many bronze objects
-    become few files; without it the promotion has no shuffle and each split of an
-    input becomes a file. ``multi_line`` reads bronze of pretty-printed arrays.
+    become few files, unless they are few already; without it the promotion has no
+    shuffle and each split of an input becomes a file. ``multi_line`` reads bronze of pretty-printed arrays.
     """
     require_utc(lake.spark)
-    size = total_bytes(bronze_files(lake.spark, lake.bronze))
-    if not size:
+    landed = listing_of(bronze_files(lake.spark, lake.bronze))
+    if not landed.size:
         return None
     bronze = read_bronze(lake.spark, lake.bronze, multi_line)
     if not has_rows(bronze):
         return None
-    with sized_for(lake.spark, size):
+    with sized_for(lake.spark, landed.size, dense=landed.dense):
         silver = flatten(bronze)
-        if compact:
+        if compact and landed.scattered:
             silver = silver.hint("rebalance", day_partitions(lake.spark), EVENT_DAY.name)
         return publish(lake, "payments_events", silver)
 
@@ -81,7 +83,7 @@ def silver_report(lake: Lake) -> DataFrame:
 def build_current(lake: Lake) -> None:
     """Rebuild the current state of every transaction from silver."""
     size = stored_bytes(lake, "payments_events")
-    with sized_for(lake.spark, size, size * SHUFFLED_PER_STORED):
+    with sized_for_stored(lake.spark, size):
         publish(lake, "payments_current", state.current_state(lake.table("payments_events")))
 
 
@@ -116,7 +118,7 @@ def build_marts(
         "dim_customers": dim_customers(events),
     }
     with (
-        sized_for(lake.spark, size, size * SHUFFLED_PER_STORED),
+        sized_for_stored(lake.spark, size),
         ThreadPoolExecutor(MART_THREADS) as pool,
     ):
         writes = [pool.submit(stage, lake, name, rows) for name, rows in marts.items()]
@@ -140,9 +142,9 @@ def serve(lake: Lake) -> DataFrame:
     return settled_revenue_by_merchant(lake.table("fct_transactions"), lake.table("dim_merchants"))
 
 
-def run(lake: Lake, events: DataFrame) -> DataFrame:
+def run(lake: Lake, events: DataFrame, compression: str | None = None) -> DataFrame:
     """All steps in order, stopping at the first that fails."""
-    ingest(lake, events, record=False)
+    ingest(lake, events, record=False, compression=compression)
     if promote_silver_and_current(lake) is None:
         raise ValueError(f"no events under {lake.bronze}")
     build_marts(lake, lake.table("payments_current"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.operators.bitmaps import day_bitmaps
 from tallyhouse.schemas import EVENT, EVENT_DAY, SILVER_STORED
-from tallyhouse.sizing import MB, SHUFFLED_PER_STORED, reducers, sized_for
+from tallyhouse.sizing import MB, PARQUET_DENSE, SHUFFLED_PER_STORED, reducers, sized_for_stored
 from tallyhouse.sources.catalog import (
     Lake,
     TableSpec,
@@ -76,10 +76,10 @@ def cluster_events(lake: Lake, buckets: int | None = None) -> None:
     create_database(lake)
     size = stored_bytes(lake, "payments_events")
     least = int(lake.spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = buckets or reducers(size * SHUFFLED_PER_STORED, least)
+    buckets = buckets or reducers(size * SHUFFLED_PER_STORED * PARQUET_DENSE, least)
     building = f"{CLUSTERED}__building"
     lake.spark.sql(f"DROP TABLE IF EXISTS {lake.name(building)}")
-    with sized_for(lake.spark, size, size * SHUFFLED_PER_STORED):
+    with sized_for_stored(lake.spark, size):
         (
             lake.table("payments_events").select(*EVENT.fieldNames())
             .repartition(buckets, "transaction_id")

@@ -13,9 +13,9 @@ from tallyhouse.sizing import day_partitions, sized_for
 from tallyhouse.sources.bronze import (
     JSON_FILES,
     bronze_files,
+    listing_of,
     read_bronze_leniently,
     read_bronze_texts,
-    total_bytes,
 )
 from tallyhouse.sources.catalog import (
     FOLDERS,
@@ -49,8 +49,8 @@ def promote_with_quarantine(
     is and None is returned; the quarantine is renewed all the same.
     """
     require_utc(lake.spark)
-    size = total_bytes(bronze_files(lake.spark, lake.bronze, pattern))
-    if not size:
+    landed = listing_of(bronze_files(lake.spark, lake.bronze, pattern))
+    if not landed.size:
         return None
     create_database(lake)
     root = f"{lake.root}/{QUARANTINE_SPEC.folder}"
@@ -58,7 +58,7 @@ def promote_with_quarantine(
     used = {name for name in FOLDERS if any(f"{root}/{name}/" in f"{at}/" for at in live)}
     # Both tables are put in place after the write, so at most one folder is in use.
     folder = f"{root}/{FOLDERS[1] if FOLDERS[0] in used else FOLDERS[0]}"
-    with sized_for(lake.spark, size):
+    with sized_for(lake.spark, landed.size, dense=landed.dense):
         (
             sorted_out(read_bronze_leniently(lake.spark, lake.bronze, multi_line, pattern))
             .hint("rebalance", day_partitions(lake.spark), QUARANTINED, EVENT_DAY.name)
@@ -86,14 +86,14 @@ def promote_openly(lake: Lake) -> PartitionChange | None:
     for both, so this is for bronze whose producers add fields.
     """
     require_utc(lake.spark)
-    size = total_bytes(bronze_files(lake.spark, lake.bronze))
-    if not size:
+    landed = listing_of(bronze_files(lake.spark, lake.bronze))
+    if not landed.size:
         return None
     texts = read_bronze_texts(lake.spark, lake.bronze)
     if not has_rows(texts):
         return None
-    with sized_for(lake.spark, size):
-        events = flatten_openly(texts).hint(
-            "rebalance", day_partitions(lake.spark), EVENT_DAY.name
-        )
+    with sized_for(lake.spark, landed.size, dense=landed.dense):
+        events = flatten_openly(texts)
+        if landed.scattered:
+            events = events.hint("rebalance", day_partitions(lake.spark), EVENT_DAY.name)
         return publish(lake, OPEN_EVENTS, events, OPEN_SPEC)

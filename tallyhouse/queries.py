@@ -42,6 +42,8 @@ from tallyhouse.workspace import fresh_folder
 
 # A day of the derived log, for the partition predicate.
 ONE_DAY = "2001-07-31"
+# Bronze of the queries is landed compressed: its lines repeat their names and many values.
+LANDED_AS = "gzip"
 
 _LANDED: dict[tuple[str, str], Lake] = {}
 _LAGGING: dict[tuple[str, str], Lake] = {}
@@ -63,7 +65,7 @@ def landed_lake(spark: SparkSession, sf_dir: str) -> Lake:
     with _BUILDING:
         if key not in _LANDED:
             lake = new_lake(spark)
-            jobs.ingest(lake, tables.bronze_events(spark, sf_dir))
+            jobs.ingest(lake, tables.bronze_events(spark, sf_dir), compression=LANDED_AS)
             _LANDED[key] = lake
         return _LANDED[key]
 
@@ -97,9 +99,9 @@ def lagging_lake(spark: SparkSession, sf_dir: str) -> Lake:
             lake = new_lake(spark)
             events = tables.bronze_events(spark, sf_dir)
             early = F.col("event_timestamp") < ONE_DAY
-            jobs.ingest(lake, events.where(early))
+            jobs.ingest(lake, events.where(early), compression=LANDED_AS)
             jobs.promote_silver_and_current(lake)
-            jobs.ingest(lake, events.where(~early))
+            jobs.ingest(lake, events.where(~early), compression=LANDED_AS)
             _LAGGING[key] = lake
         return _LAGGING[key]
 
@@ -245,7 +247,7 @@ def serving_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.run(new_lake(spark), tables.bronze_events(configure(spark), sf_dir))
+    return jobs.run(new_lake(spark), tables.bronze_events(configure(spark), sf_dir), LANDED_AS)
 
 
 def quality_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -295,7 +297,7 @@ def revenue_from_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # What landed broken, or with fields nobody declared; other layouts of silver.
 
-BROKEN_FILES = "*.txt"
+BROKEN_FILES = "*.txt.gz"
 
 
 def _order_number() -> Column:
@@ -317,7 +319,8 @@ def quarantined_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         ]))
         cut = F.when(kind == 0, F.substring(line, F.lit(1), F.length(line) - 10)).otherwise(line)
         lines = events.select(cut.alias("value"), day.alias("dt"))
-        lines.write.mode("append").partitionBy("dt").text(lake.bronze)
+        writer = lines.write.mode("append").partitionBy("dt")
+        writer.text(lake.bronze, compression=LANDED_AS)
         lenient.promote_with_quarantine(lake, pattern=BROKEN_FILES)
 
     lake = _own_lake(spark, sf_dir, "quarantine", build)
@@ -346,7 +349,7 @@ def unknown_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
         grown = events.withColumn("device", F.when(number % 3 == 0, device)).withColumn(
             "merchant", F.col("merchant").withField("terminal", number % 7)
         )
-        land_bronze(grown, lake.bronze)
+        land_bronze(grown, lake.bronze, LANDED_AS)
         lenient.promote_openly(lake)
 
     events = _own_lake(spark, sf_dir, "unknown", build).table(lenient.OPEN_EVENTS)
@@ -364,7 +367,8 @@ def compacted_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build(lake: Lake) -> None:
         events = tables.bronze_events(lake.spark, sf_dir)
         for nth in range(3):
-            jobs.ingest(lake, events.where(_order_number() % 3 == nth), record=False)
+            part = events.where(_order_number() % 3 == nth)
+            jobs.ingest(lake, part, record=False, compression=LANDED_AS)
         jobs.promote_silver(lake, compact=False)
         layouts.compact_silver(lake)
 

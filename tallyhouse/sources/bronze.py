@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,17 +11,20 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from tallyhouse.functions import landing_day
 from tallyhouse.schemas import BRONZE_EVENT, BRONZE_STORED, CORRUPT, EVENT_DAY
-from tallyhouse.sizing import day_partitions
+from tallyhouse.sizing import GZIP_DENSE, MB, day_partitions
 
-JSON_FILES = "*.json"
+JSON_FILES = "*.{json,json.gz}"
+#: Bytes of text in a bronze file, on average, from which on it makes a silver file as it is.
+LARGE_FILE = 128 * MB
 
 
-def land_bronze(events: DataFrame, path: str) -> None:
+def land_bronze(events: DataFrame, path: str, compression: str | None = None) -> None:
     """Append a run's events, each under the day it occurred.
 
     The day is that of the parsed time, as in silver, so an offset counts; events
     without a readable time lie in a folder of their own. Nothing that is already
-    there is touched, so running this twice lands the events twice. Lines are written one event each, which keeps files splittable.
+    there is touched, so running this twice lands the events twice. Lines are written one
+    event each, which keeps files splittable unless they are compressed (``gzip``).
     The rebalance gathers a day's events into few files and splits a day that is
     larger than the advisory partition size.
     """
@@ -28,7 +33,7 @@ def land_bronze(events: DataFrame, path: str) -> None:
         .hint("rebalance", day_partitions(events.sparkSession), EVENT_DAY.name)
         .write.mode("append")
         .partitionBy(EVENT_DAY.name)
-        .json(path)
+        .json(path, compression=compression)
     )
 
 
@@ -106,5 +111,25 @@ def folder_day(path: Column) -> Column:
     return F.regexp_extract(path, f"/{EVENT_DAY.name}=([^/]+)/", 1)
 
 
-def total_bytes(files: DataFrame) -> int:
-    return files.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).first()["bytes"]
+@dataclass(frozen=True)
+class Listing:
+    """What a listing says of bronze: its bytes, how dense they are, how it is cut."""
+
+    size: int
+    dense: int
+    scattered: bool
+
+
+def listing_of(files: DataFrame) -> Listing:
+    """Sums over a listing. Files are scattered when there are more than one for each day
+    and one for each ``LARGE_FILE`` bytes of their text."""
+    zipped = F.when(F.col("file").endswith(".gz"), F.col("length")).otherwise(0)
+    sums = files.agg(
+        F.coalesce(F.sum("length"), F.lit(0)).alias("size"),
+        F.coalesce(F.sum(zipped), F.lit(0)).alias("zipped"),
+        F.count(F.lit(1)).alias("files"),
+        F.count_distinct(EVENT_DAY.name).alias("days"),
+    ).first()
+    text = sums["size"] + sums["zipped"] * (GZIP_DENSE - 1)
+    dense = max(1, text // max(sums["size"], 1))
+    return Listing(sums["size"], dense, sums["files"] > sums["days"] + text // LARGE_FILE)

@@ -32,8 +32,8 @@ from tallyhouse.operators.flatten import flatten
 from tallyhouse.plans.jobs import build_marts
 from tallyhouse.schemas import BRONZE_STORED, BUCKET, EVENT, EVENT_DAY, NO_DAY, SILVER_STORED
 from tallyhouse.session import require_utc
-from tallyhouse.sizing import MB, SHUFFLED_PER_STORED, day_partitions, sized_for
-from tallyhouse.sources.bronze import JSON_FILES
+from tallyhouse.sizing import MB, day_partitions, sized_for, sized_for_stored
+from tallyhouse.sources.bronze import JSON_FILES, bronze_files, listing_of
 from tallyhouse.sources.catalog import (
     STORED_BYTES,
     Lake,
@@ -152,7 +152,7 @@ def fold_runs(lake: Lake) -> None:
     while folded := _full_tier(live := live_runs(lake)):
         size = sum(folder_bytes(lake.spark, _run_folder(lake, run)) for run in folded)
         names = [_name(run) for run in folded]
-        with sized_for(lake.spark, size, size * SHUFFLED_PER_STORED):
+        with sized_for_stored(lake.spark, size):
             own = (folded[0][0], folded[-1][1])
             events = lake.table(ARRIVED).where(F.col(RUN.name).isin(names))
             _write_run(lake, own, events.select(*SILVER_STORED.fieldNames()))
@@ -201,7 +201,7 @@ def _merge_current(lake: Lake, batch: DataFrame, size: int) -> None:
     touched = sorted(row[BUCKET.name] for row in touched)
     own = F.col(BUCKET.name).isin(touched)
     old = _bytes(lake, own) if touched else 0
-    with sized_for(lake.spark, old + size, (old + size) * SHUFFLED_PER_STORED):
+    with sized_for_stored(lake.spark, old + size):
         merged = merged_state(lake.table(ARRIVED_CURRENT).where(own), events, buckets)
         replace_partitions(lake, ARRIVED_CURRENT, merged, BUCKET.name, touched)
     if touched:
@@ -217,7 +217,7 @@ def _bytes(lake: Lake, own) -> int:
 def _divide(lake: Lake, current: DataFrame, size: int) -> None:
     """Write the whole state in as many buckets as its size asks for."""
     buckets = buckets_for(size)
-    with sized_for(lake.spark, size, size * SHUFFLED_PER_STORED):
+    with sized_for_stored(lake.spark, size):
         rows = in_buckets(current, buckets).hint("rebalance", buckets, BUCKET.name)
         publish(lake, ARRIVED_CURRENT, rows, CURRENT_SPEC, {_BUCKETS: str(buckets)})
 
@@ -257,13 +257,16 @@ def promote_arrivals(
     )
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    query = (
+    landed = listing_of(bronze_files(lake.spark, lake.bronze))
+    stream = (
         reader.json(lake.bronze)
         .writeStream.foreachBatch(
             lambda bronze, batch_id: promote_batch(lake, flatten(bronze), batch_id)
         )
         .option("checkpointLocation", f"{lake.root}/checkpoints/arrivals")
         .trigger(availableNow=True)
-        .start()
     )
+    # A stream keeps the settings it was started under.
+    with sized_for(lake.spark, landed.size, dense=landed.dense):
+        query = stream.start()
     query.awaitTermination()
