@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import zipfile
 from collections.abc import Iterable, Iterator
@@ -110,7 +112,16 @@ def in_parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = max(1, batch.num_rows * PART_BYTES // max(batch.nbytes, 1))
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+    give_back()
+
+
+def give_back() -> None:
+    """Unused memory of a worker to the system: of Python, of Arrow, of the C library."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
 
 
 def column_lists(batches: Iterable[pa.RecordBatch]) -> Iterator[list[list]]:

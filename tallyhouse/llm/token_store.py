@@ -33,7 +33,7 @@ END_ID = 2
 LEVEL = 3
 #: Pieces between spaces whose ids are remembered, and the longest one that is; a full
 #: memory is emptied. Neither changes a result.
-REMEMBERED, LONGEST = 700_000, 48
+REMEMBERED, LONGEST = 150_000, 48
 
 # The rules of a tokenizer file under which texts are encoded by pieces.
 PIECEWISE = {

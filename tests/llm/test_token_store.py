@@ -105,3 +105,34 @@ def test_store_round_trip(spark, documents, tokenizer, monkeypatch, tmp_path, ch
 
 def test_empty_table(documents):
     assert token_store.tokenised(documents([]), PATH).count() == 0
+
+
+def test_memory_stays_small_over_many_words():
+    encoder = token_store.Encoder(PATH)
+    for part in range(12):
+        list(encoder([" ".join(f"w{part}x{n}" for n in range(25_000))]))
+    assert len(encoder.known) <= 200_000
+
+
+def test_workers_give_memory_back_after_a_task():
+    import ctypes
+
+    import pyarrow as pa
+
+    from tallyhouse.llm.common import in_parts
+
+    held = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096
+    libc = ctypes.CDLL(None)
+    libc.malloc.restype, libc.malloc.argtypes = ctypes.c_void_p, [ctypes.c_size_t]
+    libc.free.argtypes = [ctypes.c_void_p]
+    # Small blocks below one that stays: the C library keeps them when they are free.
+    blocks = [libc.malloc(60_000) for _ in range(2_000)]
+    for block in blocks:
+        ctypes.memset(block, 1, 60_000)
+    last = libc.malloc(60_000)
+    for block in blocks:
+        libc.free(block)
+    before = held()
+    list(in_parts([pa.RecordBatch.from_pydict({"a": [1]})]))
+    libc.free(last)
+    assert before - held() > 80_000_000
