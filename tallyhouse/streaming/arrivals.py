@@ -100,12 +100,16 @@ def _run_folder(lake: Lake, run: Run) -> str:
     return f"{lake.root}/{ARRIVED_SPEC.folder}/{RUN.name}={_name(run)}"
 
 
-def _write_run(lake: Lake, run: Run, events: DataFrame) -> None:
-    """Write a run and register its days; it is no part of the log yet."""
+def _write_run(lake: Lake, run: Run, events: DataFrame, scattered: bool = True) -> None:
+    """Write a run and register its days; it is no part of the log yet.
+
+    Events that are ``scattered`` over small files are gathered by day.
+    """
     own = _run_folder(lake, run)
+    if scattered:
+        events = events.hint("rebalance", day_partitions(lake.spark), EVENT_DAY.name)
     (
-        events.hint("rebalance", day_partitions(lake.spark), EVENT_DAY.name)
-        .write.mode("overwrite")
+        events.write.mode("overwrite")
         .option("compression", "snappy")
         .partitionBy(EVENT_DAY.name)
         .parquet(own)
@@ -121,13 +125,13 @@ def _set_live(lake: Lake, runs: list[Run]) -> None:
     set_properties(lake, ARRIVED, {_LIVE: ",".join(_name(run) for run in sorted(runs))})
 
 
-def _append_batch(lake: Lake, batch: DataFrame, batch_id: int) -> None:
+def _append_batch(lake: Lake, batch: DataFrame, batch_id: int, scattered: bool) -> None:
     """Add a batch to the log, unless it is part of it already."""
     live = live_runs(lake)
     if any(first <= batch_id <= last for first, last in live):
         return
     own = (batch_id, batch_id)
-    _write_run(lake, own, batch)
+    _write_run(lake, own, batch, scattered)
     _set_live(lake, [*live, own])
 
 
@@ -229,9 +233,11 @@ def build_marts_from_arrivals(lake: Lake) -> None:
     )
 
 
-def promote_batch(lake: Lake, batch: DataFrame, batch_id: int) -> None:
+def promote_batch(
+    lake: Lake, batch: DataFrame, batch_id: int, scattered: bool = True
+) -> None:
     """Promote the flat events of one batch; again after a failure, it changes nothing."""
-    _append_batch(lake, batch, batch_id)
+    _append_batch(lake, batch, batch_id, scattered)
     own = next(run for run in live_runs(lake) if run[0] <= batch_id <= run[1])
     # A run that holds later batches too has them merged a second time.
     events = lake.table(ARRIVED).where(F.col(RUN.name) == _name(own))
@@ -261,7 +267,9 @@ def promote_arrivals(
     stream = (
         reader.json(lake.bronze)
         .writeStream.foreachBatch(
-            lambda bronze, batch_id: promote_batch(lake, flatten(bronze), batch_id)
+            lambda bronze, batch_id: promote_batch(
+                lake, flatten(bronze), batch_id, landed.scattered
+            )
         )
         .option("checkpointLocation", f"{lake.root}/checkpoints/arrivals")
         .trigger(availableNow=True)
