@@ -45,7 +45,8 @@ def promote_with_quarantine(
     """Rebuild silver from what can be read of bronze, and a table of what cannot.
 
     Bronze is read once: both parts are one write, split by a partition folder, and each
-    part's folder is put in its table's place. With nothing to promote silver stays as it
+    part's folder is put in its table's place. As in the strict promotion, rows are shuffled
+    to their day only if bronze lies in many small files. With nothing to promote silver stays as it
     is and None is returned; the quarantine is renewed all the same.
     """
     require_utc(lake.spark)
@@ -59,10 +60,12 @@ def promote_with_quarantine(
     # Both tables are put in place after the write, so at most one folder is in use.
     folder = f"{root}/{FOLDERS[1] if FOLDERS[0] in used else FOLDERS[0]}"
     with sized_for(lake.spark, landed.size, dense=landed.dense):
+        parts = sorted_out(read_bronze_leniently(lake.spark, lake.bronze, multi_line, pattern))
+        if landed.scattered:
+            keys = (QUARANTINED, EVENT_DAY.name)
+            parts = parts.hint("rebalance", day_partitions(lake.spark), *keys)
         (
-            sorted_out(read_bronze_leniently(lake.spark, lake.bronze, multi_line, pattern))
-            .hint("rebalance", day_partitions(lake.spark), QUARANTINED, EVENT_DAY.name)
-            .write.mode("overwrite").option("compression", "snappy")
+            parts.write.mode("overwrite").option("compression", "snappy")
             .partitionBy(QUARANTINED, EVENT_DAY.name).parquet(folder)
         )
     written = lake.spark.read.parquet(folder)

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tallyhouse import session, sizing
 from tallyhouse.plans import jobs, lenient
+from tallyhouse.sources import bronze
 from tallyhouse.sources.bronze import LARGE_FILE, listing_of, read_bronze
-from tallyhouse.sources.catalog import Lake
+from tallyhouse.sources.catalog import Lake, location
 from tallyhouse.sources.manifest import manifest
 from tallyhouse.streaming import arrivals
 
@@ -64,3 +65,22 @@ def test_compressed_bronze_is_read_by_every_job(spark, lake, tmp_path):
         assert other.table(lenient.OPEN_EVENTS).count() == 3
     finally:
         spark.sql(f"DROP DATABASE IF EXISTS `{other.database}` CASCADE")
+
+
+def test_quarantine_of_large_files_is_written_as_it_lies(lake, monkeypatch):
+    for part in ("1", "2"):
+        write_bronze(lake, [event(f"t{part}"), event(f"bad{part}", at="2026-08-06 soon")], part)
+    files = lambda: [
+        len(list(Path(location(lake, table).removeprefix("file:")).rglob("*.parquet")))
+        for table in ("payments_events", lenient.QUARANTINED_EVENTS)
+    ]
+    tables = lambda: [
+        rows_of(lake.table(table)) for table in ("payments_events", lenient.QUARANTINED_EVENTS)
+    ]
+    lenient.promote_with_quarantine(lake)
+    gathered = tables()
+    assert files() == [1, 1] and [len(rows) for rows in gathered] == [2, 2]
+    # Files that count as large: each split is written by the task that reads it.
+    monkeypatch.setattr(bronze, "LARGE_FILE", 1)
+    lenient.promote_with_quarantine(lake)
+    assert files() == [2, 2] and tables() == gathered
