@@ -59,8 +59,11 @@ WORD_END = "</w>"
 #: Texts in which lowering ASCII capitals first could change the ids: marks that compose
 #: with small letters alone, and names of special tokens.
 _AS_IT_IS = r"\p{M}|<\|"
-_BEFORE_STOP = "([a-z0-9\u00df-\u00f6\u00f8-\u00ff])([.,])"
+#: ASCII marks but the apostrophe, which contractions begin with, and the bar of special tokens.
+_BEFORE_MARK = "([a-z0-9\u00df-\u00f6\u00f8-\u00ff])([!-&(-/:-@\\[-`{}~])"
 _PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+#: Bytes of plain words in UTF-8 that ByteLevel writes as another character.
+_BYTE_LEVEL = {"\x9f": "\u0141", "\xa0": "\u0142", "\xad": "\u0143"}
 
 BIT_PLANES = 16  # of the low half of an id; the high half goes by bytes
 
@@ -104,14 +107,15 @@ class Encoder:
     two spaces or line ends: its pattern matches within them, white space makes no ids
     and composition of characters does not cross it. So the ids of a text are those of
     its pieces in turn, and a piece that was seen before need not be encoded again. Nor
-    does the pattern cross from a letter or digit to a full stop or comma, and capitals
-    are lowered, so a space may stand there and ASCII capitals be lowered first. Files
-    with other rules have their texts encoded whole.
+    does the pattern cross from a letter or digit to a mark of ``_BEFORE_MARK``, and capitals
+    are lowered, so a space may stand there and ASCII capitals be lowered first. The rules
+    leave plain words as they are but for the characters of their bytes, so these go straight
+    to the model. Files with other rules have their texts encoded whole.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         rules = json.loads(self.tokenizer.to_str())
@@ -119,8 +123,11 @@ class Encoder:
             all(rules[name] == rule for name, rule in PIECEWISE.items())
             and rules["model"].get("end_of_word_suffix") == WORD_END
             and all(" " not in t["content"] and t["content"].startswith("<|")
+                    and not re.search(_BEFORE_MARK, t["content"], re.IGNORECASE)
                     for t in rules["added_tokens"])
         )
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         ids = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(ids.values(), default=0) + 1, bool)
         self.ends[[i for piece, i in ids.items() if piece.endswith(WORD_END)]] = True
@@ -142,7 +149,7 @@ class Encoder:
         lowered = pc.if_else(
             pc.match_substring_regex(texts, _AS_IT_IS), texts, pc.ascii_lower(texts)
         )
-        return pc.replace_substring_regex(lowered, _BEFORE_STOP, r"\1 \2")
+        return pc.replace_substring_regex(lowered, _BEFORE_MARK, r"\1 \2")
 
     def _joined(self, split: pa.ListArray) -> Iterator[bytes]:
         """Ids of texts from those of their different pieces."""
@@ -176,10 +183,18 @@ class Encoder:
         for one in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
             yield array("I", one.ids).tobytes()
 
+    def _modelled(self, plain: list[str]) -> bytes:
+        """The ids of plain words in turn, by the model alone."""
+        text = " ".join(plain).encode().decode("latin-1")
+        for byte, written in _BYTE_LEVEL.items():
+            text = text.replace(byte, written)
+        (one,) = self.model.encode_batch_fast([text], add_special_tokens=False)
+        return array("I", one.ids).tobytes()
+
     def _learn(self, pieces: list[str]) -> None:
-        """Remember the ids of pieces; plain words are one match each, so encoded as one text."""
+        """Remember the ids of pieces; plain words are one match each, so encoded in one go."""
         plain = [piece for piece in pieces if _PLAIN.fullmatch(piece)]
-        raw = b"".join(self._encoded([" ".join(plain)]))
+        raw = self._modelled(plain)
         bounds = np.flatnonzero(self.ends[np.frombuffer(raw, "<u4")]) * 4 + 4
         if len(bounds) == len(plain):
             start = 0
