@@ -15,7 +15,7 @@ from tallyhouse.sizing import GZIP_DENSE, MB, day_partitions
 
 JSON_FILES = "*.{json,json.gz}"
 #: Bytes of text in a bronze file, on average, from which on it makes a silver file as it is.
-LARGE_FILE = 128 * MB
+LARGE_FILE = 64 * MB
 
 
 def land_bronze(events: DataFrame, path: str, compression: str | None = None) -> None:
